@@ -137,8 +137,7 @@ class SpanHasher:
     def _powers(self, size: int) -> None:
         if size > self.size:
             self.size = max(size, SEGMENT_BYTES)
-            self.up = np.cumprod(np.concatenate([[1], np.full(self.size, _BASE, np.uint64)]).astype(np.uint64))
-            self.down = np.cumprod(np.concatenate([[1], np.full(self.size, _UNBASE, np.uint64)]).astype(np.uint64))
+            self.up, self.down = (np.cumprod(np.array([1] + [base] * self.size, np.uint64)) for base in (_BASE, _UNBASE))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._powers(len(data))
