@@ -106,7 +106,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(F.when(F.col("target") > 0, 1).otherwise(F.when(F.col("source_size") == 0, 1).otherwise(0)))
     got = got.withColumn("__whole", whole).withColumn("__left", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)))
     got = got.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where("__pass < __whole or __left > 0")
-    cut = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', cast(__left as string), '}'), 0)")
+    # Words with the white space before each, as joined again they are the text itself.
+    cut = F.expr(r"array_join(slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(__left as int)), '')")
     return got.withColumn("text", F.when(F.col("__pass") < F.col("__whole"), F.col("text")).otherwise(cut)).select(*cols)
 
 
