@@ -6,9 +6,9 @@ random fraction to the register its permutation has at j. Ranks of one element a
 which lowers the variance, and a document stops at the step beyond which no register can fall any more.
 
 Equal sets become one class, whose id is the smallest doc_id. Classes that agree on a band of registers are compared
-with the bucket's smallest class and linked if their full sets reach the threshold; then, in buckets that still hold
-several groups, all pairs across groups are tried, block by block, so no link is lost to the choice of the first
-centre. A pair is confirmed on full sets only if the signatures' estimate is near the threshold or above. With 32
+with the bucket's smallest class and linked if their full sets reach the threshold. Buckets that then still hold
+several groups show which groups are alike; each family of such groups has all pairs across its groups tried on full
+sets, block by block, so no link is lost to the choice of the first centre and no pairs are emitted but links. A pair is confirmed on full sets only if the signatures' estimate is near the threshold or above. With 32
 bands of 4 of 128 registers a pair at the threshold shares no band with probability 5e-6; the estimate of such a pair
 falls below its bound with probability under 1e-6.
 
@@ -173,39 +173,96 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(gather, "id long, shingles binary").where("length(shingles) > 0")
 
 
-def across_groups(members: DataFrame, estimate: float, registers: int, bands: int, block: int) -> DataFrame:
-    """Pairs of a bucket's members of different groups whose signatures are alike; each pair from its first common band.
+def dealt_in_blocks(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Members, with the number n of their group, once for each pair (i, j) of blocks that they are in; p is their block."""
+    parts = F.ceil(F.col("n") / block).cast("int")
+    mine = members.withColumn("p", F.pmod(F.xxhash64("id", *keys), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return mine.withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q")).drop("q", "n")
+
+
+def block_sides(pdf: pd.DataFrame):
+    i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+    return (pdf, pdf) if i == j else (pdf[pdf.p == i], pdf[pdf.p == j])
+
+
+def alike_across(left: pd.DataFrame, right: pd.DataFrame, estimate: float):
+    """For each row of left: its place, and the places in right of other labels whose signatures are alike."""
+    rs = np.frombuffer(b"".join(right.sig), np.uint16).reshape(len(right), -1) if len(right) else None
+    rlab, least = right.label.to_numpy(), estimate * (rs.shape[1] if len(right) else 0)
+    for x, (sig, label) in enumerate(zip(left.sig, left.label, strict=True)):
+        at = np.flatnonzero(rlab != label)
+        if len(at):
+            at = at[(rs[at] == np.frombuffer(sig, np.uint16)).sum(1) >= least]
+            if len(at):
+                yield x, at
 
-    members: (band, bucket, id, centre, n, label, sig). A bucket of many members is dealt out in blocks, each pair of
-    blocks to one task, so no task holds more than two blocks.
+
+def families(members: DataFrame, estimate: float, block: int) -> DataFrame:
+    """(id, label, root): members that are alike to one of another label in a bucket; root joins their labels.
+
+    members: (band, bucket, id, n, label, sig). A task gives a row for each of its members at most, not for pairs.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    # Block i meets block j >= i: a member of block p goes to (i, p) for i <= p and (p, j) for j >= p.
-    dealt = members.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q")).drop("q", "n")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = int(pdf.band.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        pdf = pdf.drop_duplicates("id")
-        left, right = (pdf, pdf) if i == j else (pdf[pdf.p == i], pdf[pdf.p == j])
-        a, b = [], []
+        left, right = block_sides(pdf)
+        up: dict[int, int] = {}
+
+        def top(a: int) -> int:
+            while up.setdefault(a, a) != a:
+                up[a] = up[up[a]]
+                a = up[a]
+            return a
+
+        seen: dict[int, int] = {}
+        lid, llab, rid, rlab = left.id.to_numpy(), left.label.to_numpy(), right.id.to_numpy(), right.label.to_numpy()
+        for x, at in alike_across(left, right, estimate):
+            seen[int(lid[x])] = int(llab[x])
+            seen.update(zip(rid[at].tolist(), rlab[at].tolist(), strict=True))
+            for other in np.unique(rlab[at]).tolist():
+                a, b = top(int(llab[x])), top(other)
+                up[max(a, b)] = min(a, b)
+        return pd.DataFrame({"id": np.array(list(seen), np.int64), "label": np.array(list(seen.values()), np.int64), "root": np.array([top(v) for v in seen.values()], np.int64)})
+
+    return dealt_in_blocks(members, ["bucket"], block).groupBy("band", "bucket", "i", "j").applyInPandas(compare, "id long, label long, root long")
+
+
+def confirmed_within(members: DataFrame, estimate: float, threshold: int, block: int) -> DataFrame:
+    """(a, b): for members (family, id, n, label, sig, shingles), a forest of the links across labels, on full sets."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = block_sides(pdf)
+        a, b, up = [], [], {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         if len(left) and len(right):
-            rs = np.frombuffer(b"".join(right.sig), np.uint16).reshape(len(right), registers)
-            rid, rlab, rcen = right.id.to_numpy(), right.label.to_numpy(), right.centre.to_numpy()
-            step = registers // bands
-            for s, own, lab, cen in zip(left.sig, left.id, left.label, left.centre, strict=True):
-                at = np.flatnonzero((rlab != lab) & (rid > own if i == j else rid != own) & (rid != cen) & (own != rcen))
-                if len(at):
-                    equal = rs[at] == np.frombuffer(s, np.uint16)
-                    good = equal.sum(1) >= estimate * registers
-                    at, equal = at[good], equal[good]
-                    first = equal.reshape(len(at), bands, step).all(2).argmax(1) == band
-                    at = at[first]
-                    a += [min(own, x) for x in rid[at].tolist()]
-                    b += [max(own, x) for x in rid[at].tolist()]
+            sets = [np.frombuffer(x, np.uint64) for x in right.shingles]
+            size = np.array([len(x) for x in sets])
+            begin = np.cumsum(size) - size
+            universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(universe), np.int64)
+            lid, llab, rid, rlab = left.id.to_numpy(), left.label.to_numpy(), right.id.to_numpy(), right.label.to_numpy()
+            own = list(left.shingles)
+            for x, at in alike_across(left, right, estimate):
+                mine = np.frombuffer(own[x], np.uint64)
+                low = np.searchsorted(universe, mine)
+                low = low[universe[np.minimum(low, len(universe) - 1)] == mine]
+                mark[low] = 1
+                both = np.add.reduceat(mark[place], begin)[at]
+                mark[low] = 0
+                for y in at[100 * both >= threshold * (len(mine) + size[at] - both)].tolist():
+                    p, q = top(int(llab[x])), top(int(rlab[y]))
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+                        a.append(int(lid[x]))
+                        b.append(int(rid[y]))
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("band", "bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt_in_blocks(members, ["family"], block).groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, registers: int = REGISTERS, bands: int = BANDS, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
@@ -239,13 +296,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     groups = components(spark, links)
     labelled = members.where("n > 2").join(groups, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     split = labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "bucket")
-    apart = labelled.join(split, ["band", "bucket"]).join(classes.select("id", "sig"), "id")
-    more = kept.keep(across_groups(apart, estimate, registers, bands, block), "pairs")
-    if not more.isEmpty():
-        late = kept.keep(confirmed(more, full_sets(docs, ids(more), words), threshold), "links")
-        groups = components(spark, links.unionByName(late))
-        kept.drop(late)
-    kept.drop(members, pairs, links, more)
+    apart = labelled.join(split, ["band", "bucket"]).select("band", "bucket", "id", "n", "label").join(classes.select("id", "sig"), "id")
+    near = kept.keep(families(apart, estimate, block).distinct(), "families")
+    if not near.isEmpty():
+        joined = components(spark, near.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("label"), F.col("component").alias("family"))
+        inside = kept.keep(near.select("id", "label").distinct().join(joined, "label"), "families")
+        inside = inside.join(inside.groupBy("family").agg(F.count("*").alias("n")), "family").join(classes.select("id", "sig"), "id").join(full_sets(docs, inside.select("id"), words), "id")
+        late = kept.keep(confirmed_within(inside, estimate, threshold, block), "links")
+        if not late.isEmpty():
+            groups = components(spark, links.unionByName(late))
+    kept.drop(members, pairs, links, near)
     named = classes.join(groups, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -253,9 +313,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs of which near_duplicates() keeps the document; exact repeats of a row's doc_id stay together."""
+    """The rows of docs that near_duplicates() keeps, and of rows that repeat a doc_id and its text, one."""
+    cols = docs.columns
     lost = near_duplicates(docs, **how).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(lost, "doc_id", "left_anti").select(*cols)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*cols)
+    return out.join(again, "doc_id", "left_anti").select(*cols).unionByName(once)
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
