@@ -80,20 +80,16 @@ def re_memory_scored(s, d):
 _VEC = "qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT qid, vec_id, round({e}, 6) AS score FROM qv, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) WHERE qid <> vec_id)"
 
 
-def _vectors(s, d, metric="cosine"):
-    """Queries are every 50th vector; they come in a bounded block to each task, not as pairs of all."""
+def _vectors(s, d, k, metric="cosine"):
+    """Queries are every 50th vector."""
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    score = {"cosine": T.cosine(F.col("v"), F.col("q")), "ip": dot, "l2": -gap}[metric]
-    return e.join(q, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", F.round(score, 6).alias("score"))
+    return RE.vector_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), k, metric)
 
 
 @query("re_vector_topk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM vs) WHERE rank <= 5", _VEC.format(e="list_cosine_similarity(v, q)"))
 def re_vector_topk(s, d):
     """RE10, RE11, RE12."""
-    return RE.top_k(_vectors(s, d), 5, "vec_id")
+    return _vectors(s, d, 5)
 
 
 @query(
@@ -103,7 +99,7 @@ def re_vector_topk(s, d):
 )
 def re_metric_cosine_ip_l2(s, d):
     """RE12: three metrics."""
-    leg = lambda m: RE.top_k(_vectors(s, d, m), 3, "vec_id").withColumn("metric", F.lit(m))
+    leg = lambda m: _vectors(s, d, 3, m).withColumn("metric", F.lit(m))
     return leg("ip").unionByName(leg("l2"))
 
 
@@ -224,7 +220,7 @@ def jo_explode_backlinks(s, d):
     MEMORIES,
 )
 def jo_interval_asof(s, d):
-    """JO10, BM7: as of many days at once; a memory is dealt to the days of its interval, so the join is by key."""
+    """JO10, BM7: as of many days at once, by a range join with the list of days, which is of fixed length."""
     days = s.sql("select explode(sequence(timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-28', interval 2 day)) day")
     m = memories(s, d).select("memory_id", "effective_from", "effective_until")
     return m.join(F.broadcast(days), FI.valid_at(F.col("day"))).groupBy("day").agg(F.count("*").alias("valid"))  # 14 days
@@ -233,9 +229,8 @@ def jo_interval_asof(s, d):
 @query("jo_neardup_theta", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.35")
 def jo_neardup_theta(s, d):
     """JO9: near vectors of one kind."""
-    e = table(s, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("v").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("v").alias("y"))
-    return a.join(b, "label").where("a < b").where(F.round(T.cosine(F.col("x"), F.col("y")), 6) >= 0.35).select("a", "b")
+    e = table(s, d, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return RE.near_pairs(e, 0.35)
 
 
 @query("jo_manifest_diff", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' ELSE 'modified' END AS change, count(*) AS n FROM documents WHERE doc_id % 10 <= 2 GROUP BY 1")
@@ -251,7 +246,6 @@ def jo_manifest_diff(s, d):
 @query("jo_slot_cross", "SELECT n.memory_id, max(o.memory_id) AS older FROM memories n JOIN memories o ON n.user_id = o.user_id AND n.event_type = o.event_type AND o.effective_from < n.effective_from WHERE n.status = 'active' GROUP BY n.memory_id", MEMORIES)
 def jo_slot_cross(s, d):
     """JO11: the older memories of a new one's slot, by one window rather than a join."""
-    w = W.partitionBy("user_id", "event_type").orderBy("effective_from").rangeBetween(W.unboundedPreceding, -1)
     m = memories(s, d).withColumn("t", F.unix_micros(F.col("effective_from").cast("timestamp")))
     w = W.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
     return m.withColumn("older", F.max("memory_id").over(w)).where("status = 'active' and older is not null").select("memory_id", "older")
