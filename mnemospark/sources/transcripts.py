@@ -19,7 +19,7 @@ def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def message_lists(spark: SparkSession, path: str) -> DataFrame:
     """Turns of files that each hold an array of messages with role and content."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.from_json("value", "array<struct<role string, content string>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", "array<struct<role string, content string>>").alias("m"))
     return raw.select("file", F.posexplode("m").alias("turn", "m")).select("file", "turn", "m.role", F.col("m.content").alias("text"))
 
 
