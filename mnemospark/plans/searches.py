@@ -22,7 +22,8 @@ _BASE = (ARTIFACTS, CHUNKS, QUESTIONS, _INDEX)
 
 
 def _index(s, d):
-    return RE.postings(chunks(s, d)), questions(s, d)
+    asked = questions(s, d)
+    return RE.postings(chunks(s, d), questions=asked), asked
 
 
 def _keyword(s, d):
