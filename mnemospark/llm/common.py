@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Executors need not have this package installed: its functions travel with the plan.
@@ -160,21 +160,18 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     kept = Kept(spark)
     pairs = kept.keep(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    while True:
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    before = mark(pairs)
+    while before[0]:
         both = pairs.unionByName(pairs.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").selectExpr("b a", "m b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("explode(array(struct(b a, m b), struct(a a, m b))) x").select("x.*").where("a <> b").distinct()
         after = kept.keep(small, "edges")
-        # A forest of stars stays as it is: then the two tables hold the same rows.
-        same = pairs.exceptAll(after).isEmpty() and after.exceptAll(pairs).isEmpty()
         kept.drop(pairs)
-        pairs = after
-        if same:
+        # A forest of stars stays as it is: then the two tables hold the same rows.
+        pairs, last, before = after, before, mark(after)
+        if before == last:
             break
     return pairs.selectExpr("a id", "b component").unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-
-
-def null_safe_key(*cols: str) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
