@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import Kept, table
 from .tokens import default_path, encoder
 
 #: Lengths that share a block of the two-level suffix sums.
@@ -67,4 +67,6 @@ def length_quantile(hist: DataFrame, q: float) -> Column:
 
 
 def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), default_path()))
+    # The histogram reads its counts twice; kept, they are encoded once.
+    counts = Kept(spark).keep(encoded_lengths(table(spark, sf_dir, "documents"), default_path()), "lengths")
+    return length_histogram(counts)
