@@ -37,7 +37,10 @@ def preference_parts(chosen: DataFrame, rejected: DataFrame, answers=ANSWERS) ->
     """
     sides = chosen.select("pair_id", "turn", "role", "text", F.lit(1).alias("__sign")).unionByName(rejected.select("pair_id", "turn", "role", "text", F.lit(-1).alias("__sign")))
     sides = sides.withColumn("__at", F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)))
-    differing = sides.groupBy("pair_id", "__at", "role", "text").agg(F.sum("__sign").alias("s")).where("s <> 0")
+    # Turns are compared by a digest of role and text, so that counts move 32 bytes rather than texts.
+    told = lambda c: F.concat(F.col(c).isNull().cast("string"), F.lit(":"), F.coalesce(F.length(c), F.lit(0)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    digest = F.unhex(F.sha2(F.concat(told("role"), told("text")), 256)).alias("__digest")
+    differing = sides.select("pair_id", "__at", digest, "__sign").groupBy("pair_id", "__at", "__digest").agg(F.sum("__sign").alias("s")).where("s <> 0")
     split = differing.groupBy(F.col("pair_id").alias("__pair")).agg(F.min("__at").alias("__split"))
     rows = sides.join(split, F.col("pair_id").eqNullSafe(F.col("__pair")), "left")
     common = F.col("__split").isNull() | (F.col("__at") < F.col("__split"))
