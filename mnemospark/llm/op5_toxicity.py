@@ -25,7 +25,7 @@ from .common import SpanHasher, byte_class, mix64, segments, table, text_buffer,
 #: Label columns in chain order, and the value that means the category holds.
 CATEGORIES = (("quality", 0), ("toxic", 1))
 #: Labelled rows used for fitting, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 FEATURES = 700
 FOLDS = 5
 #: Bytes of the beginnings of words that are features besides the words.
@@ -107,26 +107,24 @@ def look_up(texts: pa.Array, features: np.ndarray):
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.2, steps: int = 200) -> np.ndarray:
-    """Weights and, last, the intercept of a logistic regression; accelerated gradient steps of fixed number.
+    """Weights of a logistic regression; x's last column is all ones. Accelerated gradient steps of fixed number.
 
     The rarer kind weighs the square root of the ratio more, so that its few rows move the cut toward the middle.
     """
-    n, w = len(y), np.zeros(x.shape[1] + 1)
+    n, w = len(y), np.zeros(x.shape[1])
     if not n or y.min() == y.max():
         w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
         return w
-    xs = np.hstack([x, np.ones((n, 1), x.dtype)])
     ratio = np.sqrt((n - y.sum()) / y.sum())
-    heavy = np.where(y == 1, max(ratio, 1), max(1 / ratio, 1))
-    v, t = np.ones(xs.shape[1], x.dtype), 0.0
+    heavy = np.where(y == 1, max(ratio, 1), max(1 / ratio, 1)).astype(x.dtype)
+    v, t = np.ones(x.shape[1], x.dtype), 0.0
     for _ in range(12):  # the largest curvature, by power iteration
-        v = xs.T @ ((xs @ v) * heavy.astype(x.dtype))
+        v = x.T @ ((x @ v) * heavy)
         t = float(np.linalg.norm(v))
         v /= t
     rate, z, k = 1 / (t / 4 + l2), w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(xs @ z.astype(x.dtype), -30, 30)))
-        g = (xs.T @ ((p - y) * heavy).astype(x.dtype)).astype(np.float64)
+        g = (x.T @ ((probability(x, z) - y) * heavy).astype(x.dtype)).astype(np.float64)
         g[:-1] += l2 * z[:-1]
         after = z - rate * g
         k, last = (1 + np.sqrt(1 + 4 * k * k)) / 2, k
@@ -135,11 +133,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.2, steps: int = 200)
 
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
 
 
 class Chain:
-    """features: sorted hashes; weights: for each category, of the features, the categories before it, and the intercept."""
+    """features: sorted hashes; weights: for each category, of the features, of the categories but the last (0 from its own on), and the intercept."""
 
     def __init__(self, names: list[str], features: np.ndarray, weights: list[np.ndarray]):
         self.names, self.features, self.weights = names, features, weights
@@ -176,21 +174,23 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_
     hashes = np.sort(np.array(sorted(picked), np.int64).view(np.uint64))
     rows = sorted(document_features(sample, hashes, ["doc_id", *names]).collect())
     kept.drop(sample, counts)
-    x = np.zeros((len(rows), len(hashes)), np.float32)
+    # Columns: features, the probabilities of earlier categories (0 until they are known), ones.
+    size = len(hashes)
+    x = np.zeros((len(rows), size + len(names)), np.float32)
+    x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, r["has"]] = 1
     fold = mix64(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)) % np.uint64(folds) if rows else np.zeros(0)
-    weights, before = [], np.zeros((len(rows), 0), np.float32)
-    for c in names:
+    weights = []
+    for place, c in enumerate(names):
         y = np.array([r[c] for r in rows], np.float64)
-        full = np.hstack([x, before])
-        weights.append(fit_linear(full, y))
+        weights.append(fit_linear(x, y))
         if c != names[-1]:
             unseen = np.zeros(len(rows), np.float32)
             for k in range(folds):
                 own = fold == k
-                unseen[own] = probability(full[own], fit_linear(full[~own], y[~own]))
-            before = np.hstack([before, unseen[:, None]])
+                unseen[own] = probability(x[own], fit_linear(x[~own], y[~own]))
+            x[:, size + place] = unseen
     return Chain(names, hashes, weights)
 
 
