@@ -65,6 +65,30 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.split(F.trim(col(text)), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def packed_sentences(text: Column | str, max_chars: int = 1000, min_chars: int = 300) -> Column:
+    """Whole sentences packed while they fit max_chars; a chunk below min_chars takes the next one all the same, and a short rest joins the last chunk."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, s: Column) -> Column:
+        longer = F.when(acc["open"] == "", s).otherwise(F.concat_ws(" ", acc["open"], s))
+        close = (F.length(acc["open"]) >= min_chars) & (F.length(longer) > max_chars)
+        return F.struct(F.when(close, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(close, s).otherwise(longer).alias("open"))
+
+    def end(acc: Column) -> Column:
+        n = F.size(acc["done"])
+        joined = F.concat(F.slice(acc["done"], F.lit(1), n - 1), F.array(F.concat_ws(" ", F.get(acc["done"], n - 1), acc["open"])))
+        return F.when(acc["open"] == "", acc["done"]).when((n > 0) & (F.length(acc["open"]) < min_chars), joined).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+
+    return F.aggregate(sentences(text), start, step, end)
+
+
+def with_neighbours(parts: Column | str, n: int = 1) -> Column:
+    """(n, centre, window) of each part: its place from 1, itself, and itself between the n parts on each side."""
+    parts = col(parts)
+    window = lambda i: F.array_join(F.slice(parts, F.greatest(F.lit(1), i + 1 - n), F.least(F.lit(n), i) + 1 + n), " ")
+    return F.transform(parts, lambda c, i: F.struct((i + 1).alias("n"), c.alias("centre"), window(i).alias("window")))
+
+
 def trimmed(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("...")))
 

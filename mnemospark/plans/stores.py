@@ -360,6 +360,13 @@ def tg_sentence_chunks(s, d):
     return x.select("artifact_id", "n", "centre", F.concat_ws(" ", F.lag("centre").over(w), "centre", F.lead("centre").over(w)).alias("window"))
 
 
+@query("tg_packed_sentences", None)
+def tg_packed_sentences(s, d):
+    """TG2: sentences of every artifact, whatever its length, packed into chunks with a neighbour on each side."""
+    x = artifacts(s, d).select("artifact_id", T.packed_sentences("content").alias("x"))
+    return x.select("artifact_id", F.inline(T.with_neighbours("x")))
+
+
 @query("tg_reduce_events", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '[RESULT error] ' || left(text, 220) ELSE '[' || upper(role) || '] ' || left(text, 120) END AS line FROM conversations WHERE role IN ('user', 'assistant') AND NOT (role = 'user' AND text LIKE '<%')")
 def tg_reduce_events(s, d):
     """TG4, SC14, ST1: transcript events to lines."""

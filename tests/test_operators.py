@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -129,3 +130,36 @@ def test_greedy_clusters_follow_the_order_of_rows(spark):
         if want[i] == i:
             seeds.append(i)
     assert {r.id: r.seed for r in C.greedy_clusters(df, "grp", "id", 0.8).collect()} == want
+
+
+def packed(text, most, least):
+    done, now = [], ""
+    for s in [x for x in re.split(r"(?<=[.!?])\s+", text.strip(" ")) if x]:
+        longer = f"{now} {s}" if now else s
+        if len(now) >= least and len(longer) > most:
+            done, now = [*done, now], s
+        else:
+            now = longer
+    if now and done and len(now) < least:
+        done[-1] += " " + now
+        now = ""
+    return [*done, now] if now else done
+
+
+def test_sentences_are_packed_with_neighbours(spark):
+    texts = ["", "One.", "x" * 3000 + ". End.", " ".join(f"Sentence {i} {'y' * (i * 37 % 400)}." for i in range(300)), "A. B! C? " * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.packed_sentences("t", 500, 100).alias("x")).select("i", "x", T.with_neighbours("x").alias("w")).collect()
+    for r in rows:
+        want = packed(texts[r.i], 500, 100)
+        assert r.x == want and " ".join(want) == texts[r.i].strip()
+        assert [(w.n, w.centre, w.window) for w in r.w] == [(k + 1, c, " ".join(want[max(0, k - 1) : k + 2])) for k, c in enumerate(want)]
+
+
+def test_packed_sentences_hold_the_longest_documents(spark):
+    from mnemospark.plans import catalogue
+    from mnemospark.plans.tables import artifacts
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.artifact_id: r.t for r in catalogue.queries()["tg_packed_sentences"](spark, sf).groupBy("artifact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "centre"))), lambda x: x["centre"]), " ").alias("t")).collect()}
+    want = {r.artifact_id: r.t for r in artifacts(spark, sf).select("artifact_id", F.array_join(T.sentences("content"), " ").alias("t")).where("t <> ''").collect()}
+    assert got == want and max(map(len, got.values())) >= 2000
