@@ -72,8 +72,18 @@ def ag_group_kind(s, d):
 @query("ag_episode", "SELECT session_id, count(*) AS n, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'pitfall') AS pitfalls, string_agg(CASE WHEN kind = 'decision' AND memory_id < 500 THEN memory_id::VARCHAR END, ',' ORDER BY memory_id) AS refs FROM memories WHERE status = 'active' OR memory_id < 500 GROUP BY session_id", MEMORIES)
 def ag_episode(s, d):
     """AG2, DI4: a session's decisions, pitfalls and references, in order."""
-    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "decision") & (F.col("memory_id") < 500), F.col("memory_id")))), lambda x: x.cast("string")), ",")
-    return memories(s, d).where("status = 'active' or memory_id < 500").groupBy("session_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "decision", 1)).alias("decisions"), F.count(F.when(F.col("kind") == "pitfall", 1)).alias("pitfalls"), refs.alias("refs"))
+    return _episodes(memories(s, d).where("status = 'active' or memory_id < 500"), F.col("memory_id") < 500)
+
+
+@query("ag_episode_all", "SELECT session_id, count(*) AS n, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'pitfall') AS pitfalls, string_agg(CASE WHEN kind = 'decision' THEN memory_id::VARCHAR END, ',' ORDER BY memory_id) AS refs FROM memories GROUP BY session_id", MEMORIES)
+def ag_episode_all(s, d):
+    """AG2, DI4, every memory, superseded ones too, and references of all decisions."""
+    return _episodes(memories(s, d), F.lit(True))
+
+
+def _episodes(found, listed):
+    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "decision") & listed, F.col("memory_id")))), lambda x: x.cast("string")), ",")
+    return found.groupBy("session_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "decision", 1)).alias("decisions"), F.count(F.when(F.col("kind") == "pitfall", 1)).alias("pitfalls"), refs.alias("refs"))
 
 
 @query("ag_span_bounds", "SELECT 'span-' || left(sha1(user_id::VARCHAR), 12) AS span, min(effective_from) AS started, max(effective_from) AS ended, count(*) AS n FROM memories GROUP BY user_id", MEMORIES)

@@ -16,15 +16,35 @@ from .tables import ARTIFACTS, MEMORIES, artifacts, chunks, memories, questions,
 @query("sf_json_compact", """SELECT event_id, '{"b":' || event_id || ',"a":[1,2]}' AS j FROM events WHERE event_id % 3 = 0""")
 def sf_json_compact(s, d):
     """SF9: white space goes, keys keep their order."""
+    return _compacted(table(s, d, "events").where("event_id % 3 = 0"))
+
+
+@query("sf_json_compact_all", """SELECT event_id, '{"b":' || event_id || ',"a":[1,2]}' AS j FROM events""")
+def sf_json_compact_all(s, d):
+    """SF9, every event."""
+    return _compacted(table(s, d, "events"))
+
+
+def _compacted(events):
     text = F.concat(F.lit('{ "b": '), F.col("event_id").cast("string"), F.lit(', "a" : [1,\n2] }'))
-    return table(s, d, "events").where("event_id % 3 = 0").select("event_id", OB.compact(text).alias("j"))
+    return events.select("event_id", OB.compact(text).alias("j"))
 
 
 @query("sf_json_digest", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '[1,2]' ELSE 'key: str; n: int' END AS j FROM events WHERE event_id < 500")
 def sf_json_digest(s, d):
     """SF10: a text that is too long becomes its outline."""
+    return _outlined(table(s, d, "events").where("event_id < 500"))
+
+
+@query("sf_json_digest_all", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '[1,2]' ELSE 'key: str; n: int' END AS j FROM events")
+def sf_json_digest_all(s, d):
+    """SF10, every event."""
+    return _outlined(table(s, d, "events"))
+
+
+def _outlined(events):
     long = F.concat(F.lit('{"key": "'), F.repeat(F.lit("x"), F.lit(300)), F.lit('", "n": 1}'))
-    return table(s, d, "events").where("event_id < 500").select("user_id", OB.outline(F.when(F.col("user_id") % 2 == 0, F.lit("[1, 2]")).otherwise(long)).alias("j"))
+    return events.select("user_id", OB.outline(F.when(F.col("user_id") % 2 == 0, F.lit("[1, 2]")).otherwise(long)).alias("j"))
 
 
 @query("sf_uri", "SELECT artifact_id, 'mem://' || namespace || '%20x/' || artifact_id AS path, 64::INT AS digits FROM artifacts", ARTIFACTS)
@@ -118,7 +138,17 @@ def ex_chains(s, d):
 @query("wg_render", "SELECT l_orderkey, 'graph TD' || chr(10) || string_agg('n' || a || ' --> n' || b, chr(10) ORDER BY a, b) AS mermaid FROM (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem WHERE l_orderkey < 500) GROUP BY 1")
 def wg_render(s, d):
     """WG5: a graph as text."""
-    e = table(s, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", F.col("l_linenumber").alias("a")).distinct()
+    return _rendered(table(s, d, "lineitem").where("l_orderkey < 500"))
+
+
+@query("wg_render_all", "SELECT l_orderkey, 'graph TD' || chr(10) || string_agg('n' || a || ' --> n' || b, chr(10) ORDER BY a, b) AS mermaid FROM (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem) GROUP BY 1")
+def wg_render_all(s, d):
+    """WG5, every graph."""
+    return _rendered(table(s, d, "lineitem"))
+
+
+def _rendered(edges):
+    e = edges.select("l_orderkey", F.col("l_linenumber").alias("a")).distinct()
     lines = F.transform(F.array_sort(F.collect_list("a")), lambda a: F.concat(F.lit("n"), a.cast("string"), F.lit(" --> n"), (a + 1).cast("string")))
     return e.groupBy("l_orderkey").agg(F.concat(F.lit("graph TD\n"), F.array_join(lines, "\n")).alias("mermaid"))
 

@@ -18,6 +18,12 @@ def sc_fetch(s, d):
     return artifacts(s, d).where((F.col("namespace") == "src1") & (F.col("reference") == F.concat(F.lit("mem://src1/"), "artifact_id")) & (F.col("doc_id") % 7 == 0)).select("artifact_id", "byte_size")
 
 
+@query("sc_fetch_all", "SELECT artifact_id, byte_size FROM artifacts WHERE namespace = 'src1' AND reference = 'mem://src1/' || artifact_id", ARTIFACTS)
+def sc_fetch_all(s, d):
+    """SC1, every reference of the namespace."""
+    return artifacts(s, d).where((F.col("namespace") == "src1") & (F.col("reference") == F.concat(F.lit("mem://src1/"), "artifact_id"))).select("artifact_id", "byte_size")
+
+
 @query("sc_list_page", "SELECT artifact_id, created_at FROM artifacts WHERE namespace = 'src2' AND created_at > TIMESTAMP '2024-01-02' ORDER BY created_at, doc_id LIMIT 20", ARTIFACTS)
 def sc_list_page(s, d):
     """SC2: a page after a key, oldest first."""
