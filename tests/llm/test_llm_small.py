@@ -187,6 +187,21 @@ def test_images(spark):
     assert op6_images.image_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, block", [(64, 256), (2, 256), (2, 1)])
+def test_votes_for_a_pair_are_added_over_all_entries(spark, monkeypatch, hot, block):
+    rng = np.random.default_rng(1)
+    ends = [x[0] for x in np.array_split(np.arange(op6_images.BITS), op6_images.CHUNKS)]
+    one = rng.integers(0, 2, (4, op6_images.BITS), np.uint8)
+    two, third = one.copy(), rng.integers(0, 2, (2, op6_images.BITS), np.uint8)
+    two[:, ends[1:]] ^= 1  # each corner of the pair meets in the first table only
+    third[:, : ends[1]] = one[2:, : ends[1]]  # an image of smaller id shares two of these entries
+    at = np.array([[10, 10, 0, 1], [40, 12, 0, 1], [25, 44, 0, 1], [50, 50, 0, 1]], np.float32)
+    rows = [(i, i, i, at[: len(b)].tobytes(), np.packbits(b, axis=1).tobytes()) for i, b in ((10, one), (11, two), (1, third))]
+    monkeypatch.setattr(op6_images, "descriptors", lambda *_: spark.createDataFrame(rows, "id long, k1 long, k2 long, places binary, bits binary"))
+    media = spark.range(1)
+    assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=hot, block=block).collect()} == {1: 1, 10: 10, 11: 10}
+
+
 def shingles(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
