@@ -202,6 +202,19 @@ def test_votes_for_a_pair_are_added_over_all_entries(spark, monkeypatch, hot, bl
     assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=hot, block=block).collect()} == {1: 1, 10: 10, 11: 10}
 
 
+def test_pairs_of_full_entries_make_few_rows(spark):
+    vectors = spark.range(160).select(F.col("id").alias("vec_id"), F.array(F.lit(0.3)).cast("array<float>").alias("embedding"))
+    media = op6_images.rendered_media(vectors)
+    raw = [bytes(r.media) for r in media.where("image_id % 8 = 0").orderBy("image_id").collect()]
+    shades = [len(set(r.split(b"255\n", 1)[1])) for r in raw]
+    assert max(shades) <= 27  # every other scene is plain rectangles again
+    want = {r.image_id: r.component_id for r in op6_images.image_copies(media).collect()}
+    assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=2, block=16).collect()} == want
+    places, bits = op6_images.describe(op6_images.read_media(raw[0]))
+    inside = spark.createDataFrame([(7, i, 50, i, places.astype(np.float32).tobytes(), bits.tobytes()) for i in range(50)], "family long, id long, n long, label long, places binary, bits binary")
+    assert op6_images.confirmed_within(inside).count() == 49  # of 1,225 pairs
+
+
 def shingles(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
