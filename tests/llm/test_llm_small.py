@@ -187,6 +187,31 @@ def test_images(spark):
     assert op6_images.image_copies(df.limit(0)).count() == 0
 
 
+def turned(x, degrees):
+    h, w = x.shape
+    t, (y, z) = np.deg2rad(degrees), np.mgrid[:h, :w] - np.array([h / 2, w / 2])[:, None, None]
+    sy, sx = -np.sin(t) * z + np.cos(t) * y + h / 2, np.cos(t) * z + np.sin(t) * y + w / 2
+    i, j = sy.clip(0, h - 2).astype(int), sx.clip(0, w - 2).astype(int)
+    u, v = (sy - i).clip(0, 1), (sx - j).clip(0, 1)
+    return (1 - u) * ((1 - v) * x[i, j] + v * x[i, j + 1]) + u * ((1 - v) * x[i + 1, j] + v * x[i + 1, j + 1])
+
+
+def test_large_pictures_cropped_rescaled_turned_and_noisy(spark):
+    def scene(seed, side=360):
+        rng, x = np.random.default_rng(seed), np.full((side, side), 100.0)
+        for cells, height in ((26, 30.0), (52, 25.0), (110, 22.0), (180, 18.0)):
+            x = x + height * op6_images.resize(rng.standard_normal((cells, cells)), side / cells + 1e-9)[:side, :side]
+        return x.clip(0, 200)
+
+    x, rng = scene(1), np.random.default_rng(9)
+    copies = [x, x[150:330, 20:200], op6_images.resize(x, 0.5), op6_images.resize(x, 0.85), turned(x, 7), turned(x, 30), x + rng.normal(0, 8, x.shape), (turned(x, 12) + rng.normal(0, 3, x.shape))[80:280, 80:280]]
+    pictures = [np.rint(p).clip(0, 255).astype(np.uint8) for p in [*copies, scene(2), scene(3)]]
+    media = spark.createDataFrame([(i, b"P5\n%d %d\n255\n" % p.shape[::-1] + p.tobytes()) for i, p in enumerate(pictures)], "image_id long, media binary")
+    got = {r.image_id: r for r in op6_images.image_copies(media).collect()}
+    assert [got[i].component_id for i in range(len(pictures))] == [0] * len(copies) + [8, 9]
+    assert got[0].n_corners > 3 * got[1].n_corners > 1000
+
+
 @pytest.mark.parametrize("hot, block", [(64, 256), (2, 256), (2, 1)])
 def test_votes_for_a_pair_are_added_over_all_entries(spark, monkeypatch, hot, block):
     rng = np.random.default_rng(1)
