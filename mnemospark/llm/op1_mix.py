@@ -64,12 +64,21 @@ def time_of(part: Column, knots) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out.otherwise(F.lit(1.0))))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, digits: int = BUCKET_DIGITS) -> DataFrame:
+def position(demand: Column, schedules) -> Column:
+    """The time at which a source's schedule has asked for this many words, of the columns target and kind."""
+    part = F.when(F.col("target") > 0, F.least(F.lit(1.0), demand / F.col("target")))
+    return F.round(F.element_at(F.array(*[time_of(part, s) for s in schedules]), F.col("kind") % len(schedules) + 1), 9)
+
+
+_INNER = ("__key", "__bucket", "__start", "__run", "__source", "__b", "kind")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, digits: int = BUCKET_DIGITS, unsorted: bool = False) -> DataFrame:
     """docs with size, source_size, target, taken (words, repeats counted), words_before and position (time of the first pass, null if not taken), sorted by it.
 
     The source's words are laid end to end in order of md5(doc_id), again and again; the mix takes the first target of
     them, so at most one document of a source is taken in part. Running counts are two-level: buckets of a source are
-    summed first, and only rows of one bucket are sorted together.
+    summed first, and only rows of one bucket are sorted together. unsorted leaves the order and the inner columns.
     """
     sized = docs.drop("size", "source_size", "target", "taken", "position", "words_before").withColumn("size", word_count())
     sized = sized.withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("__bucket", F.substring("__key", 1, digits))
@@ -88,27 +97,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     part = lambda limit: F.greatest(F.lit(0).cast("long"), F.least(limit, before + F.col("size")) - before)
     passes = range(int(-(-most // 1)))
     taken = sum((part(quota - F.lit(k) * F.col("source_size")) for k in passes), F.lit(0).cast("long"))
-    middle = F.when(F.col("target") > 0, F.least(F.lit(1.0), (before + F.col("size") / 2) / F.col("target")))
-    when = F.element_at(F.array(*[time_of(middle, s) for s in schedules]), F.col("kind") % len(schedules) + 1)
-    out = joined.withColumn("taken", taken).withColumn("words_before", before).withColumn("position", F.when(F.col("taken") > 0, F.round(when, 9)))
-    return out.drop("__key", "__bucket", "__start", "__run", "__source", "__b", "kind").orderBy(F.col("position").asc_nulls_last(), F.col("doc_id"))
+    out = joined.withColumn("taken", taken).withColumn("words_before", before)
+    out = out.withColumn("position", F.when(F.col("taken") > 0, position(before + F.col("size") / 2, schedules)))
+    return out if unsorted else out.drop(*_INNER).orderBy(F.col("position").asc_nulls_last(), F.col("doc_id"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix's documents in training order: each whole pass gives the document, the last pass its taken words.
+def mixed_documents(docs: DataFrame, schedules=SCHEDULES, positions: bool = False, **how) -> DataFrame:
+    """The mix's documents in training order: every pass of a document has its own place in its source's schedule, after
+    all words of the passes before it; positions adds these as __position. Each whole pass gives the document, the last pass its taken words.
 
     A document of size s with t words taken comes t div s times whole; if t mod s words are left, once more with its text
     cut after them (one document of a source at most). Documents without words are not in a mix of words: they are
-    dropped only where the source's target is 0, else kept once.
+    dropped only where the source's target is 0, else kept once, at their place in the first pass.
     """
     cols = docs.columns
-    got = mix(docs, **how)
+    got = mix(docs, schedules=schedules, unsorted=True, **how)
     whole = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(F.when(F.col("target") > 0, 1).otherwise(F.when(F.col("source_size") == 0, 1).otherwise(0)))
     got = got.withColumn("__whole", whole).withColumn("__left", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)))
     got = got.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where("__pass < __whole or __left > 0")
     # Words with the white space before each, as joined again they are the text itself.
     cut = F.expr(r"array_join(slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(__left as int)), '')")
-    return got.withColumn("text", F.when(F.col("__pass") < F.col("__whole"), F.col("text")).otherwise(cut)).select(*cols)
+    got = got.withColumn("text", F.when(F.col("__pass") < F.col("__whole"), F.col("text")).otherwise(cut))
+    # The cut copy is trained on in the middle of the words that it has.
+    own = F.when(F.col("__pass") < F.col("__whole"), F.col("size")).otherwise(F.col("__left"))
+    got = got.withColumn("__position", position(F.col("words_before") + F.col("__pass") * F.col("source_size") + own / 2, schedules))
+    got = got.orderBy(F.col("__position").asc_nulls_last(), "doc_id", "__pass")
+    return got.select(*cols, "__position") if positions else got.select(*cols)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,30 @@ def test_mix(spark):
     assert op1_mix.mix(empty(spark)).count() == 0
 
 
+def test_each_pass_has_its_own_place(spark):
+    docs = spark.createDataFrame([(i, "a", " ".join(f"w{i}_{k}" for k in range(1 + i % 7))) for i in range(60)] + [(100 + i, "b", "x " * 30) for i in range(40)], "doc_id long, source string, text string")
+    plan = {r.source: r for r in op1_mix.mix(docs).collect()}
+    out = op1_mix.mixed_documents(docs, positions=True).collect()
+    assert [r[-1] for r in out] == sorted(r[-1] for r in out)
+    assert plan["a"].target == 2 * plan["a"].source_size
+    # Brute force: the source's words end to end, twice, and the schedule's integral summed over small steps.
+    rows = sorted((r for r in op1_mix.mix(docs).collect() if r.source == "a"), key=lambda r: r.words_before)
+    knots = op1_mix.SCHEDULES[0]
+    grid = np.linspace(0, 1, 200_001)
+    rate = np.interp(grid, *zip(*knots, strict=True))
+    asked = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+    asked /= asked[-1]
+    want, at = [], 0
+    for _ in range(2):
+        for r in rows:
+            want.append((np.interp((at + r["size"] / 2) / plan["a"].target, asked, grid), r.doc_id))
+            at += r["size"]
+    got = [(r[-1], r.doc_id) for r in out if r.source == "a"]
+    assert [i for _, i in got] == [i for _, i in want]
+    assert np.allclose([x for x, _ in got], [x for x, _ in want], atol=1e-4)
+    assert [r.doc_id for r in op1_mix.mixed_documents(docs).collect()] == [r.doc_id for r in out]
+
+
 def test_targets_stop_at_twice_the_source(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), ("d", 0)], "source string, size long")
     got = {r.source: r.target for r in op1_mix.source_plan(sized).collect()}
