@@ -1,6 +1,8 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a license statement; both are sets of words. Words of the templates are
+A block is a line of a document, or a run of as many words as a template has, across line breaks, so that wrapped
+statements are found and endless lines don't match by scattered words; a template is a license statement. All are sets of
+words. The SQL knows whole lines only; both give the same rows where no statement is wrapped and no line is endless. Words of the templates are
 ordered by how often they occur in all documents, rarest first. A block that holds at least the threshold's share of a
 template must hold one of the template's first words in that order (prefix filter) and enough template words at all
 (length filter), with enough of both sets still to come after the first common word (positional filter). Pairs that
@@ -35,6 +37,8 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part may be reproduced without permission"),
 )
 CONTAINMENT = 0.8
+#: Longest line that is a block of its own; a longer one is tried by its runs only.
+LINE_WORDS = 64
 
 
 def hash_words(text: str) -> np.ndarray:
@@ -76,11 +80,12 @@ class Templates:
         self.vocabulary, self.rank = vocabulary, rank
         self.labels = [label for label, _ in templates]
         self.has = np.zeros((len(templates), len(vocabulary)), bool)
-        self.size, self.need, posting = [], [], []
+        self.size, self.need, self.words, posting = [], [], [], []
         for t, (_, text) in enumerate(templates):
             places = np.sort(rank[np.searchsorted(vocabulary, np.unique(hash_words(text)))])
             self.has[t, places] = True
             self.size.append(len(places))
+            self.words.append(len(hash_words(text)))
             need = int(np.ceil(containment * len(places) - 1e-9))
             self.need.append(need)
             posting += [(int(p), t, i) for i, p in enumerate(places[: len(places) - need + 1])]
@@ -113,6 +118,28 @@ class Templates:
         return names[b[keep]], t[keep], common[keep] / self.size[t[keep]]
 
 
+    def windows(self, row: np.ndarray, h: np.ndarray):
+        """(row, template, share) for runs of a template's number of words within a row, line breaks or not, that hold the threshold's share of it."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        place, owner, rows, found, share = self.rank[at[known]], row[known], [], [], []
+        for t, length in enumerate(self.words):
+            mine = self.has[t, place]
+            p, w, r = known[mine], place[mine], owner[mine]
+            if len(p) < self.need[t]:
+                continue
+            # A run that holds enough begins at a word of the template: its end is within length of it, in the row.
+            to = np.minimum(np.searchsorted(p, p + length), np.searchsorted(r, r, "right"))
+            some = np.flatnonzero(to - np.arange(len(p)) >= self.need[t])
+            for i in some.tolist():
+                n = len(np.unique(w[i : to[i]]))
+                if n >= self.need[t]:
+                    rows.append(r[i])
+                    found.append(t)
+                    share.append(n / self.size[t])
+        return np.array(rows, np.int64), np.array(found, np.int64), np.array(share)
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -149,9 +176,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
                     lines = np.flatnonzero(part == 10)
                     # A word's block: the lines before it, and its row, which may begin without a line break.
                     block = np.searchsorted(lines, start) + row
-                    found, t, share = join.matches(block, h)
+                    _, which, held = np.unique(block, return_inverse=True, return_counts=True)
+                    short = held[which] <= LINE_WORDS
+                    found, t, share = join.matches(block[short], h[short])
                     owner = row[np.searchsorted(block, found)]
-                    for r, u, s in zip(owner.tolist(), t.tolist(), share.tolist(), strict=True):
+                    across, v, part_of = join.windows(row, h)
+                    for r, u, s in zip([*owner.tolist(), *across.tolist()], [*t.tolist(), *v.tolist()], [*share.tolist(), *part_of.tolist()], strict=True):
                         labels[r].add(join.labels[u])
                         score[r] = max(score[r], s)
                 none = first < 0

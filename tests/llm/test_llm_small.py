@@ -356,6 +356,16 @@ def test_licenses(spark):
     assert op9_licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that"
+    apache = "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    texts = ["a b c " * 50 + bsd, bsd.replace(" ", "\n"), apache, "\n".join(f"{w} x y z" for w in bsd.split()), bsd[: bsd.index("\n")], "modification, are permitted\nor without\nRedistribution and use in"]
+    texts += ["Redistribution and use in source and", "binary forms, with or without modification, are permitted", " ".join(f"{w} {'x ' * 20}" for w in bsd.split())]
+    got = {r.doc_id: (r.labels, r.score) for r in op9_licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[i][0] for i in range(9)] == ["bsd", "bsd", "apache-2", "", "", "", "", "", ""]
+    assert got[0][1] == got[1][1] == 1.0 and got[4][1] == 0.0
+
+
 def pieces_hold(docs, rows, window):
     from tokenizers import Tokenizer
 
