@@ -139,8 +139,8 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Chain:
     """features: sorted hashes; weights: for each category, of the features, of the categories but the last (0 from its own on), and the intercept."""
 
-    def __init__(self, names: list[str], features: np.ndarray, weights: list[np.ndarray]):
-        self.names, self.features, self.weights = names, features, weights
+    def __init__(self, names: list[str], features: np.ndarray, weights: list[np.ndarray], fitted: bool = True):
+        self.names, self.features, self.weights, self.fitted = names, features, weights, fitted
 
     def predict(self, has: list[np.ndarray]) -> np.ndarray:
         n, size = len(has), len(self.features)
@@ -191,23 +191,28 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_
                 own = fold == k
                 unseen[own] = probability(x[own], fit_linear(x[~own], y[~own]))
             x[:, size + place] = unseen
-    return Chain(names, hashes, weights)
+    return Chain(names, hashes, weights, bool(rows) and 0 < sum(r[names[-1]] for r in rows) < len(rows))
 
 
 def score(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
-    """doc_id, p_<category> of each, and rejected: whether the chain's last category is at least as likely as cut."""
+    """doc_id, p_<category> of each, and rejected: whether the chain's last category is at least as likely as cut.
+
+    Without labelled rows of both kinds in that category nothing is rejected.
+    """
 
     def predict(batches):
         for batch in batches:
             for low, high, has in look_up(batch.column(1), chain.features):
                 p = chain.predict(has)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(p[:, c].round(6)) for c in range(len(chain.names))), pa.array(p[:, -1] >= cut)], ["doc_id", *(f"p_{c}" for c in chain.names), "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(p[:, c].round(6)) for c in range(len(chain.names))), pa.array((p[:, -1] >= cut) & chain.fitted)], ["doc_id", *(f"p_{c}" for c in chain.names), "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, " + "".join(f"p_{c} double, " for c in chain.names) + "rejected boolean")
 
 
 def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
-    """The rows of docs that the chain doesn't reject, in the same pass over their texts."""
+    """The rows of docs that the chain doesn't reject, in the same pass over their texts; all, if it knows only one kind."""
+    if not chain.fitted:
+        return docs
     cols, at = docs.columns, docs.columns.index("text")
 
     def keep(batches):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemospark.llm import op1_mix, op2_warc, op3_grid_join, op4_preferences, op5_toxicity, op6_images, op7_superminhash, op8_lengths, op9_licenses, op10_pack
 from mnemospark.llm.common import components, scratch_path
 from mnemospark.llm.tokens import Encoder, default_path
@@ -197,6 +198,41 @@ def test_toxicity(spark):
     assert op5_toxicity.score(empty(spark), none).count() == 0
 
 
+def test_nothing_is_rejected_without_labels_of_both_kinds(spark):
+    docs = documents(spark)
+    labels = docs.select("doc_id").where("doc_id is not null").distinct().select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    for some in (labels.limit(0), labels, labels.withColumn("toxic", F.lit(1)), labels.withColumn("doc_id", F.col("doc_id") + 10**9)):
+        chain = op5_toxicity.fit_chain(docs, some)
+        assert op5_toxicity.without_toxic(docs, chain).count() == docs.count()
+        assert op5_toxicity.score(docs, chain).where("rejected").count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    chain = op5_toxicity.fit_chain(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    place, size, hasher, want = {int(f): i for i, f in enumerate(chain.features)}, len(chain.features), op5_toxicity.SpanHasher(), set()
+    for r in rows:
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        found = {int(x) for h, _ in op5_toxicity.text_features(raw, np.array([0, len(raw)]), hasher, op5_toxicity.byte_class("alnum")) for x in h}
+        p = []
+        for w in chain.weights:
+            z = w[-1] + sum(w[place[f]] for f in found if f in place) + sum(w[size + k] * q for k, q in enumerate(p))
+            p.append(1 / (1 + np.exp(-z)))
+        if p[-1] < 0.5:
+            want.add(r.doc_id)
+    stages = dict(corpus_pipeline.STAGES)
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, sf).collect()} == want and len(want) < len(rows)
+    groups = brute_components([(r.doc_id, r.text) for r in rows])
+    assert sorted(r.doc_id for r in stages["near_duplicates"](spark, docs, sf).collect()) == sorted(i for i, (_, top) in groups.items() if top == i)
+    plan = {(r.doc_id): r for r in op1_mix.mix(docs).collect()}
+    words = Counter()
+    for r in stages["mixing"](spark, docs, sf).collect():
+        words[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert {i: n for i, n in words.items() if n} == {i: r.taken for i, r in plan.items() if r.taken}
+
+
 def test_images(spark):
     vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.lit(0.3)).cast("array<float>").alias("embedding"))
     media = op6_images.rendered_media(vectors).toPandas()
