@@ -39,6 +39,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, though use names it many times or inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9_]+"), 0)
 
@@ -173,7 +178,11 @@ def snippet(text: Column | str, words: Column, most: int = 500, lead: int = 166)
 def word_chunks(text: Column | str, window: int, overlap: int) -> Column:
     """Windows of words; an empty text is one chunk."""
     window, step = max(1, window), max(1, max(1, window) - min(overlap, max(1, window) - 1))
-    words = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - window) / step)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, window), " "))
-    return F.when(F.size(words) == 0, F.array(F.coalesce(col(text), F.lit("")))).otherwise(chunks)
+    text = F.coalesce(col(text), F.lit(""))
+
+    def cut(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - window) / step)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, window), " "))
+        return F.when(F.size(words) == 0, F.array(text)).otherwise(chunks)
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)

@@ -95,19 +95,6 @@ def me_update_metadata(s, d):
     return memories(s, d).select("memory_id", merged["tag"].alias("tag"), merged["ns"].alias("namespace"))
 
 
-@query("re_degraded", None)
-def re_degraded(s, d):
-    """RE15: a leg that can't be planned drops out and its hits say so."""
-    index = RE.postings(chunks(s, d))
-    legs, degraded = [], False
-    for leg in (lambda: RE.top_k(RE.keyword_scores(index, questions(s, d)), 10), lambda: RE.top_k(index.select("missing_column"), 10)):
-        try:
-            legs.append(leg())
-        except Exception:  # noqa: BLE001  any failure of a leg degrades the answer
-            degraded = True
-    return RE.reciprocal_rank_fusion(legs).withColumn("degraded", F.lit(degraded))
-
-
 @query("rc_summary_only", None)
 def rc_summary_only(s, d):
     """RC1, RC5: the summary alone, or the whole content with score 1."""
@@ -174,15 +161,6 @@ def bm_asof_views(s, d):
     return memories(s, d).join(F.broadcast(views), valid_at(F.col("day"))).groupBy("view").agg(F.count("*").alias("n"))  # three rows
 
 
-@query("bm_answer_strategies", None)
-def bm_answer_strategies(s, d):
-    """BM10, BM11: tokens that each strategy's context takes, by query."""
-    top = RE.top_k(RE.keyword_scores(RE.postings(chunks(s, d)), questions(s, d)), 5).join(chunks(s, d).select("chunk_id", T.token_estimate("text").alias("t")), "chunk_id")
-    search = top.groupBy("qid").agg(F.sum("t").alias("tokens")).withColumn("strategy", F.lit("search"))
-    best = top.where("rank = 1").select("qid", F.col("t").alias("tokens"), F.lit("best_chunk").alias("strategy"))
-    return search.select("qid", "tokens", "strategy").unionByName(best)
-
-
 @query("st_latest_status", "SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def st_latest_status(s, d):
     """ST3: the last state of each queued task."""

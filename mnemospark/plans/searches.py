@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import pii as PI
 from ..functions import text as T
-from ..operators import context as C
 from ..operators import filters as FI
 from ..operators import retrieval as RE
+from ..sources.chunk_store import hash_buckets
 from .registry import query
-from .tables import ARTIFACTS, CHUNKS, MEMORIES, QUESTIONS, artifacts, chunks, memories, questions, table
+from .stores import SCRUBBED
+from .tables import ARTIFACTS, CHUNKS, MEMORIES, QUESTIONS, artifacts, bags, memories, questions, store, table
 
 _INDEX = "postings AS (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM chunks) GROUP BY ALL), asked AS (SELECT qid, len(terms) AS n, unnest(terms) AS token FROM questions)"
 _KEYWORD = "keyword AS (SELECT qid, chunk_id, count(*) / max(n)::DOUBLE AS score FROM postings JOIN asked USING (token) GROUP BY ALL), kranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM keyword)"
@@ -19,63 +23,128 @@ dfs AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
 bm AS (SELECT qid, chunk_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM postings JOIN (SELECT DISTINCT qid, token FROM asked) USING (token) JOIN dfs USING (token) JOIN sizes USING (chunk_id), totals GROUP BY ALL),
 branked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM bm)"""
 _BASE = (ARTIFACTS, CHUNKS, QUESTIONS, _INDEX)
+_VECTOR = """vec AS (SELECT qid, chunk_id, round(d / sqrt((q.n * c.n)::DOUBLE), 6) AS score FROM (SELECT qid, chunk_id, sum(q.c * c.c)::DOUBLE AS d FROM qbag q JOIN cbag c USING (b) GROUP BY ALL) JOIN qbag_norm q USING (qid) JOIN cbag_norm c USING (chunk_id)),
+vranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM vec)"""
+_BAGS = (bags("qbag", "questions", "qid"), bags("cbag", "chunks", "chunk_id"), _VECTOR)
+
 
+def _lexical(s, d):
+    return RE.lexical_scores(store(s, d), questions(s, d))
 
-def _index(s, d):
-    asked = questions(s, d)
-    return RE.postings(chunks(s, d), questions=asked), asked
 
+def _keyword(s, d, k):
+    return RE.leg(_lexical(s, d), "keyword", k)
 
-def _keyword(s, d):
-    return RE.keyword_scores(*_index(s, d))
 
+def _bm25(s, d, k):
+    return RE.leg(_lexical(s, d), "bm25", k)
 
-def _bm25(s, d):
-    return RE.bm25_scores(chunks(s, d), *_index(s, d))
+
+def _vector(s, d, k):
+    return RE.top_k(RE.text_vector_scores(store(s, d).vectors, questions(s, d), k), k)
 
 
 @query("re_keyword_topk", "SELECT qid, chunk_id, score, rank FROM kranked WHERE rank <= 10", *_BASE, _KEYWORD)
 def re_keyword_topk(s, d):
     """RE1, RE2, RE3, RE17, TK2: all queries against all chunks through the index."""
-    return RE.top_k(_keyword(s, d), 10)
+    return _keyword(s, d, 10)
 
 
 @query("re_bm25_topk", "SELECT qid, chunk_id, score, rank FROM branked WHERE rank <= 10", *_BASE, _BM25)
 def re_bm25_topk(s, d):
     """RE4, JO1."""
-    return RE.top_k(_bm25(s, d), 10)
+    return _bm25(s, d, 10)
+
 
+@query("re_hash_vector_topk", "SELECT qid, chunk_id, round(score / max(score) OVER (PARTITION BY qid), 6) AS score, rank FROM vranked WHERE rank <= 10", ARTIFACTS, CHUNKS, QUESTIONS, *_BAGS)
+def re_hash_vector_topk(s, d):
+    """RE10, RE11, SF21, SF22: a text query's hash vector against all chunks' vectors, over the best."""
+    return _vector(s, d, 10).withColumn("score", F.round(F.col("score") / F.max("score").over(W.partitionBy("qid")), 6))
 
-@query("re_terms_and", "SELECT qid, chunk_id, score FROM keyword WHERE score = 1", *_BASE, _KEYWORD)
+
+@query("re_terms_and", "SELECT k.qid, k.chunk_id, b.score, row_number() OVER (PARTITION BY k.qid ORDER BY b.score DESC, k.chunk_id)::INT AS rank FROM keyword k JOIN bm b ON k.qid = b.qid AND k.chunk_id = b.chunk_id WHERE k.score = 1", *_BASE, _KEYWORD, _BM25)
 def re_terms_and(s, d):
-    """RE5: chunks that hold every term."""
-    return _keyword(s, d).where("score = 1")
+    """RE5: chunks that hold every term, by BM25; there is no stemmer, terms match as they are."""
+    return RE.leg(_lexical(s, d).where("keyword = 1"), "bm25", 1 << 30)
+
+
+#: Each question's first six words, as they stand.
+_PHRASES = "phrases AS (SELECT qid, array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:6], ' ') AS phrase FROM questions), literal AS (SELECT qid, chunk_id FROM phrases JOIN chunks ON contains(lower(chunks.text), lower(phrase)))"
 
 
-@query("re_like_union", "SELECT chunk_id, 'ther' AS q FROM chunks WHERE contains(lower(text), 'ther the') OR list_contains(regexp_extract_all(lower(text), '[a-z0-9_]+'), 'therouble')", ARTIFACTS, CHUNKS)
+def _literal(s, d):
+    phrases = questions(s, d).select("qid", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 6), " ").alias("phrase"))
+    return RE.phrase_hits(store(s, d), phrases)
+
+
+@query("re_like_union", "SELECT qid, count(*) AS hits, count(l.chunk_id) AS literal FROM keyword k FULL JOIN literal l USING (qid, chunk_id) GROUP BY qid", *_BASE, _KEYWORD, _PHRASES)
 def re_like_union(s, d):
-    """RE6: substring or token."""
-    return chunks(s, d).where(F.contains(F.lower("text"), F.lit("ther the")) | F.array_contains(T.tokens("text"), "therouble")).select("chunk_id", F.lit("ther").alias("q"))
+    """RE6: chunks that hold a term or the phrase, by question."""
+    both = _lexical(s, d).select("qid", "chunk_id").join(_literal(s, d).withColumn("l", F.lit(1)), ["qid", "chunk_id"], "full")
+    return both.groupBy("qid").agg(F.count("*").alias("hits"), F.count("l").alias("literal"))
 
 
-@query("re_substring_scan", "SELECT chunk_id, len(list_intersect(['onthe', 'the'], regexp_extract_all(lower(text), '[a-z0-9_]+'))) / 2::DOUBLE AS score FROM chunks WHERE contains(text, 'the on')", ARTIFACTS, CHUNKS)
+@query("re_substring_scan", "SELECT qid, chunk_id, coalesce(score, 0)::DOUBLE AS score FROM literal LEFT JOIN keyword USING (qid, chunk_id)", *_BASE, _KEYWORD, _PHRASES)
 def re_substring_scan(s, d):
-    """RE7: a whole-query substring, scored by overlap."""
-    return chunks(s, d).where(F.contains("text", F.lit("the on"))).select("chunk_id", T.overlap_score(F.array(F.lit("onthe"), F.lit("the")), "text").alias("score"))
+    """RE7: chunks that hold the phrase, scored by their share of the question's terms."""
+    return _literal(s, d).join(_lexical(s, d), ["qid", "chunk_id"], "left").select("qid", "chunk_id", F.coalesce("keyword", F.lit(0.0)).alias("score"))
+
+
+#: Requests to the memories: one for each nation, in one of four namespaces.
+REQUESTS = "requests AS (SELECT n_nationkey AS qid, 'ns' || (n_nationkey % 4) AS ns, CASE n_nationkey % 5 WHEN 0 THEN 'plan ' || n_nationkey WHEN 1 THEN 'Option ' || n_nationkey WHEN 2 THEN 'never step ' || n_nationkey || ' step' WHEN 3 THEN 'check 1' ELSE 'qqzz' || n_nationkey END AS text FROM nation)"
+
+
+def requests(s, d):
+    text = F.expr("case n_nationkey % 5 when 0 then concat('plan ', n_nationkey) when 1 then concat('Option ', n_nationkey) when 2 then concat('never step ', n_nationkey, ' step') when 3 then 'check 1' else concat('qqzz', n_nationkey) end")
+    return table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.concat(F.lit("ns"), F.col("n_nationkey") % 4).alias("ns"), text.alias("text"), hash_buckets(text).alias("buckets"))
+
 
+def visible(s, d):
+    """Memories in force at a day, with their namespace as ns."""
+    return memories(s, d).where(FI.visible_at(NOW)).withColumn("ns", F.col("namespace"))
 
-@query("re_memory_terms", "SELECT memory_id FROM memories WHERE contains(lower(text), 'plan 7') OR contains(lower(text), 'option 1')", MEMORIES)
+
+NOW = "2024-01-20 00:00:00"
+VISIBLE = f"visible AS (SELECT *, namespace AS ns FROM memories WHERE status <> 'superseded' AND effective_from <= TIMESTAMP '{NOW}' AND (effective_until IS NULL OR effective_until > TIMESTAMP '{NOW}'))"
+SUBSTRING = """scored AS (SELECT * FROM (SELECT qid, memory_id, list_sum(list_transform(list_filter(regexp_split_to_array(lower(r.text), '\\s+'), lambda w: w <> ''), lambda w: (length(v.text) - length(replace(lower(v.text), w, ''))) // length(w)))::BIGINT AS score FROM requests r JOIN visible v USING (ns)) WHERE score > 0),
+sranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id)::INT AS rank FROM scored)"""
+
+
+@query("re_memory_terms", "SELECT qid, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY memory_id) AS n FROM scored) WHERE n <= 10", MEMORIES, REQUESTS, VISIBLE, SUBSTRING)
 def re_memory_terms(s, d):
-    """RE8: any term as a substring."""
-    terms = F.array(F.lit("plan 7"), F.lit("option 1"))
-    return memories(s, d).where(F.exists(terms, lambda t: F.contains(F.lower("text"), t))).select("memory_id")
+    """RE8: the first memories in force that hold any term of a request as a substring."""
+    asked = requests(s, d).select("qid", "ns", F.split(F.lower("text"), r"\s+").alias("words"))
+    hits = visible(s, d).select("ns", "memory_id", F.lower("text").alias("low")).join(RE.if_small(asked), "ns").where(F.exists("words", lambda w: F.contains(F.col("low"), w)))
+    first = hits.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("memory_id"))).where("n <= 10")
+    return first.select("qid", "memory_id")
+
 
+def _scored(s, d, k):
+    return RE.top_k(RE.substring_scores(visible(s, d), requests(s, d)), k, "memory_id")
 
-@query("re_memory_scored", "SELECT memory_id, n / max(n) OVER () AS score FROM (SELECT memory_id, (len(text) - len(replace(text, '1', '')))::BIGINT AS n FROM memories WHERE status = 'active') WHERE n > 0 ORDER BY n DESC, memory_id LIMIT 25", MEMORIES)
+
+@query("re_memory_scored", "SELECT qid, memory_id, score / max(score) OVER (PARTITION BY qid) AS score FROM sranked WHERE rank <= 5", MEMORIES, REQUESTS, VISIBLE, SUBSTRING)
 def re_memory_scored(s, d):
-    """RE9, WI3, TK1: substring counts over the best."""
-    m = memories(s, d).where("status = 'active'").select("memory_id", T.substring_count("text", F.lit("1")).alias("n")).where("n > 0")
-    return m.orderBy(F.desc("n"), "memory_id").limit(25).select("memory_id", (F.col("n") / F.max("n").over(W.partitionBy())).alias("score"))
+    """RE9, WI3, TK1, SF6: occurrences of each request's terms, over the best."""
+    return RE.over_best(_scored(s, d, 5)).select("qid", "memory_id", "score")
+
+
+@query(
+    "re_memory_hybrid",
+    """SELECT qid, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id)::INT AS rank FROM (SELECT qid, memory_id, round(coalesce(1 / (60::DOUBLE + k.rank), 0) + coalesce(1 / (60::DOUBLE + v.rank), 0), 9) AS score
+    FROM sranked k FULL JOIN (SELECT * FROM mranked WHERE rank <= 50) v USING (qid, memory_id))) WHERE rank <= 10""",
+    MEMORIES, REQUESTS, VISIBLE, SUBSTRING, bags("rbag", "requests", "qid"), bags("mbag", "visible", "memory_id"),
+    """mvec AS (SELECT qid, memory_id, round(d / sqrt((q.n * m.n)::DOUBLE), 6) AS score FROM (SELECT qid, memory_id, sum(q.c * m.c)::DOUBLE AS d FROM rbag q JOIN mbag m USING (b) GROUP BY ALL) JOIN rbag_norm q USING (qid) JOIN mbag_norm m USING (memory_id) JOIN requests r USING (qid) JOIN visible v USING (memory_id) WHERE r.ns = v.ns),
+    mranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id)::INT AS rank FROM mvec)""",
+)
+def re_memory_hybrid(s, d):
+    """RE16, JO2: all keyword matches, and the 50 nearest hash vectors, under one predicate, by reciprocal rank."""
+    m, r = visible(s, d), requests(s, d)
+    keyword = RE.top_k(RE.substring_scores(m, r), 1 << 30, "memory_id").select("qid", "memory_id", F.col("rank").alias("k"))
+    near = RE.text_vector_scores(m.select("ns", "memory_id", hash_buckets(F.col("text")).alias("buckets")), r, 50, "memory_id", "ns")
+    near = RE.top_k(near, 50, "memory_id").select("qid", "memory_id", F.col("rank").alias("v"))
+    part = lambda c: F.coalesce(1 / (60 + F.col(c)), F.lit(0.0))
+    return RE.top_k(keyword.join(near, ["qid", "memory_id"], "full").select("qid", "memory_id", F.round(part("k") + part("v"), 9).alias("score")), 10, "memory_id")
 
 
 _VEC = "qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT qid, vec_id, round({e}, 6) AS score FROM qv, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) WHERE qid <> vec_id)"
@@ -104,82 +173,129 @@ def re_metric_cosine_ip_l2(s, d):
     return leg("ip").unionByName(leg("l2"))
 
 
-_TWO = (*_BASE, _KEYWORD, _BM25)
+_TWO = (*_BASE, _KEYWORD, *_BAGS)
+_FUSED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT qid, chunk_id, round(sum(1 / (60::DOUBLE + rank)), 9) AS score FROM ({}) GROUP BY ALL)) WHERE rank <= 10"
 
 
-@query("re_hybrid_rrf", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT qid, chunk_id, round(sum(1 / (60::DOUBLE + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM kranked WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM branked WHERE rank <= 20) GROUP BY ALL)) WHERE rank <= 10", *_TWO)
+@query("re_hybrid_rrf", _FUSED.format("SELECT qid, chunk_id, rank FROM kranked WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM vranked WHERE rank <= 20"), *_TWO)
 def re_hybrid_rrf(s, d):
-    """RE13, RE16, WI1, WI2: two legs by reciprocal rank."""
-    return RE.top_k(RE.reciprocal_rank_fusion([RE.top_k(_keyword(s, d), 20), RE.top_k(_bm25(s, d), 20)]), 10)
+    """RE13, WI1, WI2: keyword and vector legs of twice the limit by reciprocal rank."""
+    return RE.top_k(RE.reciprocal_rank_fusion([_keyword(s, d, 20), _vector(s, d, 20)]), 10)
 
 
-@query("re_hybrid_weighted", "SELECT qid, chunk_id, round(sum(x), 6) AS score FROM (SELECT qid, chunk_id, 0.4::DOUBLE * score / max(score) OVER (PARTITION BY qid) AS x FROM kranked WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, 0.6::DOUBLE * score / max(score) OVER (PARTITION BY qid) FROM branked WHERE rank <= 20) GROUP BY ALL", *_TWO)
+@query("re_hybrid_weighted", "SELECT qid, chunk_id, round(sum(x), 6) AS score FROM (SELECT qid, chunk_id, 0.5::DOUBLE * score / max(score) OVER (PARTITION BY qid) AS x FROM kranked WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, 0.5::DOUBLE * score / max(score) OVER (PARTITION BY qid) FROM vranked WHERE rank <= 20) GROUP BY ALL", *_TWO)
 def re_hybrid_weighted(s, d):
-    """RE14, RE19: weights over each leg's best."""
-    return RE.weighted_fusion([(RE.top_k(_keyword(s, d), 20), 0.4), (RE.top_k(_bm25(s, d), 20), 0.6)])
+    """RE14: equal weights over each leg's best."""
+    return RE.weighted_fusion([(_keyword(s, d, 20), 0.5), (_vector(s, d, 20), 0.5)])
+
+
+@query("re_degraded", _FUSED.format("SELECT qid, chunk_id, rank FROM kranked WHERE rank <= 20").replace("SELECT *", "SELECT *, true AS degraded", 1), *_BASE, _KEYWORD)
+def re_degraded(s, d):
+    """RE15: the vector leg's store is missing, so it drops out and the hits say so; without any leg there are none."""
+    lost = lambda: s.read.parquet(f"{store(s, d).path}/no_vectors")
+    legs, degraded = RE.degrading([lambda: _keyword(s, d, 20), lambda: RE.top_k(RE.text_vector_scores(lost(), questions(s, d), 20), 20)], lambda leg: leg())
+    return RE.top_k(RE.reciprocal_rank_fusion(legs), 10).withColumn("degraded", F.lit(degraded))
+
+
+_MODES = "SELECT mode, qid, chunk_id FROM (SELECT mode, qid, chunk_id, row_number() OVER (PARTITION BY mode, qid ORDER BY score DESC, chunk_id) AS n FROM ({})) WHERE n <= 5"
+_IN_SCOPE = "chunk_id IN (SELECT chunk_id FROM chunks JOIN artifacts USING (doc_id) WHERE chunks.namespace = 'src1' AND created_at >= TIMESTAMP '2024-01-03')"
 
 
-_CASCADE = "SELECT qid, chunk_id, rank FROM (SELECT f.qid, f.chunk_id, row_number() OVER (PARTITION BY f.qid ORDER BY coalesce(g.rank, 1073741824), f.rank, f.chunk_id)::INT AS rank FROM {a} f LEFT JOIN {b} g ON f.qid = g.qid AND f.chunk_id = g.chunk_id AND g.rank <= 50 WHERE f.rank <= 30) WHERE rank <= 10"
+@query("re_mode_dispatch", _MODES.format(f"SELECT 'keyword' AS mode, qid, chunk_id, score FROM keyword WHERE {_IN_SCOPE} UNION ALL SELECT 'vector', qid, chunk_id, score FROM vec WHERE {_IN_SCOPE} UNION ALL SELECT 'hybrid', qid, chunk_id, round(sum(1 / (60::DOUBLE + n)), 9) FROM (SELECT *, row_number() OVER (PARTITION BY leg, qid ORDER BY score DESC, chunk_id) AS n FROM (SELECT 1 AS leg, * FROM keyword WHERE {_IN_SCOPE} UNION ALL SELECT 2, * FROM vec WHERE {_IN_SCOPE})) WHERE n <= 10 GROUP BY ALL"), *_TWO)
+def re_mode_dispatch(s, d):
+    """RE19: one search in each mode; scope and filters stand before ranking, so no pool need be widened."""
+    st = store(s, d)
+    seen = artifacts(s, d).where(FI.compiled({"created_after": dt.datetime(2024, 1, 3)})).where("namespace = 'src1'").select("artifact_id")
+    scope = st.chunks.join(seen, "artifact_id", "left_semi").select("chunk_id")
+    lexical = _lexical(s, d).join(scope, "chunk_id", "left_semi")
+    vectors = st.vectors.join(scope, "chunk_id", "left_semi")
+    keyword = lambda k: RE.leg(lexical, "keyword", k)
+    vector = lambda k: RE.top_k(RE.text_vector_scores(vectors, questions(s, d), k), k)
+    modes = {"keyword": lambda: keyword(5), "vector": lambda: vector(5), "hybrid": lambda: RE.top_k(RE.reciprocal_rank_fusion([keyword(10), vector(10)]), 5)}
+    out = [search().select(F.lit(mode).alias("mode"), "qid", "chunk_id") for mode, search in modes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("re_cascade_a", _CASCADE.format(a="kranked", b="branked"), *_TWO)
+_CASCADE = "SELECT qid, chunk_id, rank FROM (SELECT f.qid, f.chunk_id, row_number() OVER (PARTITION BY f.qid ORDER BY coalesce(g.rank, 1073741824), f.rank, f.chunk_id)::INT AS rank FROM {a} f LEFT JOIN {b} g ON f.qid = g.qid AND f.chunk_id = g.chunk_id AND g.rank <= 200 WHERE f.rank <= 30) WHERE rank <= 10"
+
+
+@query("re_cascade_a", _CASCADE.format(a="kranked", b="vranked"), *_TWO)
 def re_cascade_a(s, d):
-    """RE18: a lexical pool in BM25 order."""
-    return RE.cascade(RE.top_k(_keyword(s, d), 50), RE.top_k(_bm25(s, d), 50), 10)
+    """RE18: a keyword pool of 30 in vector order."""
+    return RE.cascade(_keyword(s, d, 30), _vector(s, d, 200), 10)
 
 
-@query("re_cascade_b", _CASCADE.format(a="branked", b="kranked"), *_TWO)
+@query("re_cascade_b", _CASCADE.format(a="vranked", b="kranked"), *_TWO)
 def re_cascade_b(s, d):
-    """RE18: the other way round."""
-    return RE.cascade(RE.top_k(_bm25(s, d), 50), RE.top_k(_keyword(s, d), 50), 10)
+    """RE18: a vector pool of 30 in keyword order."""
+    return RE.cascade(_vector(s, d, 30), _keyword(s, d, 200), 10)
 
 
-@query("re_distinct_text", "SELECT qid, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY rank) AS first FROM kranked JOIN chunks USING (chunk_id) WHERE rank <= 40) WHERE first = 1 GROUP BY qid", *_BASE, _KEYWORD)
+@query(
+    "re_distinct_text",
+    "SELECT qid, rank, chunk_id, sha256(y) AS h FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY rank) AS first FROM kranked JOIN chunks USING (chunk_id) WHERE rank <= 40) JOIN scrubbed ON id = chunk_id WHERE first = 1",
+    *_BASE, _KEYWORD, "bodies AS (SELECT chunk_id AS id, text AS x FROM chunks)", *SCRUBBED,
+)
 def re_distinct_text(s, d):
-    """RE20, FI12: the first hit of each text."""
-    hits = RE.top_k(_keyword(s, d), 40).join(chunks(s, d).select("chunk_id", "text"), "chunk_id")
-    return RE.distinct_texts(hits).groupBy("qid").agg(F.count("*").alias("n"))
+    """RE20, FI12, SF1: the first hit of each text, scrubbed as it leaves."""
+    hits = RE.distinct_texts(_keyword(s, d, 40).join(store(s, d).chunks.select("chunk_id", "text"), "chunk_id"))
+    return hits.select("qid", "rank", "chunk_id", F.sha2(PI.scrub(F.col("text"))["text"], 256).alias("h"))
 
 
 @query("re_max_per_artifact", "SELECT qid, split_part(chunk_id, ':', 1) AS artifact_id, max(score) AS score FROM kranked WHERE rank <= 50 GROUP BY 1, 2", *_BASE, _KEYWORD)
 def re_max_per_artifact(s, d):
     """RE21."""
-    return RE.top_k(_keyword(s, d), 50).groupBy("qid", F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("artifact_id")).agg(F.max("score").alias("score"))
+    return _keyword(s, d, 50).groupBy("qid", F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("artifact_id")).agg(F.max("score").alias("score"))
 
 
 @query("re_minmax_normalize", "SELECT qid, chunk_id, CASE WHEN max(score) OVER q = min(score) OVER q THEN 1.0 ELSE round((score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q), 6) END::DOUBLE AS score FROM branked WHERE rank <= 10 WINDOW q AS (PARTITION BY qid)", *_BASE, _BM25)
 def re_minmax_normalize(s, d):
     """RE22."""
-    return RE.top_k(_bm25(s, d), 10).select("qid", "chunk_id", F.round(RE.min_max(F.col("score"), W.partitionBy("qid")), 6).alias("score"))
+    return _bm25(s, d, 10).select("qid", "chunk_id", F.round(RE.min_max(F.col("score"), W.partitionBy("qid")), 6).alias("score"))
 
 
-@query("re_merge_hits", "SELECT kind, id, max(score) AS score FROM (SELECT 'chunk' AS kind, chunk_id AS id, score FROM kranked WHERE rank <= 20 UNION ALL SELECT 'chunk', chunk_id, score FROM branked WHERE rank <= 20) GROUP BY ALL", *_TWO)
+@query("re_merge_hits", "SELECT kind, id, max(score) AS score FROM (SELECT 'chunk' AS kind, chunk_id AS id, score FROM kranked WHERE rank <= 20 UNION ALL SELECT 'chunk', chunk_id, score FROM vranked WHERE rank <= 20) GROUP BY ALL", *_TWO)
 def re_merge_hits(s, d):
     """RE23, SE2, AG15."""
-    leg = lambda x: RE.top_k(x, 20).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "score")
-    return RE.merged_hits([leg(_keyword(s, d)), leg(_bm25(s, d))])
+    leg = lambda x: x.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "score")
+    return RE.merged_hits([leg(_keyword(s, d, 20)), leg(_vector(s, d, 20))])
 
 
-@query("re_snippet", None)
+_SNIPPET = """places AS (SELECT qid, chunk_id, text, coalesce(list_min(list_filter(list_transform(w, lambda x: instr(lower(text), x) - 1), lambda p: p >= 0)), 0) AS p FROM (SELECT k.qid, k.chunk_id, c.text, q.w FROM kranked k JOIN chunks c USING (chunk_id) JOIN question_words q USING (qid) WHERE k.rank = 1)),
+starts AS (SELECT *, least(greatest(0, p - 60), greatest(0, length(text) - 200)) AS a FROM places)"""
+
+
+@query("re_snippet", "SELECT qid, chunk_id, CASE WHEN length(text) <= 200 THEN text ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || trim(substr(text, a + 1, 200)) || CASE WHEN a + 200 < length(text) THEN '...' ELSE '' END END AS snippet FROM starts", *_BASE, _KEYWORD, _SNIPPET)
 def re_snippet(s, d):
-    """RE24: a window around the first query word in each query's best chunk."""
-    best = RE.top_k(_keyword(s, d), 1).join(chunks(s, d).select("chunk_id", "text"), "chunk_id").join(questions(s, d), "qid")
-    return best.select("qid", "chunk_id", T.snippet("text", F.col("terms"), 200, 60).alias("snippet"))
+    """RE24: a window around the first of a question's tokens, function words too, in its best chunk."""
+    asked = questions(s, d).select("qid", F.array_distinct(T.tokens("text")).alias("words"))
+    best = _keyword(s, d, 1).join(store(s, d).chunks.select("chunk_id", "text"), "chunk_id").join(asked, "qid")
+    return best.select("qid", "chunk_id", T.snippet("text", F.col("words"), 200, 60).alias("snippet"))
 
 
-@query("re_recall_mrr", "SELECT round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS recall_at_1, round(avg(1.0::DOUBLE / first), 6) AS mrr FROM (SELECT qid, min(CASE WHEN score = best THEN rank END) AS first FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM branked) GROUP BY qid)", *_BASE, _BM25)
+@query(
+    "re_recall_mrr",
+    """SELECT leg, round(avg((first = 1)::INT), 6) AS recall_at_1, round(avg((first <= 5)::INT), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS asked FROM (SELECT leg, q.qid, min(rank) FILTER (l.chunk_id IS NOT NULL) AS first
+    FROM (SELECT DISTINCT qid FROM literal) q CROSS JOIN (VALUES ('keyword'), ('bm25'), ('vector')) n(leg) LEFT JOIN (SELECT 'keyword' AS leg, * FROM kranked WHERE rank <= 20 UNION ALL SELECT 'bm25', * FROM branked WHERE rank <= 20 UNION ALL SELECT 'vector', * FROM vranked WHERE rank <= 20) h USING (qid, leg)
+    LEFT JOIN literal l ON l.qid = h.qid AND l.chunk_id = h.chunk_id GROUP BY ALL) GROUP BY leg""",
+    *_BASE, _KEYWORD, _BM25, *_BAGS, _PHRASES,
+)
 def re_recall_mrr(s, d):
-    """RE25, BM11: rank of the first relevant hit; relevant here is what scores best."""
-    r = RE.top_k(_bm25(s, d), 1 << 30).withColumn("best", F.max("score").over(W.partitionBy("qid")))
-    first = r.groupBy("qid").agg(F.min(F.when(F.col("score") == F.col("best"), F.col("rank"))).alias("first"))
-    return first.agg(F.round(F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)), 6).alias("recall_at_1"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
+    """RE25, BM11: relevant are the chunks that hold a question's first words literally; each leg's first relevant rank within 20, 0 if it has none."""
+    relevant, lexical = _literal(s, d).distinct(), _lexical(s, d)
+    legs = [RE.leg(lexical, "keyword", 20).withColumn("leg", F.lit("keyword")), RE.leg(lexical, "bm25", 20).withColumn("leg", F.lit("bm25")), _vector(s, d, 20).withColumn("leg", F.lit("vector"))]
+    ranked = legs[0].unionByName(legs[1]).unionByName(legs[2]).join(relevant, ["qid", "chunk_id"]).groupBy("leg", "qid").agg(F.min("rank").alias("first"))
+    asked = relevant.select("qid").distinct().withColumn("leg", F.explode(F.array(*map(F.lit, ("keyword", "bm25", "vector")))))
+    first = asked.join(ranked, ["leg", "qid"], "left")
+    share = lambda k: F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6)
+    return first.groupBy("leg").agg(share(1).alias("recall_at_1"), share(5).alias("recall_at_5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("asked"))
 
 
-@query("jo_full_outer", "SELECT qid, chunk_id, coalesce(k.rank, 0)::INT AS krank, coalesce(b.rank, 0)::INT AS brank FROM (SELECT * FROM kranked WHERE rank <= 10) k FULL JOIN (SELECT * FROM branked WHERE rank <= 10) b USING (qid, chunk_id)", *_TWO)
+@query("jo_full_outer", "SELECT qid, chunk_id, coalesce(k.rank, 0)::INT AS krank, coalesce(b.rank, 0)::INT AS vrank FROM (SELECT * FROM kranked WHERE rank <= 10) k FULL JOIN (SELECT * FROM vranked WHERE rank <= 10) b USING (qid, chunk_id)", *_TWO)
 def jo_full_outer(s, d):
-    """JO2."""
-    leg = lambda x, n: RE.top_k(x, 10).select("qid", "chunk_id", F.col("rank").alias(n))
-    return leg(_keyword(s, d), "krank").join(leg(_bm25(s, d), "brank"), ["qid", "chunk_id"], "full").na.fill(0, ["krank", "brank"])
+    """JO2: keyword and vector legs side by side."""
+    leg = lambda x, n: x.select("qid", "chunk_id", F.col("rank").alias(n))
+    return leg(_keyword(s, d, 10), "krank").join(leg(_vector(s, d, 10), "vrank"), ["qid", "chunk_id"], "full").na.fill(0, ["krank", "vrank"])
 
 
 @query("jo_inner", "SELECT o_orderkey, count(*) AS nodes FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' GROUP BY 1")
@@ -188,11 +304,12 @@ def jo_inner(s, d):
     return table(s, d, "orders").where("o_orderstatus = 'O'").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("nodes"))
 
 
-@query("jo_left_scores", "SELECT artifact_id, coalesce(score, 0)::DOUBLE AS score FROM artifacts LEFT JOIN (SELECT split_part(chunk_id, ':', 1) AS artifact_id, max(score) AS score FROM keyword WHERE qid = 3 GROUP BY 1) USING (artifact_id)", *_BASE, _KEYWORD)
+@query("jo_left_scores", "SELECT artifact_id, coalesce(score, 0)::DOUBLE AS score, coalesce(asked, 0)::BIGINT AS asked FROM artifacts LEFT JOIN (SELECT split_part(chunk_id, ':', 1) AS artifact_id, max(score) AS score, count(DISTINCT qid) AS asked FROM keyword GROUP BY 1) USING (artifact_id)", *_BASE, _KEYWORD)
 def jo_left_scores(s, d):
-    """JO5."""
-    sc = _keyword(s, d).where("qid = 3").groupBy(F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("artifact_id")).agg(F.max("score").alias("score"))
-    return artifacts(s, d).join(sc, "artifact_id", "left").select("artifact_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """JO5: every artifact with its best score over all questions, 0 without a hit."""
+    own = F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("artifact_id")
+    sc = _lexical(s, d).groupBy(own, "qid").agg(F.max("keyword").alias("score")).groupBy("artifact_id").agg(F.max("score").alias("score"), F.count("qid").alias("asked"))
+    return artifacts(s, d).join(sc, "artifact_id", "left").select("artifact_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("asked", F.lit(0)).cast("long").alias("asked"))
 
 
 @query("jo_semi_hydrate", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -263,66 +380,3 @@ def se_union_first(s, d):
 def se_overlap(s, d):
     """SE3, SE4."""
     return table(s, d, "conversations").select("conv_id", "turn", F.size(F.array_intersect(T.tokens("text"), F.array(*map(F.lit, ("the", "of", "and"))))).alias("n"))
-
-
-@query("rc_memory", "SELECT memory_id, CASE WHEN max(n) OVER () = min(n) OVER () THEN 1.0 ELSE (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ())::DOUBLE END::DOUBLE AS score FROM (SELECT memory_id, (len(text) - len(replace(text, '2', '')))::BIGINT AS n FROM memories WHERE status = 'active' AND contains(text, '2') ORDER BY n DESC, memory_id LIMIT 20)", MEMORIES)
-def rc_memory(s, d):
-    """RC2: scored memories as citations, normalised."""
-    m = memories(s, d).where("status = 'active'").select("memory_id", T.substring_count("text", F.lit("2")).alias("n")).where("n > 0").orderBy(F.desc("n"), "memory_id").limit(20)
-    return m.select("memory_id", RE.min_max(F.col("n"), W.partitionBy()).alias("score"))
-
-
-@query("rc_artifact", "SELECT qid, chunk_id, score FROM kranked WHERE rank <= 3", *_BASE, _KEYWORD)
-def rc_artifact(s, d):
-    """RC3, RC1."""
-    return RE.top_k(_keyword(s, d), 3).select("qid", "chunk_id", "score")
-
-
-@query("rc_adaptive", "SELECT qid, min(tier)::INT AS tier FROM (SELECT qid, CASE WHEN max(score) >= 0.8 THEN 1 WHEN max(score) >= 0.4 THEN 2 ELSE 4 END AS tier FROM keyword GROUP BY qid UNION ALL SELECT qid, 4 FROM questions) GROUP BY qid", *_BASE, _KEYWORD)
-def rc_adaptive(s, d):
-    """RC5, RC6: the first tier whose best score reaches its floor, for all queries in one plan; else to abstain."""
-    best = _keyword(s, d).groupBy("qid").agg(F.max("score").alias("top"))
-    tier = F.when(F.col("top") >= 0.8, 1).when(F.col("top") >= 0.4, 2).otherwise(4)
-    return questions(s, d).join(best, "qid", "left").select("qid", tier.alias("tier"))
-
-
-@query(
-    "rc_episodic",
-    "SELECT session_id, round(score + CASE WHEN inside AND any_in THEN 1 ELSE 0 END, 6) AS score FROM (SELECT *, bool_or(inside) OVER () AS any_in FROM (SELECT session_id, avg(value) AS score, max(effective_from) >= TIMESTAMP '2024-01-30' AS inside FROM memories GROUP BY session_id))",
-    MEMORIES,
-)
-def rc_episodic(s, d):
-    """RC8, FI13: sessions in the window rank higher, if any is in it."""
-    e = memories(s, d).groupBy("session_id").agg(F.avg("value").alias("score"), F.max("effective_from").alias("when"))
-    inside = F.col("when") >= F.expr("timestamp_ntz'2024-01-30'")
-    return e.select("session_id", F.round(F.col("score") + F.when(inside & F.max(inside).over(W.partitionBy()), 1).otherwise(0), 6).alias("score"))
-
-
-@query("rc_shortcut", "SELECT user_id, arg_min(tier, p) AS tier FROM (SELECT user_id, 1 AS p, 'outcome' AS tier FROM memories WHERE kind = 'decision' AND value > 150 UNION ALL SELECT user_id, 2, 'context' FROM memories WHERE kind = 'fact' UNION ALL SELECT user_id, 3, 'procedure' FROM memories) GROUP BY user_id", MEMORIES)
-def rc_shortcut(s, d):
-    """RC9: the first tier that has something."""
-    m = memories(s, d)
-    leg = lambda df, p, t: df.select("user_id", F.lit(p).alias("p"), F.lit(t).alias("tier"))
-    u = leg(m.where("kind = 'decision' and value > 150"), 1, "outcome").unionByName(leg(m.where("kind = 'fact'"), 2, "context")).unionByName(leg(m, 3, "procedure"))
-    return u.groupBy("user_id").agg(F.min_by("tier", "p").alias("tier"))
-
-
-@query("rc_graph_behavior", "SELECT status, CASE WHEN status = 'superseded' THEN 'flag' ELSE 'show' END AS behavior, count(*) AS n FROM memories WHERE effective_from <= TIMESTAMP '2024-01-20' GROUP BY ALL", MEMORIES)
-def rc_graph_behavior(s, d):
-    """RC4: superseded rows flagged rather than hidden."""
-    return memories(s, d).where("effective_from <= timestamp_ntz'2024-01-20'").groupBy("status", F.when(F.col("status") == "superseded", "flag").otherwise("show").alias("behavior")).agg(F.count("*").alias("n"))
-
-
-@query("rc_digest", "SELECT qid, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS digest FROM kranked JOIN chunks USING (chunk_id) WHERE rank <= 5 GROUP BY qid", *_BASE, _KEYWORD)
-def rc_digest(s, d):
-    """RC7: the five best chunks of each query, joined."""
-    top = RE.top_k(_keyword(s, d), 5).join(chunks(s, d).select("chunk_id", "text"), "chunk_id")
-    return top.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n---\n").alias("digest"))
-
-
-@query("pk_context", None)
-def pk_context(s, d):
-    """PK1, WI7: each query's best 50 chunks packed into 300 tokens, skipping what doesn't fit."""
-    top = RE.top_k(_bm25(s, d), 50).join(chunks(s, d).select("chunk_id", T.token_estimate("text").alias("tokens")), "chunk_id")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").alias("id"), "tokens"))), lambda x: F.struct(x["id"].alias("id"), x["tokens"].alias("tokens")))
-    return top.groupBy("qid").agg(C.packed(items, 300).alias("p")).select("qid", F.col("p.used").alias("used"), F.array_join("p.ids", ",").alias("ids"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import pii as PI
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.temporal import WEEKDAYS
 from ..operators import filters as FI
 from .registry import query
-from .tables import ARTIFACTS, CHUNKS, MEMORIES, artifacts, chunks, memories, table
+from .tables import ARTIFACTS, BUCKET, CHUNKS, MEMORIES, artifacts, chunks, memories, table
 
 
 @query("sc_fetch", "SELECT artifact_id, byte_size FROM artifacts WHERE namespace = 'src1' AND reference = 'mem://src1/' || artifact_id AND doc_id % 7 = 0", ARTIFACTS)
@@ -231,6 +233,32 @@ def sf_pii_scrub(s, d):
     return _bodies(s, d).select("id", F.sha2(T.scrubbed("x"), 256).alias("h"))
 
 
+def _numbered() -> tuple[str, ...]:
+    """SQL: spans(id, a, z, kind, number) as accepted, type after type, and scrubbed(id, y): each type's matches are found between the pieces that split by it leaves."""
+    out = []
+    for i, (kind, p) in enumerate(T.SENSITIVE):
+        earlier = " UNION ALL ".join(f"SELECT * FROM taken{j}" for j in range(i))
+        free = f" WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) t WHERE t.id = f.id AND t.a < f.z AND f.a < t.z)" if i else ""
+        out.append(f"""found{i} AS (SELECT id, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(hit) AS n
+  FROM (SELECT id, unnest(string_split_regex(x, '{p}')[1 : len(regexp_extract_all(x, '{p}'))]) AS gap, unnest(regexp_extract_all(x, '{p}')) AS hit, unnest(range(0, len(regexp_extract_all(x, '{p}')))) AS k FROM bodies) WINDOW w AS (PARTITION BY id ORDER BY k)),
+taken{i} AS (SELECT id, a, z, '{kind}' AS kind, row_number() OVER (PARTITION BY id ORDER BY a) AS number FROM (SELECT id, a, a + n AS z FROM found{i}) f{free})""")
+    every = " UNION ALL ".join(f"SELECT * FROM taken{j}" for j in range(len(T.SENSITIVE)))
+    out.append(f"spans AS ({every})")
+    out.append("""scrubbed AS (SELECT b.id, coalesce(string_agg(substr(b.x, (before + 1)::BIGINT, (a - before)::BIGINT) || '[' || kind || '_' || number || ']', '' ORDER BY a), '') || substr(any_value(b.x), (coalesce(max(z), 0) + 1)::BIGINT) AS y,
+  coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types, count(kind) AS n FROM bodies b LEFT JOIN (SELECT *, coalesce(lag(z) OVER (PARTITION BY id ORDER BY a), 0) AS before FROM spans) s USING (id) GROUP BY b.id)""")
+    return tuple(out)
+
+
+SCRUBBED = _numbered()
+
+
+@query("sf_pii_numbered", "SELECT id, sha256(y) AS h, types, n FROM scrubbed", ARTIFACTS, MEMORIES, _BODIES, *SCRUBBED)
+def sf_pii_numbered(s, d):
+    """SF1, SF2, AG8: numbered tokens, later types only where earlier ones left room, with the types found."""
+    x = _bodies(s, d).select("id", PI.scrub(F.col("x")).alias("s"))
+    return x.select("id", F.sha2("s.text", 256).alias("h"), F.array_join("s.types", ",").alias("types"), "s.n")
+
+
 @query("sf_tokens", "SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS t FROM artifacts) GROUP BY t", ARTIFACTS)
 def sf_tokens(s, d):
     """SF4, SF5."""
@@ -287,21 +315,37 @@ def sf_event_date(s, d):
     return table(s, d, "events").select("event_id", T.event_date(text).cast("timestamp_ntz").alias("at"))
 
 
+#: Phrases for events, one of every kind, numbers and weekdays by id.
+_ASKED = ("'bug ' || n || ' days ago'", "'what broke yesterday'", "'in the last ' || n || ' weeks'", "'since ' || n || ' months'", "'since last week'", "'last ' || wd", "'last week'", "'last month'", "'last year'", "'this week'", "'this month'", "'this year'", "'on ' || wd", "'today''s bug'", "'seen recently'", "'no date at all'")
+_WEEKDAYS = "['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday']"
+_MEANT = (("day - n", "day - n"), ("day - 1", "day - 1"), ("day - 7 * n", "day"), ("day - 30 * n", "day"), ("day - 7", "day"), ("day - CASE (isodow(day) - 1 - k + 7) % 7 WHEN 0 THEN 7 ELSE (isodow(day) - 1 - k + 7) % 7 END::INT", None),
+  ("date_trunc('week', day)::DATE - 7", "date_trunc('week', day)::DATE - 1"), ("date_trunc('month', day) - INTERVAL 1 MONTH", "date_trunc('month', day)::DATE - 1"), ("date_trunc('year', day) - INTERVAL 1 YEAR", "date_trunc('year', day)::DATE - 1"),
+  ("date_trunc('week', day)", "day"), ("date_trunc('month', day)", "day"), ("date_trunc('year', day)", "day"), ("day - ((isodow(day) - 1 - k + 7) % 7)::INT", None), ("day", "day"), ("day - 7", "day"), ("NULL", "NULL"))
+_LEFT = ("'bug'", "'what broke'", "phrase", "phrase", "phrase", "phrase", "phrase", "phrase", "phrase", "phrase", "phrase", "phrase", "'on'", "'bug'", "'seen'", "phrase")
+
+
+def _by_kind(cases) -> str:
+    return "CASE event_id % 16 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(cases)) + " END"
+
+
 @query(
     "sf_relative_date",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts::DATE - (event_id % 9 + 1)::INT WHEN 1 THEN ts::DATE - 1 WHEN 2 THEN ts::DATE - (7 * (event_id % 3 + 1))::INT ELSE ts::DATE - ((isodow(ts::DATE) - 1 + 7) % 7)::INT END::DATE::VARCHAR AS after FROM events""",
-)
+    f"SELECT event_id, {_by_kind([f'({a})::DATE::VARCHAR' for a, _ in _MEANT])} AS after, {_by_kind([f'({b or a})::DATE::VARCHAR' for a, b in _MEANT])} AS before, {_by_kind(_LEFT)} AS cleaned FROM asked",
+    f"dated AS (SELECT event_id, ts::DATE AS day, (event_id % 9 + 1)::INT AS n, (event_id // 16 % 7)::INT AS k, {_WEEKDAYS}[(event_id // 16 % 7)::INT + 1] AS wd FROM events), asked AS (SELECT *, {_by_kind(_ASKED)} AS phrase FROM dated)",
+)
 def sf_relative_date(s, d):
-    """SF17, SF18, SF19: phrases against an anchor, as a column."""
-    from ..functions.temporal import after_date
+    """SF17, SF18, SF19: the window that a phrase means at an anchor day, and the query without it."""
+    from ..functions.temporal import date_window, without_phrase
 
-    phrase = F.expr("case event_id % 4 when 0 then concat('bug ', event_id % 9 + 1, ' days ago') when 1 then 'what broke yesterday' when 2 then concat('in the last ', event_id % 3 + 1, ' weeks') else 'on Monday' end")
-    return table(s, d, "events").select("event_id", after_date(phrase, F.to_date("ts")).cast("string").alias("after"))
+    e = table(s, d, "events").select("event_id", F.to_date("ts").alias("day"), (F.col("event_id") % 9 + 1).cast("string").alias("n"), F.element_at(F.array(*map(F.lit, WEEKDAYS)), (F.floor(F.col("event_id") / 16) % 7 + 1).cast("int")).alias("wd"))
+    e = e.withColumn("phrase", F.expr(_by_kind(_ASKED).replace("''s", "\\'s")))
+    w = e.withColumn("w", date_window(F.col("phrase"), F.col("day")))
+    return w.select("event_id", F.col("w.after").cast("string").alias("after"), F.col("w.before").cast("string").alias("before"), without_phrase(F.col("phrase")).alias("cleaned"))
 
 
 @query(
     "sf_hash_embed",
-    "SELECT token, list_reduce(list_concat([0::BIGINT], list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(token), (i * 4 + 1)::INT, 4))::BIGINT)), lambda a, b: (a * 65536 + b) % 384) AS bucket FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM benchmark)",
+    f"SELECT token, {BUCKET.format('token')} AS bucket FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM benchmark)",
 )
 def sf_hash_embed(s, d):
     """SF21: a token's dimension."""

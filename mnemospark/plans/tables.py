@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.chunk_store import ChunkStore, hash_buckets, opened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,17 +65,27 @@ chunk_at AS (SELECT *, unnest(range(0, CASE WHEN len(w) = 0 THEN 1 ELSE greatest
 chunks AS (SELECT artifact_id, doc_id, namespace, ordinal::INT AS ordinal, CASE WHEN len(w) = 0 THEN content ELSE array_to_string(w[ordinal * 60 + 1 : ordinal * 60 + 80], ' ') END AS text, artifact_id || ':' || ordinal AS chunk_id FROM chunk_at)"""
 
 
-def questions(spark: SparkSession, sf_dir: str, terms: int = 5) -> DataFrame:
-    """A query for each benchmark item: its first content terms."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(T.content_terms("text"), 1, terms).alias("terms"))
+def store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """The chunk store over all documents, written once a session."""
+    return opened(spark, f"{sf_dir}/documents.parquet", lambda: chunks(spark, sf_dir))
 
 
-def _oracle_terms(text: str) -> str:
-    stop = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-    return f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9_]+'), lambda w: NOT list_contains({stop}, w))"
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each benchmark item: its text, its content terms and the buckets of its hash vector."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", T.content_terms("text").alias("terms"), hash_buckets(F.col("text")).alias("buckets"))
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 # list_distinct has no order: the first places of terms give it.
-QUESTIONS = f"""question_tokens AS (SELECT item_id AS qid, {_oracle_terms("text")} AS w FROM benchmark),
-questions AS (SELECT qid, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS terms FROM question_tokens)"""
+QUESTIONS = f"""question_tokens AS (SELECT item_id AS qid, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark),
+question_words AS (SELECT qid, text, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM question_tokens),
+questions AS (SELECT qid, text, CASE WHEN len(list_filter(w, lambda x: NOT list_contains({_STOP}, x))) > 0 THEN list_filter(w, lambda x: NOT list_contains({_STOP}, x)) ELSE w END AS terms FROM question_words)"""
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
+BUCKET = "list_reduce(list_concat([0::BIGINT], list_transform(range(0, 16), lambda i: ('0x' || substr(sha256({}), (i * 4 + 1)::INT, 4))::BIGINT)), lambda a, b: (a * 65536 + b) % 384)"
+
+
+def bags(name: str, source: str, key: str, text: str = "text") -> str:
+    """SQL: {name}(key, b, c) counts of a source's tokens by bucket and {name}_norm(key, n), the sum of their squares."""
+    return f"""{name}_words AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> '')) AS w FROM {source}),
+{name}_buckets AS (SELECT w, {BUCKET.format("w")} AS b FROM (SELECT DISTINCT w FROM {name}_words)),
+{name} AS (SELECT {key}, b, count(*) AS c FROM {name}_words JOIN {name}_buckets USING (w) GROUP BY ALL), {name}_norm AS (SELECT {key}, sum(c * c) AS n FROM {name} GROUP BY ALL)"""

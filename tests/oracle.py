@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata"
 
@@ -14,8 +15,11 @@ def plain(value):
         value = value.tolist()
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and math.isnan(value):
         return None
+    # A whole number is one, though a column with nulls made it a float.
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53:
+        return str(int(value))
     return repr(value) if isinstance(value, float) else str(value)
 
 

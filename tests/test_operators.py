@@ -18,18 +18,31 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()["x"]
 
 
+D = lambda m, d, y=2026: dt.date(y, m, d)
+
+
 @pytest.mark.parametrize(
-    "phrase, days",
-    [("bug 3 days ago", 3), ("what broke yesterday", 1), ("in the last 2 weeks", 14), ("since 1 month ago", 30), ("last friday", 7), ("last year", 365), ("on monday", 4), ("today", 0), ("recently seen", 7), ("nothing", None)],
-)
-def test_relative_dates(spark, phrase, days):
-    friday = dt.date(2026, 5, 29)
-    assert one(spark, temporal.after_date(F.lit(phrase), F.lit(friday))) == (None if days is None else friday - dt.timedelta(days=days))
+    "phrase, after, before",
+    [
+        ("bug 3 days ago", D(5, 26), D(5, 26)), ("what broke yesterday", D(5, 28), D(5, 28)), ("in the last 2 weeks", D(5, 15), D(5, 29)), ("since 2 months", D(3, 30), D(5, 29)), ("since last week", D(5, 22), D(5, 29)),
+        ("last friday", D(5, 22), D(5, 22)), ("last week", D(5, 18), D(5, 24)), ("last month", D(4, 1), D(4, 30)), ("last year", D(1, 1, 2025), D(12, 31, 2025)), ("last day", D(5, 22), D(5, 29)), ("this week", D(5, 25), D(5, 29)),
+        ("this month", D(5, 1), D(5, 29)), ("this year", D(1, 1), D(5, 29)), ("this day", D(5, 29), D(5, 29)), ("on monday", D(5, 25), D(5, 25)), ("this friday", D(5, 29), D(5, 29)), ("today", D(5, 29), D(5, 29)), ("recently seen", D(5, 22), D(5, 29)), ("nothing", None, None),
+    ],
+)
+def test_relative_dates(spark, phrase, after, before):
+    got = one(spark, temporal.date_window(F.lit(phrase), F.lit(D(5, 29))))
+    assert got is None if after is None else (got.after, got.before) == (after, before)
 
 
-def test_phrase_is_removed():
-    assert temporal.without_phrase("show today's bug in the parser") == "show bug in the parser"
-    assert temporal.without_phrase("the bug") == "the bug"
+@pytest.mark.parametrize(
+    "query, left",
+    [
+        ("show today's bug in the parser", "show bug in the parser"), ("the bug", "the bug"), ("yesterday", "yesterday"), ("what broke, over the past 3 days.", "what broke"), ("since last week  the  build", "the build"),
+        ("Last Monday's plan, please", "plan, please"), ("monday and tuesday", "and tuesday"),
+    ],
+)
+def test_phrase_is_removed(spark, query, left):
+    assert one(spark, temporal.without_phrase(F.lit(query))) == left
 
 
 def test_content_terms_keep_function_words_if_there_is_nothing_else(spark):
