@@ -272,31 +272,66 @@ def test_large_pictures_cropped_rescaled_turned_and_noisy(spark):
     assert got[0].n_corners > 3 * got[1].n_corners > 1000
 
 
-@pytest.mark.parametrize("hot, block", [(64, 256), (2, 256), (2, 1)])
-def test_votes_for_a_pair_are_added_over_all_entries(spark, monkeypatch, hot, block):
-    rng = np.random.default_rng(1)
-    ends = [x[0] for x in np.array_split(np.arange(op6_images.BITS), op6_images.CHUNKS)]
-    one = rng.integers(0, 2, (4, op6_images.BITS), np.uint8)
-    two, third = one.copy(), rng.integers(0, 2, (2, op6_images.BITS), np.uint8)
-    two[:, ends[1:]] ^= 1  # each corner of the pair meets in the first table only
-    third[:, : ends[1]] = one[2:, : ends[1]]  # an image of smaller id shares two of these entries
-    at = np.array([[10, 10, 0, 1], [40, 12, 0, 1], [25, 44, 0, 1], [50, 50, 0, 1]], np.float32)
-    rows = [(i, i, i, at[: len(b)].tobytes(), np.packbits(b, axis=1).tobytes()) for i, b in ((10, one), (11, two), (1, third))]
-    monkeypatch.setattr(op6_images, "descriptors", lambda *_: spark.createDataFrame(rows, "id long, k1 long, k2 long, places binary, bits binary"))
-    media = spark.range(1)
-    assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=hot, block=block).collect()} == {1: 1, 10: 10, 11: 10}
-
-
-def test_pairs_of_full_entries_make_few_rows(spark):
-    vectors = spark.range(160).select(F.col("id").alias("vec_id"), F.array(F.lit(0.3)).cast("array<float>").alias("embedding"))
-    media = op6_images.rendered_media(vectors)
-    raw = [bytes(r.media) for r in media.where("image_id % 8 = 0").orderBy("image_id").collect()]
-    shades = [len(set(r.split(b"255\n", 1)[1])) for r in raw]
-    assert max(shades) <= 27  # every other scene is plain rectangles again
-    want = {r.image_id: r.component_id for r in op6_images.image_copies(media).collect()}
-    assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=2, block=16).collect()} == want
-    places, bits = op6_images.describe(op6_images.read_media(raw[0]))
-    inside = spark.createDataFrame([(7, i, 50, i, places.astype(np.float32).tobytes(), bits.tobytes()) for i in range(50)], "family long, id long, n long, label long, places binary, bits binary")
+def blurred(x):
+    return op6_images.box(x, 1)
+
+
+def test_recall_by_edit():
+    rng, found = np.random.default_rng(1), defaultdict(list)
+    whole = lambda x: op6_images.describe(np.rint(x).clip(0, 255)[None].astype(np.float32))[0]
+    for k in range(60):
+        x = op6_images.draw_scene(k, 72)
+        edits = {"crop": x[8:66, 10:68], "brightness": x * 0.8 + 35, "blur": blurred(x), "noise": x + rng.normal(0, 4, x.shape), **{f: op6_images.resize(x, f) for f in (0.8, 0.9, 1.1, 1.2)}}
+        places, bits, _ = whole(x)
+        for name, y in edits.items():
+            there, other, _ = whole(y)
+            met = len(np.intersect1d(op6_images.keys(bits.tobytes()), op6_images.keys(other.tobytes())))
+            found[name].append(met >= op6_images.VOTES and op6_images.consensus(places, bits, there, other) > 0)
+    assert {name: np.mean(x) >= 0.9 for name, x in found.items()} == dict.fromkeys(found, True)
+
+
+def brute_images(raws):
+    """Components by comparison of all pairs: entries in common, then consensus."""
+    parts = {i: op6_images.describe(op6_images.read_media(raw)[None].astype(np.float32))[0] for i, raw in raws}
+    keys = {i: np.unique(op6_images.keys(p[1].tobytes())) for i, p in parts.items()}
+    places = {i: op6_images.unpacked(op6_images.packed(p[0])) for i, p in parts.items()}
+    up = {i: i for i in parts}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in parts:
+        for j in parts:
+            if i < j and len(np.intersect1d(keys[i], keys[j])) >= op6_images.VOTES and op6_images.consensus(places[i], parts[i][1], places[j], parts[j][1]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in parts}
+
+
+def test_images_equal_the_comparison_of_all_pairs(spark):
+    vectors = spark.range(96).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7 / 7).cast("float")).alias("embedding"))
+    raws = [(r.image_id, bytes(r.media)) for r in op6_images.rendered_media(vectors).collect()]
+    media = spark.createDataFrame(raws, "image_id long, media binary")
+    want = brute_images(raws)
+    assert sum(c != i for i, c in want.items()) >= 68 and all(c // 4 == i // 4 for i, c in want.items())
+    whole = {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=1 << 20).collect()}
+    assert whole == want
+    for hot, block in ((6, 256), (2, 16), (1, 8)):  # entries split once, twice, and families
+        got = {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=hot, block=block).collect()}
+        assert all(want[c] == want[i] for i, c in got.items())
+        assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_full_entries_make_few_rows(spark):
+    rows = spark.range(400).select(F.lit(7).cast("long").alias("entry"), "id", (F.col("id") % 40 + 1).cast("int").alias("n1"), (F.col("id") % 50 + 1).cast("int").alias("n2"))
+    assert op6_images.meetings(op6_images.shared(rows), 6).count() == 0
+    few = rows.where("id < 5").unionByName(rows.where("id < 2"))
+    assert sorted(map(tuple, op6_images.meetings(op6_images.shared(few), 7).collect())) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    raw = bytes(op6_images.rendered_media(spark.range(1).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5)).cast("array<float>").alias("embedding"))).first().media)
+    places, bits, near = op6_images.describe(op6_images.read_media(raw)[None])[0]
+    inside = spark.createDataFrame([(7, i, 50, i, op6_images.packed(places), bits.tobytes(), near.tobytes()) for i in range(50)], "family long, id long, n long, label long, places binary, bits binary, near binary")
     assert op6_images.confirmed_within(inside).count() == 49  # of 1,225 pairs
 
 
