@@ -5,9 +5,10 @@ table no longer than the vocabulary; a second pass splits each partition into sh
 builds each shard's inverted index and packs it, so nothing is shuffled and a window costs the postings of its seed.
 
 A window starts with a seed: the document left over from the window before, else the next unused. The index ranks the
-unused documents by BM25 for the seed's tokens; they fill the window in that order, the last is cut where the window
-ends, and its rest seeds the next. Without matches the next unused document follows. So all windows are full but a
-shard's last, which is split into sequences whose lengths are powers of two.
+unused documents by BM25 for the seed's tokens, but not the end token, which all have; they fill the window in that
+order, the last is cut where the window ends, and its rest seeds the next. Without matches the next unused document
+follows. Rows of one doc_id are not put into one window while there are others: a mix that takes a document twice has it
+in two. So all windows are full but a shard's last, which is split into sequences whose lengths are powers of two.
 
 Nulls: a null text is empty, so only the end token is packed; a null doc_id is kept. Rows that repeat are packed each.
 An empty table gives no rows. Only doc_id and text are read.
@@ -79,11 +80,13 @@ def token_frequencies(encoded: DataFrame, dtype: str, vocab_size: int) -> tuple[
 class Shard:
     """BM25 inverted index over some documents; used ones leave it as it is compacted."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, end_id: int | None = None):
         self.n, self.used = len(docs), np.zeros(len(docs), bool)
         terms, owner, tf = [], [], []
         for i, ids in enumerate(docs):
             t, c = np.unique(ids, return_counts=True)
+            if end_id is not None:
+                t, c = t[t != end_id], c[t != end_id]
             terms.append(t.astype(np.int64))
             owner.append(np.full(len(t), i, np.int32))
             tf.append(c)
@@ -122,25 +125,30 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW):
-    """Sequences of pieces (document, start, length)."""
-    shard, left = Shard(docs, idf, mean), [len(x) for x in docs]
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, names: list | None = None, end_id: int | None = None):
+    """Sequences of pieces (document, start, length); documents of one name other than None are kept apart."""
+    shard, left = Shard(docs, idf, mean, end_id), [len(x) for x in docs]
     place, done, seed = 0, [0] * len(docs), None
-    sequence, room = [], window
+    sequence, room, inside = [], window, set()
 
     def take(i: int) -> None:
         nonlocal room
         n = min(room, left[i])
         sequence.append((i, done[i], n))
+        inside.add(names[i] if names and names[i] is not None else (i,))
         done[i] += n
         left[i] -= n
         room -= n
 
     def following():
+        """The next unused document, first of those whose name is not in the window."""
         nonlocal place
         while place < len(docs) and shard.used[place]:
             place += 1
-        return place if place < len(docs) else None
+        other = place
+        while other < len(docs) and (shard.used[other] or names and names[other] in inside):
+            other += 1
+        return other if other < len(docs) else place if place < len(docs) else None
 
     while True:
         seed = following() if seed is None else seed
@@ -150,7 +158,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         while left[seed] >= window and room == window:
             take(seed)
             yield sequence
-            sequence, room = [], window
+            sequence, room, inside = [], window, set()
         if not left[seed]:
             seed = None
             continue
@@ -158,6 +166,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         first, seed = seed, None
         if room:
             for i in shard.nearest(first).tolist():
+                if names and names[i] in inside:
+                    continue
                 shard.use(i)
                 take(i)
                 if left[i]:
@@ -171,7 +181,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                 seed = i
         if not room:
             yield sequence
-            sequence, room = [], window
+            sequence, room, inside = [], window, set()
     if sequence:  # the shard's last: cut where the powers of two of its length end
         total, at = window - room, 0
         cuts = [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1]
@@ -206,7 +216,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         def flush():
             nonlocal local, names, ids, size
             rows = []
-            for sequence in pack_shard(ids, idf, mean, window):
+            for sequence in pack_shard(ids, idf, mean, window, names, end_id):
                 offset = 0
                 for i, start, n in sequence:
                     crc = zlib.crc32(ids[i][start : start + n].astype("<u4").tobytes())

@@ -485,6 +485,22 @@ def test_a_window_holds_what_is_nearest():
     assert shard.nearest(3).tolist() == [i for i in sorted(range(40), key=lambda i: (-round(score[i], 9), i)) if i != 3 and score[i] > 0]
 
 
+def test_a_window_holds_no_document_twice(spark):
+    rng = np.random.default_rng(6)
+    docs = [(rng.choice(60, rng.integers(5, 90)) + 100 * (i % 4) + 2).astype("<u2") for i in range(120)]
+    docs, names = docs + docs, [*range(120), *range(120)]
+    idf = np.ones(1000)
+    for sequence in op10_pack.pack_shard(docs, idf, 30.0, 128, names, 1):
+        own = [names[i] for i, start, _ in sequence if not start]
+        assert len(own) == len(set(own))
+    twice = [np.array([5] * 40, "<u2")] * 4  # nothing else is left
+    assert sum(n for s in op10_pack.pack_shard(twice, idf, 30.0, 64, [1] * 4, 1) for _, _, n in s) == 160
+    sf = "/root/testdata/sf0.001"
+    mixed = corpus_pipeline.mixing(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    windows = corpus_pipeline.packing(spark, mixed, sf).where("start = 0").groupBy("sequence_id", "doc_id").count().where("count > 1")
+    assert mixed.groupBy("doc_id").count().where("count > 1").count() > 0 and windows.count() <= 1
+
+
 def test_encoder_equals_the_tokenizer():
     from hypothesis import given, settings
     from hypothesis import strategies as st
