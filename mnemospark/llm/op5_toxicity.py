@@ -8,7 +8,8 @@ The labelled rows that are fitted on are at most SAMPLE_ROWS, those of least xxh
 over its whole text, by models of a size that depends on FEATURES only.
 
 Nulls and ties: rows whose label is null in any category are not trained on; a null text has no features; a null doc_id
-is scored as any other; rows that repeat are scored each, and count each in training. Without labelled rows of both
+is scored as any other; rows that repeat are scored each; of those that share a doc_id one text and one label, the least,
+are trained on. Without labelled rows of both
 kinds a category's probability is its smoothed rate, (n1 + 0.5) / (n + 1). Only doc_id, text and the label columns are
 read, so other columns never clash.
 """
@@ -156,8 +157,11 @@ class Chain:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     names = [c for c, _ in categories]
     marked = labels.select("doc_id", *[(F.col(c) == v).cast("int").alias(c) for c, v in categories]).dropna()
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample_rows)
+    # One label and one text for each id, so that the bound holds after the join, too.
+    once = marked.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("m")).select("doc_id", "m.*")
+    chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows of numbers
+    sample = sample.groupBy("doc_id", *names).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     from .common import Kept
 
     kept = Kept(docs.sparkSession)

@@ -207,6 +207,31 @@ def test_nothing_is_rejected_without_labels_of_both_kinds(spark):
         assert op5_toxicity.score(docs, chain).where("rejected").count() == 0
 
 
+def test_chain_feeds_out_of_fold_probabilities_forward(spark):
+    """On invented rows whose second category is the first one plus a word, the chain beats models that know words only."""
+    rng = np.random.default_rng(8)
+    rows, marks = [], []
+    for i in range(1200):
+        junk, cue = bool(rng.integers(2)), bool(rng.integers(2))
+        words = [f"plain{rng.integers(60)}" for _ in range(12)] + ([f"junk{rng.integers(12)}"] if junk else []) + (["trigger"] if cue else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+        marks.append((i, int(not junk), int(junk and cue)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    chain = op5_toxicity.fit_chain(docs, labels.where("doc_id < 800"))
+    held = {r.doc_id: r for r in op5_toxicity.score(docs.where("doc_id >= 800"), chain).collect()}
+    right = np.mean([held[i].rejected == bool(t) for i, _, t in marks[800:]])
+    alone = op5_toxicity.fit_chain(docs, labels.where("doc_id < 800"), (("toxic", 1),))
+    other = np.mean([r.rejected == bool(marks[r.doc_id][2]) for r in op5_toxicity.score(docs.where("doc_id >= 800"), alone).collect()])
+    assert right >= other and right >= 0.97
+    assert chain.weights[1][len(chain.features)] > 0.5 and chain.weights[0][len(chain.features)] == 0
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text")).unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.lit("other words").alias("text")))
+    labels = docs.select("doc_id").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert op5_toxicity.score(docs, op5_toxicity.fit_chain(docs, labels, sample_rows=20)).count() == docs.count()
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
