@@ -2,7 +2,8 @@
 
 Unit vectors with cosine of at least c lie within epsilon = sqrt(2 - 2c) of each other. Their coordinates on the leading
 principal dimensions, cut into cells of width epsilon, give a lexicographic order; the sequence in that order is cut into
-intervals of LEAF rows, described by their bounding boxes. A pair of intervals is skipped if its boxes are more than
+intervals of LEAF rows, described by their bounding boxes in those dimensions and in one more, the norm of what lies
+outside them, as |a - b|^2 is at least |pa - pb|^2 + (ra - rb)^2. A pair of intervals is skipped if its boxes are more than
 epsilon apart; else its halves are joined, down to intervals that are compared by matrix products. The upper levels of
 this recursion run as joins of box tables, FAN children at a time, so only pairs of tiles that may hold links are dealt
 to tasks; the lower levels run inside the task of a pair of tiles.
@@ -159,13 +160,15 @@ def grid_join(vectors: DataFrame, cosine: float = COSINE, dimensions: int = DIME
     for (size,) in classes.select("size").distinct().collect():
         own = classes.where(F.col("size") == size)
         axes, epsilon = principal(own, size, dimensions), float(np.sqrt(2 - 2 * cosine))
-        d = axes.shape[1]
+        d = axes.shape[1] + 1  # with the norm outside the axes
 
         def project(batches, axes=axes, size=size, epsilon=epsilon):
             for batch in batches:
                 if batch.num_rows:
                     p = unit(batch.column(2).to_pylist(), size) @ axes
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(np.floor(p / epsilon).astype(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "copies", "v", "p", "cell"])
+                    cell, outside = np.floor(p / epsilon).astype(np.int64), np.sqrt(np.maximum(0.0, 1 - (p * p).sum(1)))
+                    p = np.column_stack([p, outside])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(cell.tolist(), pa.list_(pa.int64()))], ["id", "copies", "v", "p", "cell"])
 
         placed = own.select("id", "copies", "v").mapInArrow(project, "id long, copies long, v binary, p array<double>, cell array<long>")
         # Grid order: by cell, then by the leading coordinate. Ranks are two-level: rows of a range, then ranges.
