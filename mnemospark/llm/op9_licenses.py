@@ -22,7 +22,7 @@ from .common import SpanHasher, byte_class, segments, table, text_buffer, word_s
 
 # The phrases that the contract names and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# License statements, and the label of each.
+# License statements, from single sentences to whole public texts, and the label of each.
 TEMPLATES = (
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
@@ -35,6 +35,43 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved no part may be reproduced without permission"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+        "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+        "even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
 )
 CONTAINMENT = 0.8
 #: Longest line that is a block of its own; a longer one is tried by its runs only.
@@ -106,18 +143,16 @@ class Templates:
         n = self.ptr[place + 1] - self.ptr[place]
         hit = np.repeat(np.arange(len(block)), n)
         post = self.posting[np.repeat(self.ptr[place] - (np.cumsum(n) - n), n) + np.arange(len(hit))]
-        t, i = post[:, 1], post[:, 2]
+        # Words of a block come in the global order: the first hit of a pair is its first common word, so none is before it.
+        pairs, at = np.unique(of[hit] * len(self.labels) + post[:, 1], return_index=True)
+        t, i, hit = post[at, 1], post[at, 2], hit[at]
         most = 1 + np.minimum(self.size[t] - i - 1, size[of[hit]] - j[hit] - 1)
-        # Words before this one may be common, too: those of the block before j, at most i of the template.
-        most += np.minimum(i, j[hit])
-        good = (size[of[hit]] >= self.need[t]) & (most >= self.need[t])
-        candidates = np.unique(of[hit][good] * len(self.labels) + t[good])
+        candidates = pairs[(size[of[hit]] >= self.need[t]) & (most >= self.need[t])]
         b, t = candidates // len(self.labels), candidates % len(self.labels)
         common = np.array([self.has[u, place[first[x] : first[x] + size[x]]].sum() for x, u in zip(b, t, strict=True)], np.int64)
         keep = common >= self.need[t] if len(t) else np.zeros(0, bool)
         return names[b[keep]], t[keep], common[keep] / self.size[t[keep]]
 
-
     def windows(self, row: np.ndarray, h: np.ndarray):
         """(row, template, share) for runs of a template's number of words within a row, line breaks or not, that hold the threshold's share of it."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)

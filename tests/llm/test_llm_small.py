@@ -462,6 +462,40 @@ def test_wrapped_license_notices(spark):
     assert got[0][1] == got[1][1] == 1.0 and got[4][1] == 0.0
 
 
+def test_whole_license_texts_in_paragraphs(spark):
+    rng = np.random.default_rng(4)
+    texts = {label: text for label, text in op9_licenses.TEMPLATES if len(text.split()) > 60}
+    wrap = lambda text, n: "\n * ".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows = [(k, f"/*\n * Some file.\n * {wrap(text, 9)}\n */\nint main;") for k, text in enumerate(texts.values())]
+    rows += [(100 + k, " ".join(rng.permutation(text.split()[: len(text.split()) // 3]))) for k, text in enumerate(texts.values())]
+    got = {r.doc_id: r for r in op9_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(texts):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+        assert label not in got[100 + k].base_labels
+
+
+def test_lines_equal_the_comparison_of_all_pairs(spark):
+    """Blocks that are lines, against all templates one by one."""
+    rng = np.random.default_rng(5)
+    lines = []
+    for _ in range(300):
+        words = op9_licenses.TEMPLATES[rng.integers(len(op9_licenses.TEMPLATES))][1].split()[:30]
+        own = [w for w in words if rng.random() < rng.choice([0.7, 0.85, 1.0])]
+        lines.append(" ".join(rng.permutation(own + ["other"] * int(rng.integers(3)))))
+    order = {w: i for i, w in enumerate(sorted({w for _, t in op9_licenses.TEMPLATES for w in t.split()}))}
+    vocabulary = np.unique(np.concatenate([op9_licenses.hash_words(w) for w in order]))
+    join = op9_licenses.Templates(op9_licenses.TEMPLATES, 0.8, vocabulary, rng.integers(0, 50, len(vocabulary)))
+    hashes = [op9_licenses.hash_words(x) for x in lines]
+    block, t, share = join.matches(np.repeat(np.arange(len(lines)), [len(h) for h in hashes]), np.concatenate(hashes))
+    want = {}
+    for b, line in enumerate(lines):
+        for k, (_, text) in enumerate(op9_licenses.TEMPLATES):
+            whole = set(text.split())
+            if len(whole & set(line.split())) >= np.ceil(0.8 * len(whole) - 1e-9):
+                want[b, k] = len(whole & set(line.split())) / len(whole)
+    assert dict(zip(zip(block.tolist(), t.tolist(), strict=True), share.tolist(), strict=True)) == pytest.approx(want) and len(want) > 30
+
+
 def pieces_hold(docs, rows, window):
     from tokenizers import Tokenizer
 
