@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
@@ -37,6 +38,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "1970-01-01T00:00:00Z"
 
 
+def file_system(uri: str):
+    """The Arrow file system of a folder and the folder's name there; Hadoop's names for S3 are the same store."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -132,7 +138,7 @@ def write_archives(decided: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     """(path, records): the archives written; the rows are written as they are computed, so keep them before reading."""
 
     def write(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         records, size = [], 0
 
@@ -167,7 +173,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for path in batch.column(0):
-                fs, name = pafs.FileSystem.from_uri(path.as_py())
+                fs, name = file_system(path.as_py())
                 with fs.open_input_file(name) as f:
                     data = f.read()
                 rows = []
@@ -191,7 +197,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark.read.parquet(folder + "-manifest"))
 
 
-_B32 = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORACLE = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
 b AS (SELECT *, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY x) AS first,

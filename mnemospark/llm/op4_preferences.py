@@ -56,9 +56,15 @@ def preference_parts(chosen: DataFrame, rejected: DataFrame, answers=ANSWERS) ->
 
 
 def assembled(parts: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected as strings, for pairs whose text fits a value."""
-    texts = parts.groupBy("pair_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("t"), F.coalesce("role", F.lit("")).alias("r"), "rendered"))), lambda x: x["rendered"]), "").alias("t"))
-    return texts.groupBy("pair_id").agg(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("t"))), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")])
+    """A row a pair: pair_id, prompt, chosen, rejected as strings, and chosen_loss, rejected_loss: the (start, length) in characters that each completion is trained on; for pairs whose text fits a value."""
+    order = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("t"), F.coalesce("role", F.lit("")).alias("r"), "rendered", "loss_start", "loss_length")
+    turns = parts.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    ahead = lambda i: F.aggregate(F.slice("x", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + F.length(y["rendered"]))
+    spans = F.filter(F.transform("x", lambda y, i: F.struct((ahead(i) + y["loss_start"]).alias("start"), y["loss_length"].alias("length"))), lambda s: s["length"] > 0)
+    texts = turns.select("pair_id", "part", F.array_join(F.transform("x", lambda y: y["rendered"]), "").alias("t"), spans.alias("s"))
+    of = lambda p, c: F.max_by(F.when(F.col("part") == p, F.col(c)), F.when(F.col("part") == p, 1))
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    return texts.groupBy("pair_id").agg(*[F.coalesce(of(p, "t"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")], *[F.coalesce(of(p, "s"), none).alias(f"{p}_loss") for p in ("chosen", "rejected")])
 
 
 def derived_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -173,6 +173,9 @@ def test_preferences(spark):
     got = {r.pair_id: (r.prompt, r.chosen, r.rejected) for r in op4_preferences.assembled(parts).collect()}
     turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     assert got[1] == (turn("user", "hi"), turn("assistant", "good"), turn("assistant", "bad"))
+    pair = {r.pair_id: r for r in op4_preferences.assembled(parts).collect()}
+    assert [pair[1].chosen[a : a + n] for a, n in pair[1].chosen_loss] == ["good<|im_end|>"] and [pair[1].rejected[a : a + n] for a, n in pair[1].rejected_loss] == ["bad<|im_end|>"]
+    assert pair[4].chosen_loss == [] and pair[2].rejected_loss == []
     assert got[2] == (turn("user", ""), "", "") and got[3] == ("", turn("user", "only"), "")
     assert got[None] == (turn("", "<im_end>"), "", "")
     assert got[4] == (turn("user", "n"), turn("user", "t") * 2, turn("user", "t"))
@@ -182,6 +185,13 @@ def test_preferences(spark):
     assert op4_preferences.preference_parts(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_pairs_mask_every_answer(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"{s}{t}") for s in "ab" for t in range(6)]
+    a, b = (spark.createDataFrame([r for r in rows if r[3][0] == s], "pair_id long, turn long, role string, text string") for s in "ab")
+    r = op4_preferences.assembled(op4_preferences.preference_parts(a, b)).first()
+    assert r.prompt == "" and [r.chosen[x.start : x.start + x.length] for x in r.chosen_loss] == [f"a{t}<|im_end|>" for t in (1, 3, 5)]
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
