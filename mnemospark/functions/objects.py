@@ -29,8 +29,33 @@ def compact(text: Column) -> Column:
     return work(text)
 
 
-def outline(text: Column, most: int = 200, keys: int = 40) -> Column:
-    """The compact text if it fits; else the keys and types of an object, or the length and first entry of an array."""
+def kind_of(value) -> str:
+    """A value's type, containers with their size."""
+    if isinstance(value, dict):
+        return f"object({len(value)} keys)"
+    if isinstance(value, list):
+        return f"array[{len(value)}]"
+    names = {bool: "bool", int: "int", float: "float", str: "str", type(None): "null"}
+    return names[type(value)]
+
+
+def headed(found, keys: int) -> str:
+    """An object's keys and types, or an array's length and what its first entry is."""
+    over = lambda n: f"(+{n - keys} more" if n > keys else ""
+    if isinstance(found, dict):
+        rows = [f"  {k}: {kind_of(v)}" for k, v in list(found.items())[:keys]]
+        return "\n".join([f"JSON object, {len(found)} keys:", *rows, *([f"  {over(len(found))} keys)"] if over(len(found)) else [])])
+    rows = [f"JSON array, {len(found)} elements"]
+    if found and isinstance(found[0], dict):
+        names = list(found[0])
+        rows.append("  element keys: " + ", ".join(names[:keys]) + (f" {over(len(names))})" if over(len(names)) else ""))
+    elif found:
+        rows.append(f"  element type: {kind_of(found[0])}")
+    return "\n".join(rows)
+
+
+def outline(text: Column, most: int = 1200, keys: int = 40, note: str = "[outline; fetch the reference for the whole]") -> Column:
+    """The compact text of a container if it fits; else its head, a note and as much of a sample as fits; null for what is no container."""
 
     @F.pandas_udf("string")
     def work(values: pd.Series) -> pd.Series:
@@ -38,13 +63,18 @@ def outline(text: Column, most: int = 200, keys: int = 40) -> Column:
             try:
                 found = json.loads(text)
             except (TypeError, ValueError):
-                return text
-            short = json.dumps(found, separators=(",", ":"), ensure_ascii=False)
-            if len(short) <= most:
-                return short
-            if isinstance(found, dict):
-                return "; ".join(f"{k}: {type(v).__name__}" for k, v in list(found.items())[:keys])[:most]
-            return f"{len(found)} entries, first {json.dumps(found[0], separators=(',', ':'))}"[:most] if isinstance(found, list) else short[:most]
+                return None
+            if not isinstance(found, (dict, list)):
+                return None
+            tight = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+            if len(tight(found)) <= most:
+                return tight(found)
+            head = headed(found, keys) + "\n" + note
+            room = most - len(head) - 1 - len("sample: ")
+            if room > 8:
+                sample = tight(found if isinstance(found, dict) else found[:1])
+                head += "\nsample: " + (sample if len(sample) <= room else sample[: room - 3].rstrip() + "...")
+            return head
 
         return values.map(one)
 

@@ -89,9 +89,12 @@ def packed_sentences(text: Column | str, max_chars: int = 1000, min_chars: int =
 
 def with_neighbours(parts: Column | str, n: int = 1) -> Column:
     """(n, centre, window) of each part: its place from 1, itself, and itself between the n parts on each side."""
-    parts = col(parts)
-    window = lambda i: F.array_join(F.slice(parts, F.greatest(F.lit(1), i + 1 - n), F.least(F.lit(n), i) + 1 + n), " ")
-    return F.transform(parts, lambda c, i: F.struct((i + 1).alias("n"), c.alias("centre"), window(i).alias("window")))
+
+    def windows(parts: Column) -> Column:
+        window = lambda i: F.array_join(F.slice(parts, F.greatest(F.lit(1), i + 1 - n), F.least(F.lit(n), i) + 1 + n), " ")
+        return F.transform(parts, lambda c, i: F.struct((i + 1).alias("n"), c.alias("centre"), window(i).alias("window")))
+
+    return bound(col(parts), windows)
 
 
 def trimmed(text: Column, most: int) -> Column:
@@ -136,16 +139,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def subject(label: Column | str) -> Column:
-    """Stable key of a subject: letters and digits apart, no punctuation, single spaces, lower case."""
-    apart = F.regexp_replace(F.coalesce(col(label), F.lit("")), r"(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])", " ")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(apart, r"[^\w\s]", " "), r"\s+", " ")))
+def clean_label(label: Column) -> Column:
+    """A label without colour codes and control characters, 256 characters at most."""
+    return F.left(F.regexp_replace(F.regexp_replace(label, r"\x1b\[[0-9;?]*[A-Za-z]", ""), r"[\x00-\x1f\x7f]", ""), F.lit(256))
 
 
-def aspect(label: Column | str) -> Column:
-    plain = F.replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(label), F.lit(""))), r"[^\w\s]", " "), r"\s+", " ")), F.lit(" "), F.lit("_"))
-    names = F.create_map(*[F.lit(x) for pair in ASPECTS.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, plain), plain)
+def capped(text: Column, most: int) -> Column:
+    """A text of at most so many characters, cut where a word ends."""
+    head = F.left(text, F.lit(most))
+    back = F.instr(F.reverse(head), " ")
+    return F.when(F.length(text) <= most, text).when((back == 0) | (back == most), F.rtrim(head)).otherwise(F.rtrim(F.left(head, most - back)))
 
 
 def token_estimate(content: Column | str) -> Column:

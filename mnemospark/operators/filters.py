@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUFFIXES = {"__in": lambda c, v: c.isin(list(v)), "__gte": lambda c, v: c >= v, "__lte": lambda c, v: c <= v}
@@ -60,3 +61,27 @@ def evidence_ok(refs: str, scheme: str = "mem://") -> Column:
 
 def must_intercept(text: str, chars: int = 8000, tokens: int = 2000) -> Column:
     return (F.length(text) >= chars) | (F.floor(F.octet_length(F.col(text)) / 4) >= tokens)
+
+
+def instant(text: str) -> dt.datetime:
+    """An ISO time of a request, in UTC; Z is accepted."""
+    value = dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
+    return value.astimezone(dt.UTC).replace(tzinfo=None) if value.tzinfo else value
+
+
+def typed_rows(rows: DataFrame, created: str, metadata: str) -> DataFrame:
+    """Rows of texts as the filters need them: created_at, the least time if it can't be read, and metadata as a map."""
+    at = F.try_to_timestamp(F.regexp_replace(F.col(created), "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
+    least = F.lit("0001-01-01").cast("timestamp_ntz")
+    return rows.withColumn("metadata", F.from_json(metadata, "map<string,string>")).withColumn("created_at", F.coalesce(at, least))
+
+
+def health(disabled: Column, missing: Column, blocked: Column, stale: Column, parts: dict[str, Column]) -> Column:
+    """struct(status, reason): the first of the conditions that holds; missing and blocked are texts or null, parts say what is there."""
+    lost = F.concat_ws(", ", *[F.when(~there, F.lit(name)) for name, there in parts.items()])
+    said = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.cast("string").alias("reason"))
+    return (
+        F.when(disabled, said("disabled", F.lit("adapter disabled by config"))).when(missing.isNotNull(), said("missing_dependency", F.concat(F.lit("missing optional dependency: "), missing)))
+        .when(blocked.isNotNull(), said("policy_blocked", blocked)).when(stale, said("stale_index", F.lit("index is stale; re-index required")))
+        .when(lost != "", said("degraded", F.concat(F.lit("unavailable: "), lost))).otherwise(said("healthy", F.lit(None)))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, more, recalls, searches, stores  # noqa: F401
+from . import chains, more, recalls, searches, stores, values  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -51,10 +51,10 @@ def me_retract_delete(s, d):
     return ME.folded(_ops(s, d)).where("status in ('retracted', 'deleted')").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("me_transaction_time", "SELECT count(*) AS n FROM memories WHERE memory_id * 10 <= 40000", MEMORIES)
+@query("me_transaction_time", "SELECT m.memory_id, CASE s[2] WHEN 'supersede' THEN 'superseded' WHEN 'retract' THEN 'retracted' WHEN 'delete' THEN 'deleted' ELSE 'active' END AS status, (1 + coalesce(n, 0))::BIGINT AS confirmations FROM memories m LEFT JOIN st USING (memory_id) WHERE m.memory_id * 10 <= 40000", MEMORIES, _OPS.replace("FROM ops GROUP BY memory_id", "FROM ops WHERE seq <= 40000 GROUP BY memory_id"))
 def me_transaction_time(s, d):
     """ME5: the state as a prefix of the log has it."""
-    return ME.folded(_ops(s, d), 40_000).agg(F.count("*").alias("n"))
+    return ME.folded(_ops(s, d), 40_000).select("memory_id", "status", F.col("confirmations").cast("long").alias("confirmations"))
 
 
 @query("me_purge", "SELECT memory_id FROM memories WHERE NOT (status = 'superseded' AND effective_until < TIMESTAMP '2024-01-20')", MEMORIES)
@@ -69,20 +69,14 @@ def ag_group_kind(s, d):
     return memories(s, d).groupBy("kind", "status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("c"))
 
 
-@query("ag_episode", "SELECT session_id, count(*) AS n, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'pitfall') AS pitfalls, string_agg(CASE WHEN kind = 'decision' AND memory_id < 500 THEN memory_id::VARCHAR END, ',' ORDER BY memory_id) AS refs FROM memories WHERE status = 'active' OR memory_id < 500 GROUP BY session_id", MEMORIES)
+@query("ag_episode", "SELECT session_id, count(*) AS n, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'pitfall') AS pitfalls, string_agg(CASE WHEN kind = 'decision' THEN memory_id::VARCHAR END, ',' ORDER BY memory_id) AS refs FROM memories GROUP BY session_id", MEMORIES)
 def ag_episode(s, d):
-    """AG2, DI4: a session's decisions, pitfalls and references, in order."""
-    return _episodes(memories(s, d).where("status = 'active' or memory_id < 500"), F.col("memory_id") < 500)
+    """AG2, DI4: a session's decisions, pitfalls and references to all decisions, in order."""
+    return _episodes(memories(s, d))
 
 
-@query("ag_episode_all", "SELECT session_id, count(*) AS n, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'pitfall') AS pitfalls, string_agg(CASE WHEN kind = 'decision' THEN memory_id::VARCHAR END, ',' ORDER BY memory_id) AS refs FROM memories GROUP BY session_id", MEMORIES)
-def ag_episode_all(s, d):
-    """AG2, DI4, every memory, superseded ones too, and references of all decisions."""
-    return _episodes(memories(s, d), F.lit(True))
-
-
-def _episodes(found, listed):
-    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "decision") & listed, F.col("memory_id")))), lambda x: x.cast("string")), ",")
+def _episodes(found):
+    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "decision", F.col("memory_id")))), lambda x: x.cast("string")), ",")
     return found.groupBy("session_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "decision", 1)).alias("decisions"), F.count(F.when(F.col("kind") == "pitfall", 1)).alias("pitfalls"), refs.alias("refs"))
 
 
@@ -124,14 +118,6 @@ def ag_percentile(s, d):
     return e.where(F.col("i") == F.floor(F.lit(0.95) * F.col("n"))).select("event_type", F.col("value").alias("p95"))
 
 
-@query("ag_reuse_audit", "SELECT kind, count(*) AS reads, count(*) FILTER (before = value) AS reused, count(DISTINCT user_id) AS agents FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM (SELECT event_id, user_id, event_type, event_type AS kind, (event_id * 7 % 3) AS value FROM events)) GROUP BY kind")
-def ag_reuse_audit(s, d):
-    """AG13, SF33: reads that repeat what an agent has seen last of a path."""
-    e = table(s, d, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), (F.col("event_id") * 7 % 3).alias("sha"))
-    e = e.withColumn("before", F.lag("sha").over(W.partitionBy("user_id", "kind").orderBy("event_id")))
-    return e.groupBy("kind").agg(F.count("*").alias("reads"), F.count(F.when(F.col("before") == F.col("sha"), 1)).alias("reused"), F.countDistinct("user_id").alias("agents"))
-
-
 @query("wi_newest_per_cluster", "SELECT memory_id, n > 1 AS retracted FROM (SELECT memory_id, row_number() OVER (PARTITION BY kind, user_id ORDER BY effective_from DESC, memory_id DESC) AS n FROM memories)", MEMORIES)
 def wi_newest_per_cluster(s, d):
     """WI6."""
@@ -226,20 +212,6 @@ def di_facts(s, d):
     return memories(s, d).where("status = 'active' and kind = 'fact'").groupBy(F.lower("text").alias("k")).agg(F.min("memory_id").alias("first"))
 
 
-@query("di_rules", "SELECT memory_id, 'use check ' || memory_id % 3 AS do_instead FROM memories WHERE status = 'active' AND kind = 'pitfall' AND memory_id % 2 = 0", MEMORIES)
-def di_rules(s, d):
-    """DI2, SF31: a pitfall with its alternative, unless the two are of different families."""
-    m = memories(s, d).where("status = 'active' and kind = 'pitfall'")
-    dont, do = F.when(F.col("memory_id") % 2 == 0, F.lit("mistral")).otherwise(F.lit("qwen")), F.lit("mistral")
-    return m.where(F.coalesce(R.family(dont) == R.family(do), F.lit(True))).select("memory_id", F.concat(F.lit("use check "), (F.col("memory_id") % 3).cast("string")).alias("do_instead"))
-
-
-@query("di_state", "SELECT user_id, 'in_progress' AS state, max(memory_id) AS memory_id FROM memories GROUP BY user_id", MEMORIES)
-def di_state(s, d):
-    """DI3."""
-    return memories(s, d).groupBy("user_id").agg(F.max(F.struct("memory_id", "text")).alias("x")).select("user_id", R.state(F.col("x.text")).alias("state"), "x.memory_id")
-
-
 @query("di_timeline", "SELECT session_id, min(effective_from) AS started FROM memories WHERE len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9_]+'), ['decided', 'plan'])) >= 1 GROUP BY session_id ORDER BY started, session_id", MEMORIES)
 def di_timeline(s, d):
     """DI4, DI5: sessions that hold half of the query's words, oldest first."""
@@ -271,16 +243,6 @@ def sd_consolidate(s, d):
     return c.withColumn("retracted", F.col("id") != F.max("id").over(W.partitionBy("grp", "seed")))
 
 
-@query("ex_resolve_subject", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'self' WHEN event_id % 4 = 1 THEN 'alias' WHEN event_id % 4 = 2 THEN 'exact' ELSE 'minted' END AS how FROM events")
-def ex_resolve_subject(s, d):
-    """EX6, EX7: self, alias, exact, else a new subject."""
-    label = F.expr("case event_id % 4 when 0 then 'I' when 1 then 'the shop' when 2 then 'node 7' else concat('new ', event_id) end")
-    e = table(s, d, "events").select("event_id", T.subject(label).alias("key"))
-    known = s.createDataFrame([("the shop", "alias"), ("node 7", "exact")], "key string, how string")
-    out = e.join(F.broadcast(known), "key", "left")  # two rows
-    return out.select("event_id", F.when(F.col("key").isin(*T.SELF), "self").otherwise(F.coalesce("how", F.lit("minted"))).alias("how"))
-
-
 @query("wg_query", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_linestatus = 'O' AND l_returnflag LIKE '%N%'")
 def wg_query(s, d):
     """WG1, WG3: nodes by label in open graphs."""
@@ -302,13 +264,6 @@ def wg_impact(s, d):
     return s.sql("with recursive r(node, depth) as (select 1L, 0 union all select b, depth + 1 from r join __calls on a = node where depth < 3) select node, min(depth) depth from r where depth > 0 group by node")
 
 
-@query("hl_health", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'disabled' WHEN n_nationkey % 5 = 1 THEN 'missing' WHEN n_nationkey % 5 = 2 THEN 'stale' ELSE 'healthy' END AS health FROM nation")
-def hl_health(s, d):
-    """HL1: the first condition that holds."""
-    k = F.col("n_nationkey") % 5
-    return table(s, d, "nation").select("n_nationkey", F.when(k == 0, "disabled").when(k == 1, "missing").when(k == 2, "stale").otherwise("healthy").alias("health"))
-
-
 @query("in_payload", "SELECT artifact_id, 'Stored ' || reference || ' (' || token_estimate || ' tokens)' AS payload FROM artifacts WHERE length(content) >= 8000 OR octet_length(encode(content)) // 4 >= 2000", ARTIFACTS)
 def in_payload(s, d):
     """IN1, SF12."""

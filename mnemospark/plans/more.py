@@ -13,63 +13,6 @@ from .registry import query
 from .tables import ARTIFACTS, MEMORIES, artifacts, chunks, memories, questions, table
 
 
-@query("sf_json_compact", """SELECT event_id, '{"b":' || event_id || ',"a":[1,2]}' AS j FROM events WHERE event_id % 3 = 0""")
-def sf_json_compact(s, d):
-    """SF9: white space goes, keys keep their order."""
-    return _compacted(table(s, d, "events").where("event_id % 3 = 0"))
-
-
-@query("sf_json_compact_all", """SELECT event_id, '{"b":' || event_id || ',"a":[1,2]}' AS j FROM events""")
-def sf_json_compact_all(s, d):
-    """SF9, every event."""
-    return _compacted(table(s, d, "events"))
-
-
-def _compacted(events):
-    text = F.concat(F.lit('{ "b": '), F.col("event_id").cast("string"), F.lit(', "a" : [1,\n2] }'))
-    return events.select("event_id", OB.compact(text).alias("j"))
-
-
-@query("sf_json_digest", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '[1,2]' ELSE 'key: str; n: int' END AS j FROM events WHERE event_id < 500")
-def sf_json_digest(s, d):
-    """SF10: a text that is too long becomes its outline."""
-    return _outlined(table(s, d, "events").where("event_id < 500"))
-
-
-@query("sf_json_digest_all", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '[1,2]' ELSE 'key: str; n: int' END AS j FROM events")
-def sf_json_digest_all(s, d):
-    """SF10, every event."""
-    return _outlined(table(s, d, "events"))
-
-
-def _outlined(events):
-    long = F.concat(F.lit('{"key": "'), F.repeat(F.lit("x"), F.lit(300)), F.lit('", "n": 1}'))
-    return events.select("user_id", OB.outline(F.when(F.col("user_id") % 2 == 0, F.lit("[1, 2]")).otherwise(long)).alias("j"))
-
-
-@query("sf_uri", "SELECT artifact_id, 'mem://' || namespace || '%20x/' || artifact_id AS path, 64::INT AS digits FROM artifacts", ARTIFACTS)
-def sf_uri(s, d):
-    """SF26, SC17: references with encoded segments and a signature."""
-    uri = OB.reference(F.concat("namespace", F.lit(" x")), F.col("artifact_id"), 2_000_000_000, "key")
-    u = artifacts(s, d).select("artifact_id", uri.alias("u"))
-    return u.select("artifact_id", F.regexp_extract("u", r"^([^?]+)", 1).alias("path"), F.length(F.regexp_extract("u", "sig=([0-9a-f]+)$", 1)).alias("digits"))
-
-
-@query("sf_vendor", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'google' WHEN 1 THEN 'meta' END AS family FROM events")
-def sf_vendor(s, d):
-    """SF31."""
-    return table(s, d, "events").select("event_id", R.family(F.expr("case event_id % 3 when 0 then 'use Gemma 2' when 1 then 'LLAMA 3' else 'none' end")).alias("family"))
-
-
-@query("sf_command", r"SELECT event_id, 'make test' AS command, event_type = 'error' AS mutates FROM events")
-def sf_command(s, d):
-    """SF33: commands without their directory change, and whether they change files."""
-    cmd = F.concat(F.lit("cd /x/"), F.col("event_id").cast("string"), F.lit(" &&  make   test"))
-    norm = F.trim(F.regexp_replace(F.regexp_replace(cmd, r"^\s*cd\s+\S+\s*&&", ""), r"\s+", " "))
-    mutates = F.when(F.col("event_type") == "error", F.lit("git rm a")).otherwise(F.lit("ls")).rlike(r"\b(rm|mv|cp|tee|sed -i)\b")
-    return table(s, d, "events").select("event_id", norm.alias("command"), mutates.alias("mutates"))
-
-
 @query("me_typed_writers", "SELECT memory_id, CASE kind WHEN 'decision' THEN 'outcome' WHEN 'instruction' THEN 'procedure' ELSE 'context' END AS type, user_id::VARCHAR AS anchor FROM memories", MEMORIES)
 def me_typed_writers(s, d):
     """ME8: outcomes, procedures and contexts with their anchors as metadata."""
@@ -95,12 +38,6 @@ def me_update_metadata(s, d):
     return memories(s, d).select("memory_id", merged["tag"].alias("tag"), merged["ns"].alias("namespace"))
 
 
-@query("rc_summary_only", None)
-def rc_summary_only(s, d):
-    """RC1, RC5: the summary alone, or the whole content with score 1."""
-    return artifacts(s, d).select("artifact_id", T.prefix_summary("content", 200).alias("context"), F.lit(1.0).alias("score"))
-
-
 @query("tg_facts", r"SELECT artifact_id, count(*) AS facts FROM (SELECT artifact_id, unnest(string_split(regexp_replace(trim(content, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS x FROM artifacts) WHERE length(x) BETWEEN 20 AND 200 GROUP BY artifact_id", ARTIFACTS)
 def tg_facts(s, d):
     """TG3, TG6: sentences of a fact's length."""
@@ -122,15 +59,9 @@ def ex_chains(s, d):
     return memories(s, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count("supersedes").alias("closed"))
 
 
-@query("wg_render", "SELECT l_orderkey, 'graph TD' || chr(10) || string_agg('n' || a || ' --> n' || b, chr(10) ORDER BY a, b) AS mermaid FROM (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem WHERE l_orderkey < 500) GROUP BY 1")
+@query("wg_render", "SELECT l_orderkey, 'graph TD' || chr(10) || string_agg('n' || a || ' --> n' || b, chr(10) ORDER BY a, b) AS mermaid FROM (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem) GROUP BY 1")
 def wg_render(s, d):
     """WG5: a graph as text."""
-    return _rendered(table(s, d, "lineitem").where("l_orderkey < 500"))
-
-
-@query("wg_render_all", "SELECT l_orderkey, 'graph TD' || chr(10) || string_agg('n' || a || ' --> n' || b, chr(10) ORDER BY a, b) AS mermaid FROM (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem) GROUP BY 1")
-def wg_render_all(s, d):
-    """WG5, every graph."""
     return _rendered(table(s, d, "lineitem"))
 
 

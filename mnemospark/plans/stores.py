@@ -14,15 +14,9 @@ from .registry import query
 from .tables import ARTIFACTS, BUCKET, CHUNKS, MEMORIES, artifacts, chunks, memories, table
 
 
-@query("sc_fetch", "SELECT artifact_id, byte_size FROM artifacts WHERE namespace = 'src1' AND reference = 'mem://src1/' || artifact_id AND doc_id % 7 = 0", ARTIFACTS)
+@query("sc_fetch", "SELECT artifact_id, byte_size FROM artifacts WHERE namespace = 'src1' AND reference = 'mem://src1/' || artifact_id", ARTIFACTS)
 def sc_fetch(s, d):
     """SC1: by reference, with its namespace pruned first."""
-    return artifacts(s, d).where((F.col("namespace") == "src1") & (F.col("reference") == F.concat(F.lit("mem://src1/"), "artifact_id")) & (F.col("doc_id") % 7 == 0)).select("artifact_id", "byte_size")
-
-
-@query("sc_fetch_all", "SELECT artifact_id, byte_size FROM artifacts WHERE namespace = 'src1' AND reference = 'mem://src1/' || artifact_id", ARTIFACTS)
-def sc_fetch_all(s, d):
-    """SC1, every reference of the namespace."""
     return artifacts(s, d).where((F.col("namespace") == "src1") & (F.col("reference") == F.concat(F.lit("mem://src1/"), "artifact_id"))).select("artifact_id", "byte_size")
 
 
@@ -50,17 +44,6 @@ def sc_derive_artifacts(s, d):
     return artifacts(s, d).select("artifact_id", "reference", F.sha2("content", 256).alias("digest"), "byte_size", "token_estimate", "expires_at")
 
 
-@query(
-    "sc_token_savings",
-    "SELECT artifact_id, greatest(0, token_estimate - greatest(1, least(octet_length(encode(content)), 160) // 4) - greatest(1, octet_length(encode(reference)) // 4))::BIGINT AS saved FROM artifacts WHERE octet_length(encode(content)) = length(content)",
-    ARTIFACTS,
-)
-def sc_token_savings(s, d):
-    """SC6: tokens that a summary of 160 characters and a reference save."""
-    short = F.greatest(F.lit(1), F.floor(F.least(F.octet_length("content"), F.lit(160)) / 4))
-    return artifacts(s, d).where("octet_length(content) = length(content)").select("artifact_id", F.greatest(F.lit(0), F.col("token_estimate") - short - T.token_estimate("reference")).cast("long").alias("saved"))
-
-
 @query("sc_delete", "SELECT artifact_id FROM artifacts WHERE doc_id % 11 <> 0 AND namespace <> 'src3'", ARTIFACTS)
 def sc_delete(s, d):
     """SC7, SC8: tombstones of single artifacts and of a namespace, by anti join."""
@@ -274,12 +257,6 @@ def sf_sentences(s, d):
     return artifacts(s, d).select("artifact_id", F.size(T.sentences("content")).alias("n"), F.get(T.sentences("content"), F.lit(0)).alias("first"))
 
 
-@query("sf_prefix_summary", None)
-def sf_prefix_summary(s, d):
-    """SF8, SF12, IN1."""
-    return artifacts(s, d).select("artifact_id", T.prefix_summary("content", 400).alias("summary"))
-
-
 @query(
     "sf_content_type",
     """SELECT artifact_id, CASE WHEN (ltrim(b) LIKE '{%' OR ltrim(b) LIKE '[%') AND json_valid(b) THEN 'json' WHEN contains(b, chr(10) || '+++') OR contains(b, chr(10) || '---') OR ltrim(b) LIKE 'diff --git%' THEN 'code_diff'
@@ -293,21 +270,6 @@ def sf_content_type(s, d):
     return artifacts(s, d).select("artifact_id", R.content_type(body).alias("kind"))
 
 
-_LABEL = "event_type || (event_id % 9) || '-' || upper(substr(event_type, 1, 2)) || ' x'"
-
-
-@query("sf_subject_norm", rf"SELECT event_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LABEL}, '([A-Za-z])(\d)', '\1 \2', 'g'), '(\d)([A-Za-z])', '\1 \2', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS subject FROM events")
-def sf_subject_norm(s, d):
-    """SF13, SF15: subject keys."""
-    return table(s, d, "events").select("event_id", T.subject(F.expr(_LABEL)).alias("subject"))
-
-
-@query("sf_aspect_norm", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'implementation' WHEN 1 THEN 'status' WHEN 2 THEN 'replicas' ELSE 'own_name' END AS aspect FROM events")
-def sf_aspect_norm(s, d):
-    """SF14: synonyms fold, others stay."""
-    return table(s, d, "events").select("event_id", T.aspect(F.expr("case event_id % 4 when 0 then 'Engine' when 1 then 'Health!' when 2 then 'replica count' else 'Own  name' end")).alias("aspect"))
-
-
 @query("sf_event_date", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('year', ts) WHEN 1 THEN date_trunc('month', ts) WHEN 2 THEN date_trunc('day', ts) END::TIMESTAMP AS at FROM events")
 def sf_event_date(s, d):
     """SF16, SF20: year, month or day texts as times, null for others."""
@@ -371,43 +333,26 @@ def sf_fingerprint(s, d):
     return table(s, d, "orders").select("o_orderkey", F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(env)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"), 256).alias("f"))
 
 
-@query("sf_state", "SELECT memory_id, CASE WHEN x LIKE 'dropped%' THEN 'abandoned' WHEN x LIKE 'shipped%' THEN 'done' ELSE 'in_progress' END AS state FROM (SELECT memory_id, CASE memory_id % 3 WHEN 0 THEN 'dropped plan' WHEN 1 THEN 'shipped plan' ELSE 'still open' END AS x FROM memories)", MEMORIES)
-def sf_state(s, d):
-    """SF30, SF31."""
-    return memories(s, d).select("memory_id", R.state(F.expr("case memory_id % 3 when 0 then 'Dropped plan' when 1 then 'shipped plan' else 'still open' end")).alias("state"))
-
-
-@query("sf_flatten", r"SELECT artifact_id, sha256(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS h, left(regexp_replace(content, '[\x00-\x1f\x7f]', '', 'g'), 256) AS label FROM artifacts", ARTIFACTS)
-def sf_flatten(s, d):
-    """SF34, SF36, SF38: one line, and a label without control characters."""
-    return artifacts(s, d).select("artifact_id", F.sha2(F.trim(F.regexp_replace("content", r"\s+", " ")), 256).alias("h"), F.left(F.regexp_replace("content", r"[\x00-\x1f\x7f]", ""), F.lit(256)).alias("label"))
-
-
 @query("sf_chunk_id", "SELECT artifact_id || ':' || ordinal AS chunk_id, artifact_id AS artifact, ordinal::BIGINT AS place FROM chunks", ARTIFACTS, CHUNKS)
 def sf_chunk_id(s, d):
     """SF37: chunk ids split at the last colon."""
     return chunks(s, d).select("chunk_id", F.regexp_extract("chunk_id", r"^(.+):(\d+)$", 1).alias("artifact"), F.regexp_extract("chunk_id", r"^(.+):(\d+)$", 2).cast("long").alias("place"))
 
 
-@query("sf_density", r"SELECT artifact_id, (4 * len(regexp_extract_all(content, '\d{4}-\d{2}-\d{2}')) + 2 * len(regexp_extract_all(content, '\d+')))::BIGINT AS score FROM artifacts", ARTIFACTS)
-def sf_density(s, d):
-    """SF35: how many answers a text may hold."""
-    n = lambda p: F.size(F.regexp_extract_all("content", F.lit(p), 0))
-    return artifacts(s, d).select("artifact_id", (4 * n(r"\d{4}-\d{2}-\d{2}") + 2 * n(r"\d+")).cast("long").alias("score"))
-
-
 @query("tg_word_chunks", "SELECT chunk_id, ordinal, sha256(text) AS h FROM chunks", ARTIFACTS, CHUNKS)
 def tg_word_chunks(s, d):
     """TG1, WI4."""
     return chunks(s, d).select("chunk_id", "ordinal", F.sha2("text", 256).alias("h"))
 
 
-@query("tg_sentence_chunks", f"SELECT artifact_id, n::INT AS n, c AS centre, array_to_string(list_filter([x[n - 1], c, x[n + 1]], lambda s: s IS NOT NULL), ' ') AS window FROM (SELECT artifact_id, x, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS n FROM (SELECT artifact_id, {_SENT} AS x FROM artifacts WHERE length(content) < 2000)) WHERE n > 0", ARTIFACTS)
+_SENTENCES = f"sentence_rows AS (SELECT artifact_id, unnest(x) AS centre, unnest(range(1, len(x) + 1)) AS n FROM (SELECT artifact_id, {_SENT} AS x FROM artifacts))"
+
+
+@query("tg_sentence_chunks", "SELECT artifact_id, n::INT AS n, sha256(centre) AS centre, sha256(concat_ws(' ', lag(centre) OVER w, centre, lead(centre) OVER w)) AS window FROM sentence_rows WINDOW w AS (PARTITION BY artifact_id ORDER BY n)", ARTIFACTS, _SENTENCES)
 def tg_sentence_chunks(s, d):
-    """TG2: sentences with a neighbour on each side."""
-    w = W.partitionBy("artifact_id").orderBy("n")
-    x = artifacts(s, d).where(F.length("content") < 2000).select("artifact_id", F.posexplode(T.sentences("content")).alias("n", "centre")).withColumn("n", F.col("n") + 1)
-    return x.select("artifact_id", "n", "centre", F.concat_ws(" ", F.lag("centre").over(w), "centre", F.lead("centre").over(w)).alias("window"))
+    """TG2: every sentence with a neighbour on each side, by digest."""
+    x = artifacts(s, d).select("artifact_id", F.inline(T.with_neighbours(T.sentences("content"))))
+    return x.select("artifact_id", "n", F.sha2("centre", 256).alias("centre"), F.sha2("window", 256).alias("window"))
 
 
 @query("tg_packed_sentences", None)

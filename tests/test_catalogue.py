@@ -16,14 +16,14 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalogue.queries()[name](spark, f"{DATA}/sf0.001").count() > 0
 
 
-@pytest.mark.parametrize("name, table, key", [("sf_json_compact_all", "events", None), ("sf_json_digest_all", "events", None), ("wg_render_all", "lineitem", "l_orderkey")])
+@pytest.mark.parametrize("name, table, key", [("sf_json_compact", "events", None), ("sf_json_digest", "events", "user_id"), ("wg_render", "lineitem", "l_orderkey")])
 def test_query_runs_over_its_whole_table(spark, name, table, key):
     whole = spark.read.parquet(f"{DATA}/sf0.01/{table}.parquet")
     assert catalogue.queries()[name](spark, f"{DATA}/sf0.01").count() == (whole.select(key).distinct() if key else whole).count()
 
 
 def test_episodes_list_all_decisions(spark):
-    rows = catalogue.queries()["ag_episode_all"](spark, f"{DATA}/sf0.01").collect()
+    rows = catalogue.queries()["ag_episode"](spark, f"{DATA}/sf0.01").collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{DATA}/sf0.01/events.parquet").count()
     assert all(len(r.refs.split(",")) == r.decisions for r in rows if r.decisions)
 
