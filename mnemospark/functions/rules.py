@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # Kinds, weights and patterns; of equal weights the earlier kind wins.
 KINDS = (
@@ -68,3 +69,27 @@ def content_type(text: Column) -> Column:
         F.when(json, "json").when(has("\n+++") | has("\n---") | starts("diff --git"), "code_diff")
         .when(has("Traceback ") | has(" ERROR ") | starts("[ERROR]"), "log").when(starts("<!DOCTYPE html") | starts("<html"), "html").otherwise("text")
     )
+
+
+# The kinds that rules may have.
+RULE_KINDS = ("pitfall", "decision", "preference", "instruction", "workaround")
+
+
+def candidates(notes: DataFrame, key: str, text: str, most: int = 50, longest: int = 400) -> DataFrame:
+    """(key, place, kind, confidence, text, types): what a note may teach, the first most of each.
+
+    Lines lose their list marks and are split into sentences of at most longest characters. Those that match a rule come
+    first, then all as key facts; each text once, whatever its case. Texts are scrubbed and classified.
+    """
+    from .pii import scrub
+
+    lines = notes.select(key, F.posexplode(F.split(text, r"\n+")).alias("line_no", "l"))
+    clean = F.btrim(F.btrim(F.btrim(F.regexp_replace("l", r"^[\s\-*#>`]+", "")), F.lit("*`")))
+    units = lines.select(key, "line_no", F.posexplode(F.split(clean, r"(?<=[.!?])\s+")).alias("unit_no", "unit")).withColumn("unit", F.btrim("unit")).where((F.col("unit") != "") & (F.length("unit") <= longest))
+    units = units.withColumn("best", best_kind(F.col("unit")))
+    ruled = units.where(F.col("best.kind").isin(*RULE_KINDS)).withColumn("pass", F.lit(1))
+    every = ruled.unionByName(units.withColumn("pass", F.lit(2))).withColumn("c", classified(F.col("unit"), "key_fact"))
+    order = ["pass", "line_no", "unit_no"]
+    once = every.withColumn("again", F.row_number().over(W.partitionBy(key, F.lower(F.trim("unit"))).orderBy(*order))).where("again = 1")
+    kept = once.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+    return kept.withColumn("s", scrub(F.col("unit"))).select(key, "place", "c.kind", "c.confidence", "s.text", F.array_join("s.types", ",").alias("types"))

@@ -7,10 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a group that greedy clustering takes; larger groups are split by a hash of their key first.
-GROUP_ROWS = 4096
-
-
 def greedy_clusters(vectors: DataFrame, group: str, order: str, theta: float, vector: str = "v") -> DataFrame:
     """group, order and seed: each row joins the first seed, in order, whose cosine reaches theta, or is a seed.
 

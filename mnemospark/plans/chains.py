@@ -125,15 +125,6 @@ def wi_newest_per_cluster(s, d):
     return memories(s, d).select("memory_id", (n > 1).alias("retracted"))
 
 
-@query("wi_transcript_windows", None)
-def wi_transcript_windows(s, d):
-    """WI5, TG11: turns filled into windows of at least 400 characters; a fold, as each window's end decides the next's start."""
-    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
-    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("sizes"))
-    step = lambda a, x: F.struct(F.when(a["open"] + x["n"] >= 400, 0).otherwise(a["open"] + x["n"]).alias("open"), F.when(a["open"] + x["n"] >= 400, F.array_append(a["sizes"], a["open"] + x["n"])).otherwise(a["sizes"]).alias("sizes"))
-    return turns.select("conv_id", F.aggregate("t", start, step, lambda a: F.when(a["open"] > 0, F.array_append(a["sizes"], a["open"])).otherwise(a["sizes"])).alias("w")).select("conv_id", F.posexplode("w").alias("window", "chars"))
-
-
 @query("tk_sort", "SELECT memory_id FROM memories ORDER BY confidence DESC, effective_from DESC, memory_id LIMIT 100", MEMORIES)
 def tk_sort(s, d):
     """TK1, TK3."""
@@ -190,22 +181,6 @@ def ru_learn(s, d):
     return _env(s, d).select("o_orderkey", F.array_join(F.array_union("declared", drifted), ",").alias("declared"))
 
 
-@query("ru_simulation", None)
-def ru_simulation(s, d):
-    """RU5, BM9: policies over a sequence of tasks; each arm is a fold over its user's events."""
-    e = table(s, d, "events").select("user_id", "event_id", (F.col("event_id") % 6 == 0).alias("drift"))
-    seq = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "drift"))).alias("t"))
-    start = F.struct(F.lit(True).alias("stale"), F.lit(0).alias("turns"), F.lit(0).alias("bad"))
-    arms = F.explode(F.array(F.lit("none"), F.lit("always"), F.lit("gated"))).alias("arm")
-
-    def step(a, x):
-        stale = a["stale"] | x["drift"]
-        derive = F.when(F.col("arm") == "none", True).when(F.col("arm") == "always", a["turns"] == 0).otherwise(stale)
-        return F.struct(F.when(derive, False).otherwise(stale).alias("stale"), (a["turns"] + F.when(derive, 10).otherwise(1)).alias("turns"), (a["bad"] + F.when(~derive & stale, 1).otherwise(0)).alias("bad"))
-
-    return seq.select("user_id", "t", arms).select("user_id", "arm", F.aggregate("t", start, step).alias("r")).groupBy("arm").agg(F.sum("r.turns").alias("turns"), F.sum("r.bad").alias("false_reuse"))
-
-
 @query("di_facts", "SELECT lower(text) AS k, min(memory_id) AS first FROM memories WHERE status = 'active' AND kind = 'fact' GROUP BY 1", MEMORIES)
 def di_facts(s, d):
     """DI1."""
@@ -250,20 +225,6 @@ def wg_query(s, d):
     return table(s, d, "orders").where("o_orderstatus = 'O'").join(n, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber")
 
 
-@query("wg_transitions", "SELECT a, b, count(*) AS n FROM (SELECT l_linestatus AS b, lag(l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS a FROM lineitem) WHERE a IS NOT NULL GROUP BY ALL")
-def wg_transitions(s, d):
-    """WG2, WG4: changes of status by edge."""
-    a = F.lag("l_linestatus").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return table(s, d, "lineitem").select(a.alias("a"), F.col("l_linestatus").alias("b")).where("a is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
-@query("wg_impact", "SELECT DISTINCT node, depth FROM (SELECT n AS node, min(k) AS depth FROM (SELECT 1 AS k, unnest([2, 3]) AS n UNION ALL SELECT 2, unnest([4, 5, 6, 7]) UNION ALL SELECT 3, unnest([8, 9, 10, 11, 12, 13, 14, 15])) GROUP BY n)")
-def wg_impact(s, d):
-    """CI1, BM8: what a node reaches within three calls."""
-    s.range(1, 64).selectExpr("id a", "explode(array(2 * id, 2 * id + 1)) b").createOrReplaceTempView("__calls")
-    return s.sql("with recursive r(node, depth) as (select 1L, 0 union all select b, depth + 1 from r join __calls on a = node where depth < 3) select node, min(depth) depth from r where depth > 0 group by node")
-
-
 @query("in_payload", "SELECT artifact_id, 'Stored ' || reference || ' (' || token_estimate || ' tokens)' AS payload FROM artifacts WHERE length(content) >= 8000 OR octet_length(encode(content)) // 4 >= 2000", ARTIFACTS)
 def in_payload(s, d):
     """IN1, SF12."""
@@ -339,14 +300,6 @@ def st_dedup_confirm(s, d):
     return table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"), (F.count("*") - 1).alias("confirmations"))
 
 
-@query("st_scheduler", "SELECT conv_id, count(*) FILTER (n IN (1, 2, 4, 8) OR n % 20 = 0) AS runs FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
-def st_scheduler(s, d):
-    """ST2: turns at which a session is processed."""
-    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    t = table(s, d, "conversations").select("conv_id", n.alias("n"))
-    return t.groupBy("conv_id").agg(F.count(F.when(F.col("n").isin(1, 2, 4, 8) | (F.col("n") % 20 == 0), 1)).alias("runs"))
-
-
 @query("tg_outline", None)
 def tg_outline(s, d):
     """TG8, JO14: symbols of Python sources made from names of nations."""

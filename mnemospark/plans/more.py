@@ -71,18 +71,6 @@ def _rendered(edges):
     return e.groupBy("l_orderkey").agg(F.concat(F.lit("graph TD\n"), F.array_join(lines, "\n")).alias("mermaid"))
 
 
-@query("bm_call_graph", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'in_file' WHEN n_nationkey % 3 = 1 THEN 'cross_file' ELSE 'external' END AS kind FROM nation) GROUP BY kind")
-def bm_call_graph(s, d):
-    """BM8: calls resolved in their file, else in the only other that defines the name, else external."""
-    n = table(s, d, "nation").select(F.col("n_nationkey").alias("file"))
-    calls = n.select("file", F.when(F.col("file") % 3 == 0, F.concat(F.lit("own"), "file")).when(F.col("file") % 3 == 1, F.concat(F.lit("own"), F.col("file") - 1)).otherwise(F.lit("print")).alias("name"))
-    defs = n.where("file % 3 = 0").select(F.col("file").alias("def_file"), F.concat(F.lit("own"), "file").alias("def_name"))
-    only = defs.groupBy("def_name").agg(F.max("def_file").alias("only"), F.count("*").alias("k")).where("k = 1")
-    own = calls.join(defs, (F.col("name") == F.col("def_name")) & (F.col("file") == F.col("def_file")), "left").drop("def_name")
-    out = own.join(only, F.col("name") == F.col("def_name"), "left")
-    return out.select(F.when(F.col("def_file").isNotNull(), "in_file").when(F.col("only").isNotNull(), "cross_file").otherwise("external").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query("bm_asof_views", "SELECT view, count(*) AS n FROM memories JOIN (VALUES ('early', TIMESTAMP '2024-01-08'), ('mid', TIMESTAMP '2024-01-16'), ('now', TIMESTAMP '2024-02-01')) v(view, day) ON effective_from <= day AND (effective_until IS NULL OR effective_until > day) GROUP BY view", MEMORIES)
 def bm_asof_views(s, d):
     """BM7: three views of one chain."""

@@ -81,15 +81,6 @@ def sc_purge_report(s, d):
     return count(artifacts(s, d), "artifacts", F.count("*")).unionByName(count(memories(s, d), "memories", F.count("*"))).unionByName(count(chunks(s, d), "chunks", F.countDistinct("artifact_id")))
 
 
-@query("sc_bundle_roundtrip", "SELECT 'artifact' AS kind, artifact_id AS id, sha256(content) AS digest FROM artifacts UNION ALL SELECT 'memory', memory_id::VARCHAR, sha256(text) FROM memories", ARTIFACTS, MEMORIES)
-def sc_bundle_roundtrip(s, d):
-    """SC12, SC13: mixed JSON lines out and in again."""
-    lines = artifacts(s, d).select(F.to_json(F.struct(F.lit("artifact").alias("kind"), F.col("artifact_id").alias("id"), F.base64(F.encode("content", "UTF-8")).alias("body"))).alias("value"))
-    lines = lines.unionByName(memories(s, d).select(F.to_json(F.struct(F.lit("memory").alias("kind"), F.col("memory_id").cast("string").alias("id"), F.col("text").alias("body"))).alias("value")))
-    back = lines.select(F.from_json("value", "kind string, id string, body string").alias("x")).select("x.*")
-    return back.select("kind", "id", F.sha2(F.when(F.col("kind") == "artifact", F.decode(F.unbase64("body"), "UTF-8")).otherwise(F.col("body")), 256).alias("digest"))
-
-
 @query("sc_session_ingest", "SELECT conv_id, string_agg('[' || upper(role) || '] ' || text, chr(10) ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY conv_id")
 def sc_session_ingest(s, d):
     """SC15, TG9, TG10: a session's turns as one artifact."""
@@ -385,13 +376,6 @@ def ex_classify(s, d):
     return memories(s, d).select("memory_id", R.classified(F.col("text"), "key_fact").alias("c")).select("memory_id", "c.kind", "c.confidence")
 
 
-@query("ex_candidates", f"SELECT text, min(memory_id) AS first_id, count(*) AS n, any_value({_KIND}) AS kind FROM memories GROUP BY text", MEMORIES)
-def ex_candidates(s, d):
-    """EX2, SE1, AG4: candidates, first of each text."""
-    m = memories(s, d).withColumn("key", F.lower(F.trim("text"))).groupBy("key").agg(F.min(F.struct("memory_id", "text")).alias("f"), F.count("*").alias("n"))
-    return m.select("f.text", F.col("f.memory_id").alias("first_id"), "n", R.classified(F.col("f.text"), "key_fact")["kind"].alias("kind"))
-
-
 @query("ex_commit_report", "SELECT CASE WHEN confidence < 0.6 THEN 'below_threshold' WHEN n > 1 THEN 'duplicate' ELSE 'accepted' END AS reason, count(*) AS n FROM (SELECT confidence, row_number() OVER (PARTITION BY text, user_id ORDER BY memory_id) AS n FROM memories) GROUP BY 1", MEMORIES)
 def ex_commit_report(s, d):
     """EX3, FI14."""

@@ -176,3 +176,70 @@ def test_packed_sentences_hold_the_longest_documents(spark):
     got = {r.artifact_id: r.t for r in catalogue.queries()["tg_packed_sentences"](spark, sf).groupBy("artifact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "centre"))), lambda x: x["centre"]), " ").alias("t")).collect()}
     want = {r.artifact_id: r.t for r in artifacts(spark, sf).select("artifact_id", F.array_join(T.sentences("content"), " ").alias("t")).where("t <> ''").collect()}
     assert got == want and max(map(len, got.values())) >= 2000
+
+
+def test_numbered_scrubbing_leaves_overlaps_out():
+    from mnemospark.functions.pii import spans
+
+    text = "a@b.co 555-123-4567 x@y.org 123-45-6789 and 4111 1111 1111 1111 sk_abcdefghijklmn 5551234567"
+    got = spans(text)
+    assert [(k, n) for _, _, k, n in got] == [("EMAIL", 1), ("PHONE", 1), ("EMAIL", 2), ("SSN", 1), ("CREDIT_CARD", 1), ("SECRET", 1), ("PHONE", 2)]
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+    assert spans("clean text") == []
+
+
+def test_names_are_folded(spark):
+    from mnemospark.functions import names
+
+    values = ["Node７", "ＡＢＣ-12x", "Straße", "  I ", None, "replica count", "HEALTH!"]
+    rows = spark.createDataFrame([(x,) for x in values], "x string").select(names.subject("x").alias("s"), names.aspect("x").alias("a")).collect()
+    assert [r.s for r in rows] == ["node 7", "abc 12 x", "strasse", "i", "", "replica count", "health"]
+    assert rows[5].a == "replicas" and rows[6].a == "status"
+
+
+def test_outlines(spark):
+    from mnemospark.functions import objects
+
+    long = '{"a": ' + "[1, 2, 3], " * 1 + '"b": "' + "x" * 200 + '", "c": {"d": null}, "e": true, "f": 1.5}'
+    got = one(spark, objects.outline(F.lit(long), 160))
+    assert got.startswith("JSON object, 5 keys:\n  a: array[3]\n  b: str\n  c: object(1 keys)\n  e: bool\n  f: float\n") and "sample: " not in got or len(got) <= 200
+    assert one(spark, objects.outline(F.lit('[{"k": 1, "l": 2}]'), 5)).startswith("JSON array, 1 elements\n  element keys: k, l")
+    assert one(spark, objects.outline(F.lit("[ 1 , 2 ]"), 100)) == "[1,2]" and one(spark, objects.outline(F.lit("plain"), 9)) is None
+
+
+def test_policies_of_reuse():
+    from mnemospark.operators.sessions import ARMS, World, simulate
+
+    world = World(120, {"version": 20, "workload": 30, "volume": 40}, 10, None, 2)
+    got = {arm: simulate(arm, world, "version") for arm in ARMS}
+    assert got["no-memory"] == {"turns": 1200, "reuses": 0, "derived": 120, "checks": 0, "false_valid": 0}
+    # A cache by version derives twice and is wrong from the next drift on.
+    assert got["naive-cache"]["derived"] == 2 and got["naive-cache"]["false_valid"] == 90
+    # All dimensions declared: an outcome for each state of the world, three checks a reuse.
+    assert got["ledger-v1"] == {"turns": 4 * 10 + 116 * 4, "reuses": 116, "derived": 4, "checks": 348, "false_valid": 0}
+    assert got["ledger-underdecl"]["false_valid"] == 80 and got["ledger-canary"]["false_valid"] == 0
+    assert 0 < got["ledger-learn"]["false_valid"] <= 3 and 0 < got["ledger-tiered"]["false_valid"] <= 3
+    assert got["ledger-tiered"]["turns"] < got["ledger-canary"]["turns"] < got["no-memory"]["turns"]
+    hidden = World(60, {"version": 70}, 0, 30, 2)
+    assert all(simulate(arm, hidden, "version")["false_valid"] == 30 for arm in ARMS if arm != "no-memory")
+
+
+def test_context_is_packed_as_by_hand(spark):
+    from mnemospark.plans import catalogue, recalls
+
+    sf = "/root/testdata/sf0.001"
+    cited, nodes = (df.collect() for df in recalls.pack_inputs(spark, sf))
+    rank = {"blocked": 0, "active": 1, "done": 9}
+    for r in catalogue.queries()["pk_context"](spark, sf).collect():
+        lines = [(f"citation:{c.id}", c.line) for c in sorted((c for c in cited if c.qid == r.qid), key=lambda c: (-c.score, c.id))[:50]]
+        own = sorted((n for n in nodes if n.qid == r.qid and n.line), key=lambda n: n.id)
+        own = sorted(own, key=lambda n: n.at, reverse=True)
+        own = sorted(own, key=lambda n: rank[n.status] if n.status == "done" or n.kind != "decision" else 0)
+        lines += [(f"node:{n.id}", n.line) for n in own[:10]]
+        used, kept = 0, []
+        for name, line in lines:
+            cost = max(1, len(line.encode()) // 4)
+            if used + cost <= 600:
+                used, kept = used + cost, [*kept, name]
+        assert (r.used, r.ids) == (used, ",".join(kept))
+        assert sorted(r.omitted.split(",")) == sorted({n for n, _ in lines} - set(kept)) or not r.omitted

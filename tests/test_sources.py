@@ -1,6 +1,6 @@
 import pytest
 
-from mnemospark.sources import python_code, transcripts
+from mnemospark.sources import bundles, python_code, transcripts
 
 
 def test_bad_lines_are_told_apart(spark, tmp_path):
@@ -28,3 +28,28 @@ def test_outline():
     found = python_code.outline("class A:\n    def f(self):\n        return g(self)\n\ndef g(x):\n    return x\n")
     assert [(n, k, p) for n, k, _, _, p, _ in found] == [("A", "class", ""), ("f", "function", "A"), ("g", "function", "")]
     assert found[1][5] == "g,self" and python_code.outline("def (") == []
+
+
+def test_directories_are_scanned_and_compared(spark, tmp_path):
+    for name, text in {"a.py": "1", "sub/b.py": "2", ".git/c": "3", "sub/node_modules/x/d.js": "4", "e.md": "5"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    before = spark.createDataFrame(bundles.directory(spark, str(tmp_path)).collect())
+    assert sorted(r.path for r in before.collect()) == ["a.py", "e.md", "sub/b.py"]
+    (tmp_path / "a.py").write_text("changed")
+    (tmp_path / "e.md").unlink()
+    (tmp_path / "new.txt").write_text("n")
+    got = {r.path: r.change for r in bundles.changes(before, bundles.directory(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"a.py": "modified", "e.md": "deleted", "new.txt": "added"}
+
+
+def test_bundles_keep_everything_and_refuse_other_versions(spark, tmp_path):
+    a = spark.createDataFrame([("1", "n", "é\n\x00 {}"), ("2", "n", "")], "artifact_id string, namespace string, content string")
+    m = spark.createDataFrame([(7, "n", "fact", 3)], "memory_id long, namespace string, text string, confirmations long")
+    bundles.export_bundle(a, m, str(tmp_path / "out"))
+    got = sorted((r.kind, r.id, r.content, r.confirmations) for r in bundles.import_bundle(spark, str(tmp_path / "out")).collect())
+    assert got == [("artifact", "1", "é\n\x00 {}", None), ("artifact", "2", "", None), ("memory", "7", "fact", 3)]
+    for line in ('{"format_version":1,"kind":"memory","id":"1"}', '{"format_version":2,"kind":"other"}', "no json"):
+        (tmp_path / "bad.jsonl").write_text(line + "\n")
+        with pytest.raises(Exception, match="not a line of a bundle"):
+            bundles.import_bundle(spark, str(tmp_path / "bad.jsonl")).collect()

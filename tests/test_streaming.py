@@ -2,6 +2,7 @@
 
 import pytest
 
+from mnemospark.operators import sessions
 from mnemospark.plans.tables import table
 from mnemospark.streaming import transcripts, windows
 from oracle import DATA
@@ -29,6 +30,19 @@ def test_windows(spark, tmp_path, kind):
     assert sorted(map(str, spark.table(kind).collect())) == sorted(map(str, work(events).collect()))
 
 
+def test_scheduler_keeps_state_between_batches(spark, tmp_path):
+    rows = [(k % 3, n, 40.0 * n * (1 + k % 3)) for k in range(3) for n in range(60)]
+    turns = spark.createDataFrame(rows, "session long, n long, at double")
+    for part in range(3):  # a file of each twenty turns, read in order
+        turns.where(f"n >= {20 * part} and n < {20 * part + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = sessions.scheduled(stream, 6, 300.0).writeStream.format("memory").queryName("scheduled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = sorted(map(tuple, sessions.scheduled(turns, 6, 300.0).collect()))
+    assert sorted(map(tuple, spark.table("scheduled").collect())) == want
+    assert [n for s, n, due in want if s == 0 and due][:5] == [0, 1, 3, 7, 13]
+
+
 def test_confirming_sink_survives_a_batch_that_runs_again(spark, tmp_path):
     events = table(spark, f"{DATA}/sf0.001", "events")
     write = windows.confirming_sink(str(tmp_path / "out"))
