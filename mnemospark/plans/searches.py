@@ -44,6 +44,14 @@ def _vector(s, d, k):
     return RE.top_k(RE.text_vector_scores(store(s, d).vectors, questions(s, d), k), k)
 
 
+@query("sc_chunk_store", "SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM postings) AS postings, (SELECT count(DISTINCT token) FROM postings) AS terms, round(mean, 6) AS mean FROM totals", *_BASE, _BM25)
+def sc_chunk_store(s, d):
+    """RE17, SC5: the store that all searches read, and what it holds."""
+    st = store(s, d)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(st.chunks, "chunks").crossJoin(count(st.postings, "postings")).crossJoin(count(st.terms, "terms")).crossJoin(st.totals.select(F.round("mean", 6).alias("mean")))  # one row each
+
+
 @query("re_keyword_topk", "SELECT qid, chunk_id, score, rank FROM kranked WHERE rank <= 10", *_BASE, _KEYWORD)
 def re_keyword_topk(s, d):
     """RE1, RE2, RE3, RE17, TK2: all queries against all chunks through the index."""
