@@ -1,37 +1,10 @@
-"""Context assembly: greedy clustering, budget packing, transcript reduction and reuse of outcomes."""
+"""Context assembly: budget packing, transcript reduction and reuse of outcomes."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def greedy_clusters(vectors: DataFrame, group: str, order: str, theta: float, vector: str = "v") -> DataFrame:
-    """group, order and seed: each row joins the first seed, in order, whose cosine reaches theta, or is a seed.
-
-    The result depends on the order of rows of a group, so a group is one task's; groups should be of bounded size, as
-    the sessions or kinds of one scope are. For whole corpora use a join of near vectors and connected components.
-    """
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        seeds, of = [], []
-        for i in range(len(x)):
-            near = np.flatnonzero(x[seeds] @ x[i] >= theta - 1e-12) if seeds else ()
-            if len(near):
-                of.append(seeds[near[0]])
-            else:
-                seeds.append(i)
-                of.append(i)
-        ids = pdf[order].to_numpy()
-        return pd.DataFrame({"grp": pdf[group].to_numpy(), "id": ids, "seed": ids[of]})
-
-    return vectors.groupBy(group).applyInPandas(cluster, "grp long, id long, seed long")
-
 
 def packed(items: Column, budget: int) -> Column:
     """Of an ordered array of struct(id, tokens): the ids taken greedily, skipping what doesn't fit."""

@@ -5,8 +5,6 @@ Each is a fold, as what a step does depends on the steps before. A session or a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,32 +30,13 @@ def schedule(times: list[float], state: tuple[int, int, float | None], queue: in
 
 
 def scheduled(turns: DataFrame, queue: int = QUEUE, idle: float = IDLE) -> DataFrame:
-    """(session, n, due) for turns (session, n, at in seconds); of a stream, turn by turn with state kept for each session.
+    """(session, n, due) for turns (session, n, at in seconds); streaming.scheduler has the queues themselves, and streams."""
 
-    The state of a session that says nothing for a day of event time is dropped, as its queue was flushed long before.
-    """
-    schema = "session long, n long, due boolean"
-    frame = lambda session, pdf, due: pd.DataFrame({"session": session, "n": pdf.n, "due": due})
-    if not turns.isStreaming:
-
-        def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["at", "n"])
-            return frame(key[0], pdf, schedule(pdf["at"].tolist(), (0, 0, None), queue, idle)[0])
-
-        return turns.groupBy("session").applyInPandas(whole, schema)
-
-    def more(key, parts: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(parts)).sort_values(["at", "n"])
-        before = state.get if state.exists else (0, 0, None)
-        due, after = schedule(pdf["at"].tolist(), tuple(before), queue, idle)
-        state.update(after)
-        state.setTimeoutDuration(86_400_000)
-        yield frame(key[0], pdf, due)
-
-    return turns.groupBy("session").applyInPandasWithState(more, schema, "turns long, queued long, last double", "append", "ProcessingTimeTimeout")
+    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "n"])
+        return pd.DataFrame({"session": key[0], "n": pdf.n, "due": schedule(pdf["at"].tolist(), (0, 0, None), queue, idle)[0]})
+
+    return turns.groupBy("session").applyInPandas(whole, "session long, n long, due boolean")
 
 
 def transcript_windows(lines: DataFrame, most: int = 4000, limit: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, more, recalls, searches, stores, values, works  # noqa: F401
+from . import chains, indexes, more, recalls, searches, stores, values, works  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators import aggregates as AG
+from ..operators import clusters as CL
 from ..operators import context as C
 from ..operators import memory as ME
 from .registry import query
@@ -112,10 +114,8 @@ def ag_rollup_cube(s, d):
 
 @query("ag_percentile", "SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = floor(0.95 * n)")
 def ag_percentile(s, d):
-    """AG12: nearest rank by index."""
-    w = W.partitionBy("event_type")
-    e = table(s, d, "events").withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(w))
-    return e.where(F.col("i") == F.floor(F.lit(0.95) * F.col("n"))).select("event_type", F.col("value").alias("p95"))
+    """AG12: nearest rank by index, by a histogram of each type rather than its rows in one window."""
+    return AG.ranked_values(table(s, d, "events").select("event_type", "value", "event_id"), "event_type", "value", 0.95).select("event_type", F.col("ranked").alias("p95"))
 
 
 @query("wi_newest_per_cluster", "SELECT memory_id, n > 1 AS retracted FROM (SELECT memory_id, row_number() OVER (PARTITION BY kind, user_id ORDER BY effective_from DESC, memory_id DESC) AS n FROM memories)", MEMORIES)
@@ -198,24 +198,37 @@ def _vectors(s, d):
     return table(s, d, "embeddings").select(F.col("label").cast("long").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+def _refs(s, d):
+    """The sources of each vector: one for itself in its label, one that several share."""
+    v = _vectors(s, d)
+    return v.select("grp", "id", F.explode(F.array(F.concat_ws("/", F.lit("mem:/"), "grp", F.col("id") % 50), F.concat_ws("/", F.lit("mem:/shared"), F.col("id") % 3))).alias("ref"))
+
+
 @query("di_spans", None)
 def di_spans(s, d):
-    """DI6, AG3: greedy clusters and their bounds."""
-    c = C.greedy_clusters(_vectors(s, d), "grp", "id", 0.35)
+    """DI6, AG3: greedy clusters of episodes at 0.65 and their bounds."""
+    c = CL.greedy_clusters(_vectors(s, d), "grp", "id", 0.65)
     return c.groupBy("grp", "seed").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("sd_semantic_dedup", None)
 def sd_semantic_dedup(s, d):
-    """SD1: the first of each cluster represents it."""
-    return C.greedy_clusters(_vectors(s, d), "grp", "id", 0.35).withColumn("kept", F.col("id") == F.col("seed"))
+    """SD1: the first of each cluster at 0.82 represents it."""
+    return CL.greedy_clusters(_vectors(s, d), "grp", "id", 0.82).withColumn("kept", F.col("id") == F.col("seed"))
+
+
+@query("sd_merged_refs", None)
+def sd_merged_refs(s, d):
+    """SD1: the references that each representative takes over from its cluster, each once, in the order in which they came."""
+    return CL.merged_refs(CL.greedy_clusters(_vectors(s, d), "grp", "id", 0.82), _refs(s, d))
 
 
 @query("sd_consolidate", None)
 def sd_consolidate(s, d):
-    """SD2: of each cluster all but the newest are retracted."""
-    c = C.greedy_clusters(_vectors(s, d), "grp", "id", 0.3)
-    return c.withColumn("retracted", F.col("id") != F.max("id").over(W.partitionBy("grp", "seed")))
+    """SD2: of each cluster at 0.82 all but the newest are retracted, with the one that replaces them; newest goes by a session's time, then id."""
+    c = CL.greedy_clusters(_vectors(s, d), "grp", "id", 0.82).withColumn("recency", F.col("id") * 7919 % 10007)
+    newest = c.groupBy("grp", "seed").agg(F.max(F.struct("recency", "id"))["id"].alias("newest"))
+    return c.join(newest, ["grp", "seed"]).select("grp", "id", "seed", (F.col("id") != F.col("newest")).alias("retracted"), F.when(F.col("id") != F.col("newest"), F.col("newest")).alias("replaced_by"))
 
 
 @query("wg_query", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_linestatus = 'O' AND l_returnflag LIKE '%N%'")

@@ -13,7 +13,7 @@ from ..operators import recall as RC
 from ..operators import retrieval as RE
 from .registry import query
 from .searches import _BASE, _BM25, _KEYWORD, _TWO, NOW, _bm25, _keyword, _vector
-from .tables import ARTIFACTS, CHUNKS, MEMORIES, artifacts, memories, questions, store, table
+from .tables import ARTIFACTS, CHUNKS, MEMORIES, artifacts, memories, memory_grams, questions, store, table
 
 #: Requests by nation: for a memory, for a chunk (long words of a benchmark item), for nothing that exists; each has a namespace of memories and one of artifacts.
 _LONG = "array_to_string(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: length(w) >= 7), ' ')"
@@ -40,7 +40,7 @@ def visible(s, d):
 
 def _memory_hits(s, d):
     """(qid, id, score, snippet)."""
-    scored = RE.substring_scores(visible(s, d), requests(s, d))
+    scored = RE.substring_scores(memory_grams(s, d), visible(s, d), requests(s, d))
     return scored.join(memories(s, d).select("memory_id", "text"), "memory_id").select("qid", F.col("memory_id").alias("id"), "score", F.col("text").alias("snippet"))
 
 
@@ -174,7 +174,7 @@ def rc_shortcut(s, d):
     kind = F.when(F.col("kind") == "decision", "outcome").when(F.col("kind") == "instruction", "procedure").otherwise("context")
     fresh = (F.col("memory_id") % 2 == 0) & (F.col("effective_from") > F.expr("timestamp_ntz'2024-01-10'"))
     typed = visible(s, d).select("ns", "memory_id", kind.alias("kind"), "effective_from", fresh.alias("fresh"), (F.col("memory_id") % 3 == 0).alias("drifted"))
-    hits = RE.substring_scores(visible(s, d), r).join(typed.drop("ns"), "memory_id")
+    hits = RE.substring_scores(memory_grams(s, d), visible(s, d), r).join(typed.drop("ns"), "memory_id")
     scored = hits.select("qid", F.col("memory_id").alias("id"), "kind", (F.col("score") / F.max("score").over(W.partitionBy("qid", "kind"))).alias("score"), (F.col("fresh") & ~F.col("drifted")).alias("reusable"), "fresh", "drifted")
     keyed = typed.where("kind = 'context'").withColumn("qid", F.col("memory_id") % 1000).join(r.select("qid", "ns"), ["qid", "ns"])
     return RC.shortcut(r, keyed.select("qid", F.col("memory_id").alias("id"), F.col("effective_from").alias("at"), "fresh"), scored, 0.5)
@@ -196,9 +196,11 @@ def rc_graph_behavior(s, d):
     m = memories(s, d)
     after = m.where("supersedes is not null").select(F.col("memory_id").alias("successor"), F.col("supersedes").alias("memory_id"))
     at = m.where(F.col("effective_from") <= F.lit(NOW).cast("timestamp_ntz")).join(after, "memory_id", "left")
-    asked = RE.if_small(requests(s, d).select("qid", F.col("ns").alias("namespace"), F.lower("text").alias("asked")))
+    asked = requests(s, d).select("qid", F.col("ns"), F.lower("text").alias("asked"))
     status = F.when(F.col("memory_id") % 17 == 0, "retracted").otherwise(F.col("status"))
-    hits = at.join(asked, "namespace").where(F.contains(F.lower("text"), F.col("asked"))).select("qid", F.col("memory_id").alias("id"), status.alias("status"), "successor")
+    # The whole text is one term, so its rarest grams give the candidates.
+    found = memory_grams(s, d).candidates(asked.withColumnRenamed("asked", "term"), RE.if_small).drop("ns")
+    hits = found.join(RE.if_small(asked), "qid").join(at, "memory_id").where(F.contains(F.lower("text"), F.col("asked"))).select("qid", F.col("memory_id").alias("id"), status.alias("status"), "successor")
     out = None
     for retracted in ("hide", "flag", "surface_both"):
         for superseded in ("hide", "prefer_new", "surface_both"):
@@ -252,7 +254,7 @@ def pack_inputs(s, d):
     cited = _bm25(s, d, 50).join(store(s, d).chunks.select("chunk_id", "text"), "chunk_id")
     flat = lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "))
     cited = cited.select("qid", F.col("chunk_id").alias("id"), "score", F.concat(F.lit("- "), flat("text"), F.lit(" ["), "chunk_id", F.lit("]")).alias("line"))
-    items = table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey < 200")
+    items = table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     status = F.when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_linestatus") == "O", "active").otherwise("done")
     kind = F.when(F.col("l_linenumber") == 1, "decision").otherwise("task")
     own = F.concat_ws(".", "l_orderkey", "l_linenumber")

@@ -14,7 +14,7 @@ from ..operators import retrieval as RE
 from ..sources.chunk_store import hash_buckets
 from .registry import query
 from .stores import SCRUBBED
-from .tables import ARTIFACTS, CHUNKS, MEMORIES, QUESTIONS, artifacts, bags, memories, questions, store, table
+from .tables import ARTIFACTS, CHUNKS, MEMORIES, QUESTIONS, artifacts, bags, memories, memory_grams, questions, store, table
 
 _INDEX = "postings AS (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM chunks) GROUP BY ALL), asked AS (SELECT qid, len(terms) AS n, unnest(terms) AS token FROM questions)"
 _KEYWORD = "keyword AS (SELECT qid, chunk_id, count(*) / max(n)::DOUBLE AS score FROM postings JOIN asked USING (token) GROUP BY ALL), kranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM keyword)"
@@ -120,15 +120,14 @@ sranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, m
 
 @query("re_memory_terms", "SELECT qid, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY memory_id) AS n FROM scored) WHERE n <= 10", MEMORIES, REQUESTS, VISIBLE, SUBSTRING)
 def re_memory_terms(s, d):
-    """RE8: the first memories in force that hold any term of a request as a substring."""
-    asked = requests(s, d).select("qid", "ns", F.split(F.lower("text"), r"\s+").alias("words"))
-    hits = visible(s, d).select("ns", "memory_id", F.lower("text").alias("low")).join(RE.if_small(asked), "ns").where(F.exists("words", lambda w: F.contains(F.col("low"), w)))
+    """RE8: the first memories in force that hold any term of a request as a substring, through the gram index."""
+    hits = RE.substring_scores(memory_grams(s, d), visible(s, d), requests(s, d))
     first = hits.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("memory_id"))).where("n <= 10")
     return first.select("qid", "memory_id")
 
 
 def _scored(s, d, k):
-    return RE.top_k(RE.substring_scores(visible(s, d), requests(s, d)), k, "memory_id")
+    return RE.top_k(RE.substring_scores(memory_grams(s, d), visible(s, d), requests(s, d)), k, "memory_id")
 
 
 @query("re_memory_scored", "SELECT qid, memory_id, score / max(score) OVER (PARTITION BY qid) AS score FROM sranked WHERE rank <= 5", MEMORIES, REQUESTS, VISIBLE, SUBSTRING)
@@ -148,7 +147,7 @@ def re_memory_scored(s, d):
 def re_memory_hybrid(s, d):
     """RE16, JO2: all keyword matches, and the 50 nearest hash vectors, under one predicate, by reciprocal rank."""
     m, r = visible(s, d), requests(s, d)
-    keyword = RE.top_k(RE.substring_scores(m, r), 1 << 30, "memory_id").select("qid", "memory_id", F.col("rank").alias("k"))
+    keyword = RE.top_k(RE.substring_scores(memory_grams(s, d), m, r), 1 << 30, "memory_id").select("qid", "memory_id", F.col("rank").alias("k"))
     near = RE.text_vector_scores(m.select("ns", "memory_id", hash_buckets(F.col("text")).alias("buckets")), r, 50, "memory_id", "ns")
     near = RE.top_k(near, 50, "memory_id").select("qid", "memory_id", F.col("rank").alias("v"))
     part = lambda c: F.coalesce(1 / (60 + F.col(c)), F.lit(0.0))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.built import built
 from ..sources.chunk_store import ChunkStore, hash_buckets, opened
+from ..sources.gram_index import GramIndex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,12 @@ def store(spark: SparkSession, sf_dir: str) -> ChunkStore:
     return opened(spark, f"{sf_dir}/documents.parquet", lambda: chunks(spark, sf_dir))
 
 
+def memory_grams(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The gram index over all memories by namespace, written once a session."""
+    make = lambda path: GramIndex.build(memories(spark, sf_dir).select(F.col("namespace").alias("ns"), "memory_id", "text"), path)
+    return GramIndex(spark, built(spark, f"{sf_dir}/events.parquet", "memory-grams", make))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query for each benchmark item: its text, its content terms and the buckets of its hash vector."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", T.content_terms("text").alias("terms"), hash_buckets(F.col("text")).alias("buckets"))

@@ -32,6 +32,29 @@ def st_scheduler(s, d):
     return SE.scheduled(e, 5, 36_000.0)
 
 
+_FLUSHED = """turns AS (SELECT r.*, secs, warm, lag(last) OVER (PARTITION BY r.user_id ORDER BY r.k) AS before, coalesce(sum(due::INT) OVER (PARTITION BY r.user_id ORDER BY r.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM r JOIN steps USING (user_id, event_id)),
+marked AS (SELECT *, coalesce(secs - before >= 36000, false) AS paused, bool_or(due) OVER w AS closed, bool_or(due AND coalesce(secs - before >= 36000, false)) OVER w AS idle_first, count(*) OVER w AS size FROM turns WINDOW w AS (PARTITION BY user_id, g)),
+placed AS (SELECT user_id, g, CASE WHEN NOT closed OR idle_first AND NOT due THEN 1 ELSE 2 END AS part, event_id, due, secs, last, k, warm, idle_first, size FROM marked)"""
+
+
+@query(
+    "st_scheduler_flushes",
+    """SELECT user_id AS session, CASE WHEN part = 2 THEN max(event_id) FILTER (due) END AS n, round(CASE WHEN part = 2 THEN max(secs) FILTER (due) ELSE max(last) + 36000 END, 3) AS "at",
+    CASE WHEN part = 1 THEN 'idle' WHEN bool_or(warm AND due) THEN 'warm-up' WHEN count(*) >= 5 THEN 'queue' ELSE 'pause' END AS reason, string_agg(event_id::VARCHAR, ',' ORDER BY k) AS items FROM placed GROUP BY user_id, g, part""",
+    """seq AS (SELECT user_id, event_id, epoch(ts) AS secs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)""",
+    """steps AS (SELECT *, k IN (1, 2, 4, 8) AS warm FROM seq)""",
+    """r AS (WITH RECURSIVE f AS (SELECT user_id, event_id, k, true AS due, 0 AS queued, secs AS last FROM steps WHERE k = 1
+  UNION ALL SELECT s.user_id, s.event_id, s.k, s.warm OR f.queued + 1 >= 5 OR s.secs - f.last >= 36000, CASE WHEN s.warm OR f.queued + 1 >= 5 OR s.secs - f.last >= 36000 THEN 0 ELSE f.queued + 1 END, CASE WHEN s.warm OR f.queued + 1 >= 5 OR s.secs - f.last >= 36000 THEN s.secs ELSE f.last END FROM f JOIN steps s ON s.user_id = f.user_id AND s.k = f.k + 1) SELECT * FROM f)""",
+    _FLUSHED,
+)
+def st_scheduler_flushes(s, d):
+    """ST2: what each processing takes from its session's queue and why; a queue that waits ten hours is flushed without a further turn."""
+    from ..streaming.scheduler import flushes
+
+    e = table(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("n"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return flushes(e, 5, 36_000.0).select("session", "n", F.round("at", 3).alias("at"), "reason", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
 _LINES = "transcript AS (SELECT conv_id, turn, turn % 5 = 3 AS failed, CASE WHEN turn % 5 = 3 THEN '[RESULT ERROR] ' ELSE '[' || upper(role) || '] ' END || text AS line FROM conversations), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM transcript)"
 
 

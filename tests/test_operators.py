@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import rules as R
 from mnemospark.functions import temporal
 from mnemospark.functions import text as T
+from mnemospark.operators import clusters as CL
 from mnemospark.operators import context as C
 from mnemospark.operators import filters as FI
 from mnemospark.operators import memory as ME
@@ -142,7 +143,7 @@ def test_greedy_clusters_follow_the_order_of_rows(spark):
         want[i] = next((s for s in seeds if u[s] @ u[i] >= 0.8), i)
         if want[i] == i:
             seeds.append(i)
-    assert {r.id: r.seed for r in C.greedy_clusters(df, "grp", "id", 0.8).collect()} == want
+    assert {r.id: r.seed for r in CL.greedy_clusters(df, "grp", "id", 0.8).collect()} == want
 
 
 def packed(text, most, least):

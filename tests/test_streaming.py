@@ -1,10 +1,10 @@
 """A stream gives what the batch gives."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from mnemospark.operators import sessions
 from mnemospark.plans.tables import table
-from mnemospark.streaming import transcripts, windows
+from mnemospark.streaming import scheduler, transcripts, windows
 from oracle import DATA
 
 
@@ -30,17 +30,32 @@ def test_windows(spark, tmp_path, kind):
     assert sorted(map(str, spark.table(kind).collect())) == sorted(map(str, work(events).collect()))
 
 
-def test_scheduler_keeps_state_between_batches(spark, tmp_path):
-    rows = [(k % 3, n, 40.0 * n * (1 + k % 3)) for k in range(3) for n in range(60)]
+def test_scheduler_flushes_idle_sessions_and_drops_nothing(spark, tmp_path):
+    # Session 0 falls silent with a queue; session 1 pauses; session 2 is dense; session 9 only moves event time.
+    rows = [(0, n, 40.0 * n) for n in range(10)] + [(1, n, 40.0 * n + (1000.0 if n > 12 else 0.0)) for n in range(30)] + [(2, n, 5.0 * n) for n in range(200)] + [(9, 0, 100.0), (9, 1, 101.0), (9, 2, 3000.0), (9, 3, 5000.0), (9, 4, 5001.0)]
+    rows = [(s, n, 10_000.0 + at) for s, n, at in rows]
     turns = spark.createDataFrame(rows, "session long, n long, at double")
-    for part in range(3):  # a file of each twenty turns, read in order
-        turns.where(f"n >= {20 * part} and n < {20 * part + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = sessions.scheduled(stream, 6, 300.0).writeStream.format("memory").queryName("scheduled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    want = sorted(map(tuple, sessions.scheduled(turns, 6, 300.0).collect()))
-    assert sorted(map(tuple, spark.table("scheduled").collect())) == want
-    assert [n for s, n, due in want if s == 0 and due][:5] == [0, 1, 3, 7, 13]
+    for low, high in ((0.0, 300.0), (300.0, 900.0), (900.0, 4000.0), (4000.0, 6000.0)):  # a file of each, read in order
+        turns.where(f"at >= {10_000 + low} and at < {10_000 + high}").withColumn("at", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session long, n long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = scheduler.flushes_of_stream(stream, 6, 300.0).writeStream.format("memory").queryName("flushes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    plain = lambda df: sorted((r.session, -1 if r.n is None else r.n, round(r["at"], 3), r.reason, tuple(r["items"])) for r in df.collect())
+    got = plain(spark.table("flushes"))
+    want = plain(scheduler.flushes(turns, 6, 300.0, until=15_001.0))
+    assert got == want
+    assert (0, -1, 10_580.0, "idle", (8, 9)) in got and {r[3] for r in got} == {"warm-up", "queue", "pause", "idle"}
+    # What still waits is in the state: every item is flushed once or waits.
+    left = scheduler.waiting(spark, str(tmp_path / "cp"))
+    items = sorted((r[0], i) for r in got for i in r[4]) + sorted(map(tuple, left.collect()))
+    assert sorted(items) == sorted((s, n) for s, n, _ in rows) and left.count() > 0
+
+
+def test_bounded_flush_returns_leftovers(spark):
+    items = spark.createDataFrame([(s, n) for s in (2, 1) for n in range(4)], "session long, n long")
+    now, rest = scheduler.flushed(items, 5)
+    assert sorted(map(tuple, now.collect())) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)] and sorted(map(tuple, rest.collect())) == [(2, 1), (2, 2), (2, 3)]
+    assert scheduler.flushed(items, 100)[1].count() == 0
 
 
 def test_confirming_sink_survives_a_batch_that_runs_again(spark, tmp_path):
