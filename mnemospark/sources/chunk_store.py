@@ -64,7 +64,8 @@ class ChunkStore:
         spark = chunks.sparkSession
         chunks.withColumn("dl", F.size(T.tokens("text")).cast("long")).write.parquet(f"{path}/chunks")
         kept = spark.read.parquet(f"{path}/chunks")
-        words = kept.select("chunk_id", "dl", F.explode(T.tokens("text")).alias("token"))
+        # Chunks are dealt by their id before their words are, so each chunk's words are counted where it is.
+        words = kept.repartition("chunk_id").select("chunk_id", "dl", F.explode(T.tokens("text")).alias("token"))
         words.groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf")).sortWithinPartitions("token").write.parquet(f"{path}/postings")
         spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
         kept.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("mean")).write.parquet(f"{path}/totals")
