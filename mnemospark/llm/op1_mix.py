@@ -5,8 +5,9 @@ schedule's integral gives the source's cumulative demand for words; inverting it
 running word count gives the time at which the document is trained on, and the output is range-sorted by that time.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is kept. Rows that
-repeat are separate documents. An empty table gives no rows. Other columns are carried; the columns this module adds
-(source_size, target, taken, position, ...) replace columns of the same names.
+repeat are separate documents. An empty table gives no rows. Other columns are carried: mixed_documents gives all of
+them back as they were; of mix, the columns that it adds (size, source_size, target, taken, words_before, position) replace
+columns of the same names. Rows that repeat lie together in one bucket.
 """
 
 from __future__ import annotations
@@ -65,12 +66,18 @@ def time_of(part: Column, knots) -> Column:
 
 
 def position(demand: Column, schedules) -> Column:
-    """The time at which a source's schedule has asked for this many words, of the columns target and kind."""
+    """The time at which a source's schedule has asked for this many words, of the columns target and __kind."""
     part = F.when(F.col("target") > 0, F.least(F.lit(1.0), demand / F.col("target")))
-    return F.round(F.element_at(F.array(*[time_of(part, s) for s in schedules]), F.col("kind") % len(schedules) + 1), 9)
+    return F.round(F.element_at(F.array(*[time_of(part, s) for s in schedules]), F.col("__kind") % len(schedules) + 1), 9)
 
 
-_INNER = ("__key", "__bucket", "__start", "__run", "__source", "__b", "kind")
+_INNER = ("__key", "__bucket", "__start", "__run", "__source", "__b", "__kind")
+
+
+def order_key() -> Column:
+    """What a source's documents are ordered by; those without an id by their text, so that they don't share one bucket."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit(""))))))
+
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, digits: int = BUCKET_DIGITS, unsorted: bool = False) -> DataFrame:
@@ -81,13 +88,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     summed first, and only rows of one bucket are sorted together. unsorted leaves the order and the inner columns.
     """
     sized = docs.drop("size", "source_size", "target", "taken", "position", "words_before").withColumn("size", word_count())
-    sized = sized.withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("__bucket", F.substring("__key", 1, digits))
-    small = docs.select("doc_id", "source", "text").withColumn("size", word_count()).select("source", "size", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits).alias("__bucket"))
+    sized = sized.withColumn("__key", order_key()).withColumn("__bucket", F.substring("__key", 1, digits))
+    small = docs.select("doc_id", "source", "text").withColumn("size", word_count()).select("source", "size", F.substring(order_key(), 1, digits).alias("__bucket"))
     buckets = small.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
     plan = source_plan(buckets, weights, share, most)
     start = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = buckets.withColumn("__start", start).drop("size")
-    starts = starts.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "s.__bucket", "s.__start", "p.source_size", "p.kind", "p.target")
+    starts = starts.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "s.__bucket", "s.__start", "p.source_size", F.col("p.kind").alias("__kind"), "p.target")
     order = W.partitionBy("source", "__bucket").orderBy("__key", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, -1)
     run = sized.withColumn("__run", F.coalesce(F.sum("size").over(order), F.lit(0)))
     a, b = run.alias("a"), starts.withColumnRenamed("source", "__source").withColumnRenamed("__bucket", "__b").alias("b")
@@ -111,7 +118,9 @@ def mixed_documents(docs: DataFrame, schedules=SCHEDULES, positions: bool = Fals
     dropped only where the source's target is 0, else kept once, at their place in the first pass.
     """
     cols = docs.columns
-    got = mix(docs, schedules=schedules, unsorted=True, **how)
+    # The caller's columns travel in one struct, so none of them can clash with the mix's own.
+    own = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in cols if c != "text")).alias("__own"))
+    got = mix(own, schedules=schedules, unsorted=True, **how)
     whole = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(F.when(F.col("target") > 0, 1).otherwise(F.when(F.col("source_size") == 0, 1).otherwise(0)))
     got = got.withColumn("__whole", whole).withColumn("__left", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)))
     got = got.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where("__pass < __whole or __left > 0")
@@ -119,10 +128,11 @@ def mixed_documents(docs: DataFrame, schedules=SCHEDULES, positions: bool = Fals
     cut = F.expr(r"array_join(slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(__left as int)), '')")
     got = got.withColumn("text", F.when(F.col("__pass") < F.col("__whole"), F.col("text")).otherwise(cut))
     # The cut copy is trained on in the middle of the words that it has.
-    own = F.when(F.col("__pass") < F.col("__whole"), F.col("size")).otherwise(F.col("__left"))
-    got = got.withColumn("__position", position(F.col("words_before") + F.col("__pass") * F.col("source_size") + own / 2, schedules))
+    words = F.when(F.col("__pass") < F.col("__whole"), F.col("size")).otherwise(F.col("__left"))
+    got = got.withColumn("__position", position(F.col("words_before") + F.col("__pass") * F.col("source_size") + words / 2, schedules))
     got = got.orderBy(F.col("__position").asc_nulls_last(), "doc_id", "__pass")
-    return got.select(*cols, "__position") if positions else got.select(*cols)
+    back = [F.col("text") if c == "text" else F.col(f"__own.`{c}`") for c in cols]
+    return got.select(*back, "__position") if positions else got.select(*back)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +142,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, '')))) AS k FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM per),
 weighted AS (SELECT *, CASE kind WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM ranked),

@@ -73,6 +73,21 @@ def test_mix(spark):
     assert op1_mix.mix(empty(spark)).count() == 0
 
 
+def test_mixing_gives_clashing_columns_back(spark):
+    names = ["kind", "size", "source_size", "target", "taken", "position", "words_before", "weight", "with space", "a.b"]
+    docs = spark.createDataFrame([(i if i % 3 else None, "a" if i % 2 else None, f"w{i} " * (i % 5), *([f"own{i}"] * len(names))) for i in range(40)], ["doc_id", "source", "text", *names])
+    out = op1_mix.mixed_documents(docs, positions=True)
+    assert out.columns == [*docs.columns, "__position"]
+    own = {r.text.strip().split(" ")[0][1:]: r for r in docs.collect() if r.text.strip()}
+    rows = out.collect()
+    for r in rows:
+        if r.text.strip():
+            whole = own[r.text.strip().split(" ")[0][1:]]
+            assert tuple(r)[:2] == tuple(whole)[:2] and tuple(r)[3:-1] == tuple(whole)[3:]
+    assert rows and [r[-1] for r in rows] == sorted(r[-1] for r in rows)
+    assert {"kind", "taken"} <= set(op1_mix.mix(docs).columns)
+
+
 def test_each_pass_has_its_own_place(spark):
     docs = spark.createDataFrame([(i, "a", " ".join(f"w{i}_{k}" for k in range(1 + i % 7))) for i in range(60)] + [(100 + i, "b", "x " * 30) for i in range(40)], "doc_id long, source string, text string")
     plan = {r.source: r for r in op1_mix.mix(docs).collect()}
