@@ -48,6 +48,17 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9_]+"), 0)
 
 
+#: Endings of English words that a stem lacks, tried one after another: what is matched, and what stays of it.
+ENDINGS = ((r"(..)ies$", "{}y"), (r"(ss)es$", "{}"), (r"([^sui])s$", "{}"), (r"(...)ing$", "{}"), (r"(...)ed$", "{}"), (r"(...)ly$", "{}"))
+
+
+def stem(token: Column) -> Column:
+    """A token without its ending: a light stemmer, whose stems need not be words."""
+    for pattern, stays in ENDINGS:
+        token = F.regexp_replace(token, pattern, stays.format("$1"))
+    return token
+
+
 def content_terms(text: Column | str) -> Column:
     """Distinct tokens without function words, or with them if there is nothing else."""
     every = F.array_distinct(tokens(text))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -76,25 +77,50 @@ def re_terms_and(s, d):
     return RE.leg(_lexical(s, d).where("keyword = 1"), "bm25", 1 << 30)
 
 
-#: Each question's first six words, as they stand.
-_PHRASES = "phrases AS (SELECT qid, array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:6], ' ') AS phrase FROM questions), literal AS (SELECT qid, chunk_id FROM phrases JOIN chunks ON contains(lower(chunks.text), lower(phrase)))"
+#: Chunks that hold a whole question, as it stands; and phrases of one token or two, cut amid words.
+_PHRASES = "literal AS (SELECT qid, chunk_id FROM questions JOIN chunks ON contains(lower(chunks.text), lower(questions.text)))"
+_SHORT = "parts AS (SELECT item_id * 2 AS qid, substr(regexp_split_to_array(trim(text), '\\s+')[1], 2) AS phrase FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(regexp_split_to_array(trim(text), '\\s+')[1], 2) || ' ' || left(regexp_split_to_array(trim(text), '\\s+')[2], 2) FROM benchmark)"
 
 
 def _literal(s, d):
-    phrases = questions(s, d).select("qid", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 6), " ").alias("phrase"))
-    return RE.phrase_hits(store(s, d), phrases)
+    return RE.phrase_hits(store(s, d), questions(s, d).select("qid", F.col("text").alias("phrase")))
+
+
+@query("re_short_phrases", "SELECT qid, chunk_id FROM parts JOIN chunks ON contains(lower(chunks.text), lower(phrase))", *_BASE, _SHORT)
+def re_short_phrases(s, d):
+    """RE6, RE7: chunks that hold the end of a question's first word, alone or with the beginning of its second, through the grams of the vocabulary."""
+    words = F.split(F.trim("text"), r"\s+")
+    end = F.expr("substr(words[0], 2)")
+    b = table(s, d, "benchmark").select("item_id", words.alias("words"))
+    one, two = b.select((F.col("item_id") * 2).alias("qid"), end.alias("phrase")), b.select((F.col("item_id") * 2 + 1).alias("qid"), F.concat(end, F.lit(" "), F.left(F.col("words")[1], F.lit(2))).alias("phrase"))
+    return RE.phrase_hits(store(s, d), one.unionByName(two))
+
+
+_STEM = functools.reduce(lambda x, e: f"regexp_replace({x}, '{e[0]}', '{e[1].format(chr(92) + '1')}')", T.ENDINGS, "{}")
+_COVERS = f"""stems AS (SELECT DISTINCT qid, {_STEM.format("token")} AS stem FROM asked), wanted AS (SELECT qid, count(*) AS n FROM stems GROUP BY qid),
+worded AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks), placed AS (SELECT chunk_id, unnest(w) AS token, unnest(range(0, len(w))) AS p FROM worded), stemmed AS (SELECT chunk_id, p, {_STEM.format("token")} AS stem FROM placed),
+occurs AS (SELECT qid, chunk_id, stem, p FROM stemmed JOIN stems USING (stem)), complete AS (SELECT qid, chunk_id FROM occurs JOIN wanted USING (qid) GROUP BY qid, chunk_id HAVING count(DISTINCT stem) = max(n)),
+latest AS (SELECT e.qid, e.chunk_id, e.p AS j, o.stem, max(o.p) AS i FROM occurs e JOIN complete USING (qid, chunk_id) JOIN occurs o ON o.qid = e.qid AND o.chunk_id = e.chunk_id AND o.p <= e.p GROUP BY ALL),
+ends AS (SELECT qid, chunk_id, j, min(i) AS i FROM latest JOIN wanted USING (qid) GROUP BY ALL HAVING count(*) = max(n)), covers AS (SELECT qid, chunk_id, i, min(j) AS j FROM ends GROUP BY ALL),
+dense AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (j - i + 1)), 6) AS score FROM covers GROUP BY ALL)"""
+
+
+@query("re_ranked_covers", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM dense) WHERE rank <= 10", *_BASE, _COVERS)
+def re_ranked_covers(s, d):
+    """RE5: chunks that hold a word of every stem of a question, by the density of the stretches that hold them all."""
+    return RE.top_k(RE.ranked_covers(store(s, d), questions(s, d)), 10)
 
 
 @query("re_like_union", "SELECT qid, count(*) AS hits, count(l.chunk_id) AS literal FROM keyword k FULL JOIN literal l USING (qid, chunk_id) GROUP BY qid", *_BASE, _KEYWORD, _PHRASES)
 def re_like_union(s, d):
-    """RE6: chunks that hold a term or the phrase, by question."""
+    """RE6: chunks that hold a term of a question or all of it literally."""
     both = _lexical(s, d).select("qid", "chunk_id").join(_literal(s, d).withColumn("l", F.lit(1)), ["qid", "chunk_id"], "full")
     return both.groupBy("qid").agg(F.count("*").alias("hits"), F.count("l").alias("literal"))
 
 
 @query("re_substring_scan", "SELECT qid, chunk_id, coalesce(score, 0)::DOUBLE AS score FROM literal LEFT JOIN keyword USING (qid, chunk_id)", *_BASE, _KEYWORD, _PHRASES)
 def re_substring_scan(s, d):
-    """RE7: chunks that hold the phrase, scored by their share of the question's terms."""
+    """RE7: chunks that hold a whole question literally, scored by their share of the question's terms."""
     return _literal(s, d).join(_lexical(s, d), ["qid", "chunk_id"], "left").select("qid", "chunk_id", F.coalesce("keyword", F.lit(0.0)).alias("score"))
 
 
@@ -288,7 +314,7 @@ def re_snippet(s, d):
     *_BASE, _KEYWORD, _BM25, *_BAGS, _PHRASES,
 )
 def re_recall_mrr(s, d):
-    """RE25, BM11: relevant are the chunks that hold a question's first words literally; each leg's first relevant rank within 20, 0 if it has none."""
+    """RE25, BM11: relevant are the chunks that hold a question literally; each leg's first relevant rank within 20, 0 if it has none."""
     relevant, lexical = _literal(s, d).distinct(), _lexical(s, d)
     legs = [RE.leg(lexical, "keyword", 20).withColumn("leg", F.lit("keyword")), RE.leg(lexical, "bm25", 20).withColumn("leg", F.lit("bm25")), _vector(s, d, 20).withColumn("leg", F.lit("vector"))]
     ranked = legs[0].unionByName(legs[1]).unionByName(legs[2]).join(relevant, ["qid", "chunk_id"]).groupBy("leg", "qid").agg(F.min("rank").alias("first"))

@@ -115,3 +115,34 @@ def test_ranked_values(spark, q):
         values = sorted(v for h, v in rows if h == g and v is not None)
         want[g] = values[min(int(np.floor(q * len(values))), len(values) - 1)]
     assert got == want
+
+
+def brute_density(words, terms):
+    """By trying all stretches: those that hold all terms and have none within that does."""
+    good = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if set(terms) <= set(words[i : j + 1])]
+    return sum(1 / (j - i + 1) for i, j in good if not any((a, b) != (i, j) and i <= a and b <= j for a, b in good)) if terms else 0.0
+
+
+def test_cover_density(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [f"w{k}" for k in rng.integers(0, 6, int(rng.integers(0, 30)))], [f"w{k}" for k in range(int(rng.integers(0, 4)))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, words array<string>, terms array<string>")
+    got = {r.i: r.d for r in df.select("i", RE.cover_density(F.col("words"), F.col("terms")).alias("d")).collect()}
+    assert all(abs(got[i] - brute_density(w, t)) < 1e-9 for i, w, t in rows) and any(got.values())
+
+
+def test_phrases_of_any_length(spark):
+    sf = f"{DATA}/sf0.001"
+    st = searches.store(spark, sf)
+    texts = [(r.chunk_id, r.text.lower()) for r in st.chunks.collect()]
+    some = next(t for _, t in texts if len(t.split()) > 20)
+    phrases = [some[3:9], some[2:40], some[5:14], "e", " t", ". ", "zzqqzz", "the the the", some[:200], "?", "e t"]
+    got = RE.phrase_hits(st, spark.createDataFrame(list(enumerate(phrases)), "qid long, phrase string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, c) for i, p in enumerate(phrases) for c, t in texts if p in t)
+
+
+@pytest.mark.parametrize("word, want", [("studies", "study"), ("classes", "class"), ("cats", "cat"), ("bus", "bus"), ("this", "this"), ("running", "runn"), ("sing", "sing"), ("tested", "test"), ("quickly", "quick"), ("is", "is"), ("", "")])
+def test_stem(spark, word, want):
+    from mnemospark.functions import text as T
+
+    assert spark.range(1).select(T.stem(F.lit(word))).first()[0] == want
