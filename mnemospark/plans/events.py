@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import consolidation as CO
 from ..sources import agent_transcripts as AT
 from ..sources.chunk_store import shared_dir
 from .registry import query
@@ -63,3 +64,34 @@ def sc_bad_lines(s, d):
     """SC14: lines of the written transcripts that are no JSON, kept apart from the events."""
     events, bad = _read(s, _written(s, d))
     return bad.agg(F.count("*").alias("bad")).crossJoin(events.agg(F.count("*").alias("good")))  # one row each
+
+
+#: What each turn adds to its text, by number, and the day or year that it means from 2023-05-08 and so on, as SQL over the anchor a.
+_SAYINGS = ((" yesterday.", "a - 1"), (" 3 days ago.", "a - 3"), (" 2 months ago.", "a - 60"), (" last week.", "a - 7"), (" a month ago.", "a - 30"), (" last year.", None), (" on friday.", "a - (CASE WHEN isodow(a) > 5 THEN isodow(a) - 5 ELSE isodow(a) + 2 END)::INT"), ("", None))
+_SAID = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, (p, _) in enumerate(_SAYINGS)) + " END"
+_MEANT = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN ({x})::DATE::VARCHAR" for i, (_, x) in enumerate(_SAYINGS) if x) + " WHEN 5 THEN (year(a) - 1)::VARCHAR END"
+
+
+def anchored_turns(s, d):
+    """(conv_id, turn, speaker, text): the conversations' turns, each with an expression of time, after a row that dates the session; every fifth isn't dated."""
+    c = table(s, d, "conversations").where("text is not null")
+    day = F.date_add(F.lit("2023-05-08").cast("date"), (F.col("conv_id") % 300).cast("int"))
+    marks = c.where("conv_id % 5 <> 4").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(None).cast("string").alias("speaker"), F.concat(F.lit("[Session date: 1:56 pm on "), F.date_format(day, "d MMMM, yyyy"), F.lit("]")).alias("text")).distinct()
+    return marks.unionByName(c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").alias("speaker"), F.concat(F.btrim(F.translate("text", "\t\n\r", "   ")), F.expr(_SAID)).alias("text")))
+
+
+@query(
+    "tg_dated_turns",
+    """SELECT conv_id, turn, role AS subject, sha256(CASE WHEN a IS NULL THEN '' ELSE '(around ' || a || ') ' END || '[' || role || '] ' || t || CASE WHEN m IS NULL THEN '' ELSE ' [date: ' || m || ']' END) AS h, a::VARCHAR AS said_on, m AS refers_to
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(t) ORDER BY turn) AS again, CASE WHEN a IS NOT NULL THEN {m} END AS m FROM (SELECT conv_id, turn, role, trim(trim(translate(text, chr(9) || chr(10) || chr(13), '   ')) || {s}) AS t, CASE WHEN conv_id % 5 <> 4 THEN DATE '2023-05-08' + (conv_id % 300)::INT END AS a FROM conversations WHERE text IS NOT NULL)) WHERE again = 1 AND t <> ''""".format(m=_MEANT, s=_SAID),
+)
+def tg_dated_turns(s, d):
+    """TG3, SF19: every turn as a fact with its session's date and the day that it speaks of, by a table function over each conversation."""
+    got = CO.dated_facts(anchored_turns(s, d), "turns")
+    return got.select("conv_id", "turn", "subject", F.sha2("span", 256).alias("h"), F.col("said_on").cast("string").alias("said_on"), "refers_to")
+
+
+@query("tg_dense_facts", None)
+def tg_dense_facts(s, d):
+    """TG3, SF35: the twelve sentences of each conversation that hold most dates, numbers and names."""
+    return CO.dated_facts(anchored_turns(s, d), "sentences")
