@@ -87,13 +87,13 @@ def sf_vendor(s, d):
 
 _COMMANDS = ["cd /x/{} &&  make   test", "git  commit -m {}", "ls -la {}", "cd a; rm -rf {}", "  cat {}  | sort", "sed -i s/a/{}/ f", "pip install p{}", "echo {} > out"]
 _MUTATES = r"(>>?|\bsed -i|\btee |\brm |\bmv |\bcp |\bmkdir|\btouch |\bgit (add|commit|checkout|reset|merge|rebase|stash|restore)|\b(pip|uv|npm|pnpm|yarn|cargo|maturin) )"  # fixed value
-_CLASSES = (("log/output", ("output", "log")), ("source", ("py", "rs", "ts", "js", "go", "c", "java")), ("doc", ("md", "rst", "txt")), ("config", ("json", "yaml", "yml", "toml", "cfg", "ini", "env", "lock")), ("data", ("csv", "jsonl", "tsv", "parquet")), ("image", ("png", "jpg", "jpeg", "svg", "gif", "webp", "pdf")))  # fixed values
-_EXTENSIONS = ["py", "md", "json", "csv", "PNG", "log", "weird", "ts"]
+_CLASSES = (("log/output", ("output", "log")), ("source", ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "rb", "c", "cpp", "cc", "h", "hpp", "sh", "sql", "vue", "svelte", "css", "html")), ("doc", ("md", "rst", "txt")), ("config", ("json", "yaml", "yml", "toml", "cfg", "ini", "env", "lock")), ("data", ("csv", "jsonl", "tsv", "parquet")), ("image", ("png", "jpg", "jpeg", "svg", "gif", "webp", "pdf")))  # fixed values
+_EXTENSIONS = ["py", "md", "json", "csv", "PNG", "log", "weird", "ts", "output.1", "tsx", "HPP", "html", "outputs", "sql"]
 
 
 @query(
     "sf_command",
-    rf"SELECT event_id, n AS command, regexp_matches(n, '{_MUTATES}') AS mutates, CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in xs)}) THEN '{c}'" for c, xs in _CLASSES) + rf" ELSE 'other' END AS file_class FROM (SELECT event_id, trim(regexp_replace(regexp_replace(replace(({_COMMANDS})[(event_id % {len(_COMMANDS)})::INT + 1], '{{}}', event_id::VARCHAR), '^\s*cd\s+\S+\s*&&', ''), '\s+', ' ', 'g')) AS n, lower(({_EXTENSIONS})[(event_id // 8 % {len(_EXTENSIONS)})::INT + 1]) AS ext FROM events)",
+    rf"SELECT event_id, n AS command, regexp_matches(n, '{_MUTATES}') AS mutates, CASE WHEN contains('.' || ext, '.output') THEN 'log/output' " + " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in xs)}) THEN '{c}'" for c, xs in _CLASSES) + rf" ELSE 'other' END AS file_class FROM (SELECT event_id, trim(regexp_replace(regexp_replace(replace(({_COMMANDS})[(event_id % {len(_COMMANDS)})::INT + 1], '{{}}', event_id::VARCHAR), '^\s*cd\s+\S+\s*&&', ''), '\s+', ' ', 'g')) AS n, lower(({_EXTENSIONS})[(event_id // 8 % {len(_EXTENSIONS)})::INT + 1]) AS ext FROM events)",
 )
 def sf_command(s, d):
     """SF33: commands without their directory change, whether they change files, and the class of a file by its ending."""
@@ -101,9 +101,11 @@ def sf_command(s, d):
     command = F.replace(pick(_COMMANDS, F.col("event_id")), F.lit("{}"), F.col("event_id").cast("string"))
     norm = F.trim(F.regexp_replace(F.regexp_replace(command, r"^\s*cd\s+\S+\s*&&", ""), r"\s+", " "))
     path = F.concat(F.lit("src/f."), pick(_EXTENSIONS, F.floor(F.col("event_id") / 8)))
-    ext, found = F.lower(F.element_at(F.split(path, r"\."), -1)), None
+    ext = F.lower(F.element_at(F.split(path, r"\."), -1))
+    # What a command wrote may be numbered or have a further ending.
+    found = F.when(F.contains(F.lower(path), F.lit(".output")), "log/output")
     for name, endings in _CLASSES:
-        found = F.when(ext.isin(*endings), name) if found is None else found.when(ext.isin(*endings), name)
+        found = found.when(ext.isin(*endings), name)
     return table(s, d, "events").select("event_id", norm.alias("command"), norm.rlike(_MUTATES).alias("mutates"), found.otherwise("other").alias("file_class"))
 
 
