@@ -1,12 +1,13 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, or a run of as many words as a template has, across line breaks, so that wrapped
-statements are found and endless lines don't match by scattered words; a template is a license statement. All are sets of
-words. The SQL knows whole lines only; both give the same rows where no statement is wrapped and no line is endless. Words of the templates are
-ordered by how often they occur in all documents, rarest first. A block that holds at least the threshold's share of a
-template must hold one of the template's first words in that order (prefix filter) and enough template words at all
-(length filter), with enough of both sets still to come after the first common word (positional filter). Pairs that
-pass are counted in full, so every block that meets the threshold is found and no other.
+A template is a license statement, and a block is a run of SPREAD times as many words of a document, wherever its lines
+break; both are sets of words. So wrapped statements are found, as are those with words between, whatever else stands on
+their line, and endless lines don't match by scattered words. Words of the templates are ordered by how often they occur
+in all documents, rarest first. A block that holds at least the threshold's share of a template must hold one of the
+template's first words in that order (prefix filter) and enough template words at all (length filter), with enough of
+both sets still to come after the first common word (positional filter). Stretches that hold every run once are filtered
+and counted first; in those that are left the runs themselves are counted in full, so every block that meets the
+threshold is found and no other.
 
 Nulls and ties: a null text is empty, n_words 0 and no labels; a null doc_id is kept; rows that repeat give a row each;
 empty tables give no rows. Only doc_id and text are read, so other columns never clash.
@@ -74,15 +75,18 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
 )
 CONTAINMENT = 0.8
-#: Longest line that is a block of its own; a longer one is tried by its runs only.
-LINE_WORDS = 64
+#: Words of a block for each word of its template.
+SPREAD = 2
 
 
-def hash_words(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    hasher = SpanHasher()
-    start, end, _ = word_spans(data, np.array([0, len(data)]), byte_class("alnum"))
-    return hasher.of(hasher.prefix(data), start, end)
+def hashed_words(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    hasher, out = SpanHasher(), []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, end, _ = word_spans(data, np.array([0, len(data)]), byte_class("alnum"))
+        out.append(hasher.of(hasher.prefix(data), start, end))
+    return out
 
 
 def template_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -108,7 +112,7 @@ def template_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The templates as sets of places in the global order, with prefixes for a containment threshold."""
+    """Templates (label, hashes of words) as sets of places in the global order, with prefixes for a containment threshold."""
 
     def __init__(self, templates, containment: float, vocabulary: np.ndarray, frequency: np.ndarray):
         order = np.lexsort((vocabulary, frequency))
@@ -118,11 +122,11 @@ class Templates:
         self.labels = [label for label, _ in templates]
         self.has = np.zeros((len(templates), len(vocabulary)), bool)
         self.size, self.need, self.words, posting = [], [], [], []
-        for t, (_, text) in enumerate(templates):
-            places = np.sort(rank[np.searchsorted(vocabulary, np.unique(hash_words(text)))])
+        for t, (_, words) in enumerate(templates):
+            places = np.sort(rank[np.searchsorted(vocabulary, np.unique(words))])
             self.has[t, places] = True
             self.size.append(len(places))
-            self.words.append(len(hash_words(text)))
+            self.words.append(len(words))
             need = int(np.ceil(containment * len(places) - 1e-9))
             self.need.append(need)
             posting += [(int(p), t, i) for i, p in enumerate(places[: len(places) - need + 1])]
@@ -130,12 +134,11 @@ class Templates:
         posting.sort()
         self.posting = np.array(posting, np.int64).reshape(-1, 3)
         self.ptr = np.searchsorted(self.posting[:, 0], np.arange(len(vocabulary) + 1))
+        self.run = SPREAD * np.array(self.words, np.int64)
 
-    def matches(self, block: np.ndarray, h: np.ndarray):
-        """(block, template, containment) for blocks given by the block and hash of each of their words."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        pair = np.unique(block[known] * len(self.vocabulary) + self.rank[at[known]])
+    def matches(self, block: np.ndarray, place: np.ndarray):
+        """(block, template, containment) for blocks given by the block and place of each of their words that templates know."""
+        pair = np.unique(block * len(self.vocabulary) + place)
         block, place = pair // len(self.vocabulary), pair % len(self.vocabulary)
         names, first, size = np.unique(block, return_index=True, return_counts=True)
         of = np.repeat(np.arange(len(names)), size)
@@ -153,36 +156,77 @@ class Templates:
         keep = common >= self.need[t] if len(t) else np.zeros(0, bool)
         return names[b[keep]], t[keep], common[keep] / self.size[t[keep]]
 
-    def windows(self, row: np.ndarray, h: np.ndarray):
-        """(row, template, share) for runs of a template's number of words within a row, line breaks or not, that hold the threshold's share of it."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = np.flatnonzero(self.vocabulary[at] == h)
-        place, owner, rows, found, share = self.rank[at[known]], row[known], [], [], []
-        for t, length in enumerate(self.words):
-            mine = self.has[t, place]
-            p, w, r = known[mine], place[mine], owner[mine]
-            if len(p) < self.need[t]:
-                continue
-            # A run that holds enough begins at a word of the template: its end is within length of it, in the row.
-            to = np.minimum(np.searchsorted(p, p + length), np.searchsorted(r, r, "right"))
-            some = np.flatnonzero(to - np.arange(len(p)) >= self.need[t])
-            for i in some.tolist():
-                n = len(np.unique(w[i : to[i]]))
-                if n >= self.need[t]:
-                    rows.append(r[i])
-                    found.append(t)
-                    share.append(n / self.size[t])
-        return np.array(rows, np.int64), np.array(found, np.int64), np.array(share)
+    def runs(self, row: np.ndarray, begin: np.ndarray, word: np.ndarray, at: np.ndarray):
+        """(row, template, share) for the runs of words within a row that hold the threshold's share of a template.
+
+        Given are the row of each word, where each row begins, and which words are the at-th of the vocabulary.
+        """
+        half = int(self.run.max())
+        mine = self.has.any(0)[self.rank[at]]
+        word, at = word[mine], at[mine]
+        # Stretches of 2 * half words begin at each half, so that each run lies within one; a word is in two of them.
+        own = (word - begin[row[word]]) // half
+        of = np.r_[0, np.cumsum((np.diff(np.r_[begin, len(row)]) + half - 1) // half)]
+        block = of[row[word]] + own
+        earlier = np.flatnonzero(own > 0)
+        block, word = np.concatenate([block, block[earlier] - 1]), np.concatenate([word, word[earlier]])
+        place = self.rank[np.concatenate([at, at[earlier]])]
+        some = np.unique(block[self.ptr[place + 1] > self.ptr[place]])
+        keep = np.isin(block, some)
+        block, word, place = block[keep], word[keep], place[keep]
+        order = np.argsort(block, kind="stable")
+        block, word, place = block[order], word[order], place[order]
+        found, t, _ = self.matches(block, place)
+        rows, kinds, shares = [], [], []
+        for low in range(0, len(found), 4096):
+            b, u = found[low : low + 4096], t[low : low + 4096]
+            best = self.fullest(u, word, place, np.searchsorted(block, b), np.searchsorted(block, b, "right"))
+            full = best >= self.need[u]
+            rows.append(np.searchsorted(of, b[full], "right") - 1)
+            kinds.append(u[full])
+            shares.append(best[full] / self.size[u[full]])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, kinds, shares))
+
+    def fullest(self, t: np.ndarray, word: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Most different words of template t that a run of its length holds, for stretches low..high of words at places."""
+        n = high - low
+        group = np.repeat(np.arange(len(t)), n)
+        at = np.arange(len(group)) - np.repeat(np.cumsum(n) - n - low, n)
+        mine = self.has[t[group], place[at]]
+        group, at = group[mine], at[mine]
+        # A run that begins at the i-th word ends before the to[i]-th.
+        key = (group << 40) + word[at]
+        to = np.searchsorted(key, key + self.run[t[group]])
+        same = group * self.has.shape[1] + place[at]
+        order, after = np.argsort(same, kind="stable"), np.full(len(at), len(at))
+        again = np.flatnonzero(same[order[1:]] == same[order[:-1]])
+        after[order[again]] = order[again + 1]
+        # A word counts in the runs that hold it but not the next place of the same word: those from first to before past.
+        each = np.arange(len(at))
+        first, past = np.searchsorted(to, each, "right"), np.minimum(each + 1, np.searchsorted(to, after, "right"))
+        count = np.cumsum(np.bincount(first, minlength=len(at) + 1) - np.bincount(past, minlength=len(at) + 1))[: len(at)]
+        best = np.zeros(len(t), np.int64)
+        np.maximum.at(best, group, count)
+        return best
+
+
+def by_length(templates, containment: float, vocabulary: np.ndarray, frequency: np.ndarray) -> list[Templates]:
+    """The templates by the power of two that holds their words, as stretches of text grow with the longest run."""
+    sizes = {}
+    for label, words in templates:
+        sizes.setdefault(len(words).bit_length(), []).append((label, words))
+    return [Templates(own, containment, vocabulary, frequency) for own in sizes.values()]
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest share of a template that a block holds, 1 where a phrase stands, 0 without labels.
+    score is the largest share of a template that a run of words holds, 1 where a phrase stands, 0 without labels.
     """
-    vocabulary = np.unique(np.concatenate([hash_words(text) for _, text in templates]))
-    join = Templates(templates, containment, vocabulary, template_frequencies(docs, vocabulary))
-    wanted = [(hash_words(phrase), label) for phrase, label in phrases.items()]
+    templates = list(zip([label for label, _ in templates], hashed_words([text for _, text in templates]), strict=True))
+    vocabulary = np.unique(np.concatenate([words for _, words in templates]))
+    joins = by_length(templates, containment, vocabulary, template_frequencies(docs, vocabulary))
+    wanted = list(zip(hashed_words(list(phrases)), phrases.values(), strict=True))
 
     def find(batches):
         hasher, inside = SpanHasher(), byte_class("alnum")
@@ -208,17 +252,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
                             first[r] = p if first[r] < 0 else min(first[r], p)
                             last[r] = max(last[r], p)
                             score[r] = 1.0
-                    lines = np.flatnonzero(part == 10)
-                    # A word's block: the lines before it, and its row, which may begin without a line break.
-                    block = np.searchsorted(lines, start) + row
-                    _, which, held = np.unique(block, return_inverse=True, return_counts=True)
-                    short = held[which] <= LINE_WORDS
-                    found, t, share = join.matches(block[short], h[short])
-                    owner = row[np.searchsorted(block, found)]
-                    across, v, part_of = join.windows(row, h)
-                    for r, u, s in zip([*owner.tolist(), *across.tolist()], [*t.tolist(), *v.tolist()], [*share.tolist(), *part_of.tolist()], strict=True):
-                        labels[r].add(join.labels[u])
-                        score[r] = max(score[r], s)
+                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                    known = np.flatnonzero(vocabulary[at] == h)
+                    for join in joins:
+                        for r, u, share in zip(*(x.tolist() for x in join.runs(row, begin, known, at[known])), strict=True):
+                            labels[r].add(join.labels[u])
+                            score[r] = max(score[r], share)
                 none = first < 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, n), pa.array(words, pa.int64()), pa.array(places), pa.array(first, mask=none), pa.array(last, mask=none), pa.array([",".join(sorted(x)) for x in base]), pa.array([",".join(sorted(x | y)) for x, y in zip(base, labels, strict=True)]), pa.array(score)],
@@ -240,10 +279,12 @@ phrases(words, label) AS (VALUES {", ".join(f"({_LIST(p)}, '{v}')" for p, v in P
 places AS (
   SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS p FROM worded, phrases WHERE list_has_all(w, words)),
 based AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM places GROUP BY r),
-templates(label, words) AS (VALUES {", ".join(f"('{v}', list_distinct({_LIST(t)}))" for v, t in TEMPLATES)}),
-blocks AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM low),
-sets AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM blocks),
-met AS (SELECT r, label, len(list_intersect(s, words)) / len(words)::DOUBLE AS share FROM sets, templates WHERE len(list_intersect(s, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
+templates(t, label, words) AS (VALUES {", ".join(f"({t}, '{v}', {_LIST(x)})" for t, (v, x) in enumerate(TEMPLATES))}),
+wanted AS (SELECT t, label, unnest(list_distinct(words)) AS word, len(list_distinct(words)) AS size, {SPREAD} * len(words) - 1 AS rest FROM templates),
+held AS (SELECT r, i, t, label, size, rest, word FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded) JOIN wanted USING (word)),
+many AS (SELECT r, t FROM held GROUP BY r, t HAVING count(DISTINCT word) >= ceil({CONTAINMENT} * any_value(size) - 1e-9)),
+runs AS (SELECT r, label, size, count(DISTINCT word) OVER (PARTITION BY r, t ORDER BY i RANGE BETWEEN CURRENT ROW AND rest FOLLOWING) AS n FROM held SEMI JOIN many USING (r, t)),
+met AS (SELECT r, label, n / size::DOUBLE AS share FROM runs WHERE n >= ceil({CONTAINMENT} * size - 1e-9)),
 named AS (SELECT r, label, 1.0::DOUBLE AS share, true AS base FROM places UNION ALL SELECT r, label, share, false FROM met),
 summed AS (SELECT r, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels FROM named GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

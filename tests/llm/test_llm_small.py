@@ -509,10 +509,13 @@ def test_lines_equal_the_comparison_of_all_pairs(spark):
         own = [w for w in words if rng.random() < rng.choice([0.7, 0.85, 1.0])]
         lines.append(" ".join(rng.permutation(own + ["other"] * int(rng.integers(3)))))
     order = {w: i for i, w in enumerate(sorted({w for _, t in op9_licenses.TEMPLATES for w in t.split()}))}
-    vocabulary = np.unique(np.concatenate([op9_licenses.hash_words(w) for w in order]))
-    join = op9_licenses.Templates(op9_licenses.TEMPLATES, 0.8, vocabulary, rng.integers(0, 50, len(vocabulary)))
-    hashes = [op9_licenses.hash_words(x) for x in lines]
-    block, t, share = join.matches(np.repeat(np.arange(len(lines)), [len(h) for h in hashes]), np.concatenate(hashes))
+    vocabulary = np.unique(np.concatenate(op9_licenses.hashed_words(list(order))))
+    templates = [(v, x) for (v, _), x in zip(op9_licenses.TEMPLATES, op9_licenses.hashed_words([x for _, x in op9_licenses.TEMPLATES]), strict=True)]
+    join = op9_licenses.Templates(templates, 0.8, vocabulary, rng.integers(0, 50, len(vocabulary)))
+    hashes = op9_licenses.hashed_words(lines)
+    block, h = np.repeat(np.arange(len(lines)), [len(h) for h in hashes]), np.concatenate(hashes)
+    known = np.isin(h, vocabulary)
+    block, t, share = join.matches(block[known], join.rank[np.searchsorted(vocabulary, h[known])])
     want = {}
     for b, line in enumerate(lines):
         for k, (_, text) in enumerate(op9_licenses.TEMPLATES):
@@ -522,6 +525,46 @@ def test_lines_equal_the_comparison_of_all_pairs(spark):
     assert dict(zip(zip(block.tolist(), t.tolist(), strict=True), share.tolist(), strict=True)) == pytest.approx(want) and len(want) > 30
 
 
+def test_runs_equal_the_comparison_of_all_runs(spark):
+    """Every run of SPREAD times a template's words, one by one; lines and filling words between make no difference."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            words = op9_licenses.TEMPLATES[rng.integers(len(op9_licenses.TEMPLATES))][1].split()
+            words = [w for w in words if rng.random() < rng.choice([0.8, 0.9, 1.0])]
+            if rng.random() < 0.4:
+                words = rng.permutation(words).tolist()
+            gap = rng.choice([0.0, 0.3, 1.2])
+            parts += [x for w in words for x in [w, *["filler"] * int(rng.poisson(gap))]] + ["the", "other"] * int(rng.integers(40))
+        texts.append("".join(w + rng.choice([" ", "\n"], p=[0.9, 0.1]) for w in parts))
+    texts += ["mit " * 5000, "released under the license " * 3000, "", None]
+    want = []
+    for text in texts:
+        words, labels, score = (text or "").split(), set(), 0.0
+        for label, template in op9_licenses.TEMPLATES:
+            whole, length = set(template.split()), op9_licenses.SPREAD * len(template.split())
+            places = [i for i, w in enumerate(words) if w in whole][:2000]
+            best = max((len(whole & set(words[i : i + length])) for i in places), default=0)
+            if best >= np.ceil(0.8 * len(whole) - 1e-9):
+                labels.add(label)
+                score = max(score, best / len(whole))
+        want.append((",".join(sorted(labels)), score))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: (r.labels, r.score) for r in op9_licenses.scan(docs, phrases={}).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [x for x, _ in want] and len({x for x, _ in want}) > 8
+    assert [got[i][1] for i in range(len(texts))] == pytest.approx([x for _, x in want])
+
+
+def test_a_statement_is_found_whatever_stands_on_its_line(spark):
+    words = op9_licenses.TEMPLATES[8][1].split()
+    line = " ".join(x for k, w in enumerate(words) for x in ([w, "so"] if k % 2 else [w]))
+    rows = [(1, line), (2, line + " filler" * 60), (3, "filler " * 60 + line), (4, "filler " * 100_000 + line + " filler" * 100_000), (5, (" filler" * 7).join(words))]
+    got = {r.doc_id: (r.labels, r.score) for r in op9_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(1, 5)] == [("mit", 1.0)] * 4 and got[5] == ("", 0.0)
+
+
 def pieces_hold(docs, rows, window):
     from tokenizers import Tokenizer
 
