@@ -5,8 +5,10 @@ Each is a fold, as what a step does depends on the steps before. A session or a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WARM_UP, QUEUE, IDLE = (1, 2, 4, 8), 20, 300.0
@@ -40,26 +42,27 @@ def scheduled(turns: DataFrame, queue: int = QUEUE, idle: float = IDLE) -> DataF
 
 
 def transcript_windows(lines: DataFrame, most: int = 4000, limit: int = 3) -> DataFrame:
-    """(session, window, chars, failed, text): lines (session, n, line, failed) filled into windows that close at most characters or more.
+    """(session, window, chars, failed, text): lines (session, n, line, failed) in windows that end with the line that brings them to most characters.
 
-    Of a session's windows limit are chosen, those with failures first, then the longest; they keep their places.
+    Of a session's windows limit are chosen, those with failures first, then the longest, then the earliest. Null lines are
+    empty; lines of one n go by their text. Only the numbers of windows are found by session in one task.
     """
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found, open_, size, failed = [], [], 0, False
-        for line, bad in pdf.sort_values("n")[["line", "failed"]].itertuples(index=False):
-            open_.append(line)
-            size, failed = size + len(line), failed or bool(bad)
-            if size >= most:
-                found.append((open_, failed))
-                open_, size, failed = [], 0, False
-        if open_:
-            found.append((open_, failed))
-        texts = [("\n".join(x), bad) for x, bad in found]
-        best = sorted(range(len(texts)), key=lambda i: (not texts[i][1], -len(texts[i][0]), i))[:limit]
-        return pd.DataFrame([(key[0], i, len(texts[i][0]), texts[i][1], texts[i][0]) for i in sorted(best)], columns=["session", "window", "chars", "failed", "text"])
-
-    return lines.groupBy("session").applyInPandas(fill, "session long, window long, chars long, failed boolean, text string")
+    def number(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "line", "failed"], ignore_index=True)
+        ends, windows, at = pdf.line.str.len().cumsum().to_numpy(), np.zeros(len(pdf), np.int64), 0
+        while at < len(ends):
+            # The first line whose running sum reaches the sum before this window plus most is the window's last.
+            at = max(at, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most))) + 1
+            windows[at:] += 1
+        return pd.DataFrame({"session": key[0], "window": windows, "place": pdf.index, "line": pdf.line, "failed": pdf.failed})
+
+    rows = lines.select("session", "n", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    numbered = rows.groupBy("session").applyInPandas(number, f"session {rows.schema['session'].dataType.simpleString()}, window long, place long, line string, failed boolean")
+    parts = numbered.groupBy("session", "window").agg(F.bool_or("failed").alias("failed"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
+    whole = parts.select("session", "window", F.length(F.array_join("x.line", "\n")).cast("long").alias("chars"), "failed", F.array_join("x.line", "\n").alias("text"))
+    best = F.row_number().over(W.partitionBy("session").orderBy(F.desc("failed"), F.desc("chars"), "window"))
+    return whole.withColumn("best", best).where(F.col("best") <= limit).drop("best")
 
 
 ARMS = ("no-memory", "naive-cache", "ledger-v1", "ledger-underdecl", "ledger-learn", "ledger-canary", "ledger-tiered")

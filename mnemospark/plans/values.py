@@ -48,19 +48,26 @@ def sf_json_compact(s, d):
     return table(s, d, "events").select("event_id", OB.compact(F.expr(_SPACED)).alias("j"))
 
 
+_LISTED = """listed AS (SELECT user_id, count(*) AS n, string_agg('"k' || event_id || '":"' || event_type || '"', ',' ORDER BY event_id) AS members, string_agg('{"id":' || event_id || ',"kind":"' || event_type || '"}', ',' ORDER BY event_id) AS entries, min(event_id) AS lowest, arg_min(event_type, event_id) AS its_type,
+  string_agg('  k' || event_id || ': str', chr(10) ORDER BY event_id) FILTER (k <= 40) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY user_id),
+shown AS (SELECT user_id, CASE WHEN is_object THEN '{' || members || '}' ELSE '[' || entries || ']' END AS tight, CASE WHEN is_object THEN '{' || members || '}' ELSE '[{"id":' || lowest || ',"kind":"' || its_type || '"}]' END AS sample,
+  CASE WHEN is_object THEN 'JSON object, ' || n || ' keys:' || chr(10) || lines || CASE WHEN n > 40 THEN chr(10) || '  (+' || (n - 40) || ' more keys)' ELSE '' END ELSE 'JSON array, ' || n || ' elements' || chr(10) || '  element keys: id, kind' END AS listing FROM (SELECT *, n <= 4 OR user_id % 2 = 0 AS is_object FROM listed))"""
+
+
 @query(
     "sf_json_digest",
-    """SELECT user_id, CASE WHEN n <= 4 THEN '{' || small || '}' WHEN user_id % 2 = 0 THEN 'JSON object, ' || n || ' keys:' || chr(10) || lines || CASE WHEN n > 40 THEN chr(10) || '  (+' || (n - 40) || ' more keys)' ELSE '' END ELSE 'JSON array, ' || n || ' elements' || chr(10) || '  element keys: id, kind' END AS head
-    FROM (SELECT user_id, count(*) AS n, string_agg('"k' || event_id || '":"' || event_type || '"', ',' ORDER BY event_id) AS small, string_agg('  k' || event_id || ': str', chr(10) ORDER BY event_id) FILTER (k <= 40) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY user_id)""",
+    """SELECT user_id, CASE WHEN length(tight) <= 100 THEN tight ELSE listing END AS head, CASE WHEN length(tight) <= 700 THEN tight WHEN room <= 8 THEN noted WHEN length(sample) <= room THEN noted || chr(10) || 'sample: ' || sample
+    ELSE noted || chr(10) || 'sample: ' || substr(sample, 1, room - 3) || '...' END AS digest FROM (SELECT *, 700 - length(noted) - 9 AS room FROM (SELECT *, listing || chr(10) || '[outline; fetch the reference for the whole]' AS noted FROM shown))""",
+    _LISTED,
 )
 def sf_json_digest(s, d):
-    """SF10: a user's events as one JSON text; those too long become their keys and types, or their number and first entry's keys."""
+    """SF10: a user's events as one JSON text; those too long become their keys and types, or their number and first entry's keys, a note and a sample."""
     e = table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
     pairs = F.array_join(F.transform("x", lambda v: F.concat(F.lit('"k'), v["event_id"], F.lit('": "'), v["event_type"], F.lit('"'))), ", ")
     rows = F.array_join(F.transform("x", lambda v: F.concat(F.lit('{"id": '), v["event_id"], F.lit(', "kind": "'), v["event_type"], F.lit('"}'))), ", ")
     small = F.size("x") <= 4
     text = F.when(small | (F.col("user_id") % 2 == 0), F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(F.concat(F.lit("["), rows, F.lit("]")))
-    return e.select("user_id", F.split_part(OB.outline(text, 100), F.lit("\n["), F.lit(1)).alias("head"))
+    return e.select("user_id", text.alias("text")).select("user_id", F.split_part(OB.outline(F.col("text"), 100), F.lit("\n[outline"), F.lit(1)).alias("head"), OB.outline(F.col("text"), 700).alias("digest"))
 
 
 def _hmac_sql(key: str, message: str) -> str:

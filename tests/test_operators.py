@@ -208,6 +208,48 @@ def test_outlines(spark):
     assert one(spark, objects.outline(F.lit("[ 1 , 2 ]"), 100)) == "[1,2]" and one(spark, objects.outline(F.lit("plain"), 9)) is None
 
 
+def test_outlines_of_odd_texts(spark):
+    from mnemospark.functions import objects
+
+    tight = {
+        r'{ "a\\" : "b \" c" , "b": [ 1.50 , "\\\\" ] }': r'{"a\\":"b \" c","b":[1.50,"\\\\"]}',
+        '{"a": 1} x': '{"a": 1} x', '{"a": 1} {"b": 2}': '{"a": 1} {"b": 2}', '{"a": 1}, "x": 2': '{"a": 1}, "x": 2', "[1 ]]": "[1 ]]", ' "text" ': ' "text" ', "": "", "[ ]": "[]", "{ }": "{}",
+        '{"k": "' + r"\" " * 20_000 + '" }': '{"k":"' + r"\" " * 20_000 + '"}',
+    }
+    frame = spark.createDataFrame([*((k,) for k in tight), (None,)], "x string")
+    got = {r.x: (r.c, r.o) for r in frame.select("x", objects.compact(F.col("x")).alias("c"), objects.outline(F.col("x"), 60).alias("o")).collect()}
+    assert got.pop(None) == (None, None) and {k: v[0] for k, v in got.items()} == tight
+    assert all((v[1] is None) == (k == v[0] and k != "[]") or v[1] == v[0] or len(k) > 60 for k, v in got.items())
+    shown = lambda text, most=90: one(spark, objects.outline(F.lit(text), most, 2, "[note]"))
+    assert shown('[[1, 2], "' + "y" * 90 + '"]') == "JSON array, 2 elements\n  element type: array[2]\n[note]\nsample: [[1,2]]"
+    assert shown('[null, "' + "y" * 90 + '"]') == "JSON array, 2 elements\n  element type: null\n[note]\nsample: [null]"
+    assert shown('["' + "y" * 90 + '"]') == "JSON array, 1 elements\n  element type: str\n[note]\nsample: [" + '"' + "y" * 27 + "..."
+    assert shown('[{"a": 1, "b": 2, "c": 12345678901234567890}, "' + "y" * 90 + '"]') == 'JSON array, 2 elements\n  element keys: a, b (+1 more)\n[note]\nsample: [{"a":1,"b":2,"c":...'
+    assert shown('{"a": 12345678901234567890, "b": 1e300, "c": "' + "z" * 90 + '"}', 80).startswith("JSON object, 3 keys:\n  a: int\n  b: float\n  (+1 more keys)\n[note]")
+
+
+def test_windows_equal_a_walk(spark):
+    import random
+
+    from mnemospark.operators.sessions import transcript_windows
+
+    rng = random.Random(3)
+    data = [(s, rng.randrange(30), "x" * rng.choice([0, 3, 40, 90]), rng.random() < 0.1) for s in range(20) for _ in range(s * 3)]
+    data += [(99, 1, None, None), (99, 1, None, None)]
+    want = []
+    for s in {r[0] for r in data}:
+        found, size = [[]], 0
+        for _, n, line, bad in sorted(((s, n, t or "", bool(b)) for k, n, t, b in data if k == s), key=lambda r: r[1:]):
+            if size >= 100:
+                found, size = [*found, []], 0
+            found[-1].append((line, bad))
+            size += len(line)
+        texts = [("\n".join(t for t, _ in w), any(b for _, b in w), i) for i, w in enumerate(found)]
+        want += [(s, i, len(t), b, t) for t, b, i in sorted(texts, key=lambda x: (not x[1], -len(x[0]), x[2]))[:3]]
+    got = transcript_windows(spark.createDataFrame(data, "session long, n long, line string, failed boolean"), 100, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_policies_of_reuse():
     from mnemospark.operators.sessions import ARMS, World, simulate
 
