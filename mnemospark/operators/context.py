@@ -22,6 +22,23 @@ def reuse_verdict(expired: Column, same: Column, narrow_same: Column, worth: Col
     return F.when(expired, "expired").when(same, F.when(worth, "match").otherwise("not_worth")).when(narrow_same, F.when(worth, "reused_noise").otherwise("not_worth")).otherwise("drift")
 
 
+def best_first(candidates: DataFrame, by: str, order: list[Column], most: int | None = None) -> DataFrame:
+    """(by, id, reuse, reason): of each one's candidates (by, id, verdict) the first in order that can be reused.
+
+    If none can, the last that was tried, with its reason. At most that many are tried, if most is given.
+    """
+    from pyspark.sql import Window as W
+
+    ranked = candidates.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    if most is not None:
+        ranked = ranked.where(F.col("__n") <= most)
+    reuses = F.col("verdict").isin("match", "reused_noise")
+    tried = F.struct("__n", "id", "verdict")
+    found = ranked.groupBy(by).agg(F.min(F.when(reuses, tried)).alias("hit"), F.max(tried).alias("last"))
+    chosen = F.coalesce("hit", "last")
+    return found.select(by, chosen["id"].alias("id"), F.col("hit").isNotNull().alias("reuse"), chosen["verdict"].alias("reason"))
+
+
 def first_by(df: DataFrame, by: list[str], order: list) -> DataFrame:
     from pyspark.sql import Window as W
 

@@ -6,10 +6,13 @@ that transaction. Of several closings the last wins; deletes leave the validity
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import pii as PI
 from ..functions import text as T
 
 OP_SCHEMA = "seq long, op string, memory_id long, text string, at timestamp_ntz, supersedes array<long>, confidence double"
@@ -60,3 +63,63 @@ def tiled(memories: DataFrame, slot: list[str], order: str) -> DataFrame:
     """Chains by slot: each memory ends where the next begins, never before its own start."""
     after = F.lead("effective_from").over(W.partitionBy(*slot).orderBy(order))
     return memories.withColumn("effective_until", F.when(after.isNotNull(), F.greatest(after, F.col("effective_from"))))
+
+
+#: Texts of a memory that are scrubbed before it is stored.
+FIELDS = ("text", "summary", "detail", "action")
+
+
+def scrubbed_fields(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The rows with sensitive data of the fields as numbered tokens, and flags: the types found in any of them, in order. Null fields stay null."""
+    kept = [c for c in rows.columns if c not in fields]
+    found = rows.select(*kept, *[PI.scrub(F.col(f)).alias(f) for f in fields])
+    types = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(F.col(f)["types"], F.array().cast("array<string>")) for f in fields]))))
+    return found.select(*kept, *[F.col(f)["text"].alias(f) for f in fields], types.alias("flags"))
+
+
+def additions(incoming: DataFrame, scope: list[str], known: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """What adding memories does, in the order of memory_id: the incoming columns scrubbed, with flags, op, target, duplicate_of and effective_from.
+
+    A text that its scope has already, in known (memory_id, text, scope) or in an earlier row, makes the row a confirmation
+    of the first that has it, unless the row supersedes something; then it is added and names the first. A memory is valid
+    from its event_date, else from its time `at`. Scrubbed texts are compared, so facts that differ in sensitive data only
+    are one. Of rows with one memory_id and text each is decided alike; null scopes and null texts are values of their own.
+    """
+    key = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col("text").alias("t"))), 256)
+    rows = scrubbed_fields(incoming, fields).withColumn("__key", key)
+    every = rows.select("__key", F.lit(1).alias("late"), "memory_id")
+    if known is not None:
+        every = every.unionByName(known.select(key.alias("__key"), F.lit(0).alias("late"), "memory_id"))
+    first = every.groupBy("__key").agg(F.min(F.struct("late", "memory_id")).alias("__first"))
+    joined = rows.join(first, "__key").drop("__key")
+    own = (F.col("__first.late") == 1) & (F.col("__first.memory_id") == F.col("memory_id"))
+    add = own | (F.coalesce(F.size("supersedes"), F.lit(0)) > 0)
+    return joined.select(
+        *[c for c in joined.columns if c not in ("__first", "event_date")], F.when(add, "add").otherwise("confirm").alias("op"), F.when(add, F.col("memory_id")).otherwise(F.col("__first.memory_id")).alias("target"),
+        F.when(~own, F.col("__first.memory_id")).alias("duplicate_of"), F.coalesce("event_date", "at").alias("effective_from"),
+    )
+
+
+def committed(candidates: DataFrame, scope: list[str], least: float, known: DataFrame | None = None) -> DataFrame:
+    """Candidates (memory_id, text, scope, confidence, source_refs, at) with a reason, an error, duplicate_of and flags.
+
+    Those below the least confidence (or without one) go first, then those without text or source reference; they are
+    stored nowhere, so no later candidate duplicates them. What is left is accepted, or duplicates a memory of its scope.
+    """
+    below = ~F.coalesce(F.col("confidence") >= least, F.lit(False))
+    error = F.when(F.coalesce(F.btrim("text"), F.lit("")) == "", "empty text").when(F.coalesce(F.size("source_refs"), F.lit(0)) <= 0, "no source reference")
+    judged = candidates.select("*", F.when(below, "below_threshold").when(error.isNotNull(), "validation_error").alias("reason"), F.when(~below, error).alias("error"))
+    whole = judged.where("reason is null").withColumn("supersedes", F.array().cast("array<long>")).withColumn("event_date", F.lit(None).cast("timestamp_ntz"))
+    stored = additions(whole, scope, known, ("text",)).withColumn("reason", F.when(F.col("op") == "add", "accepted").otherwise("duplicate"))
+    refused = judged.where("reason is not null").withColumn("duplicate_of", F.lit(None).cast("long")).withColumn("flags", F.array().cast("array<string>"))
+    return stored.select(*refused.columns).unionByName(refused)
+
+
+def commit_report(decisions: DataFrame, settings: dict) -> DataFrame:
+    """One row: counts of candidates by outcome, the types of sensitive data in what was accepted, and a digest of the settings."""
+    count = lambda reason: F.count(F.when(F.col("reason") == reason, 1)).alias(reason)
+    spelled = json.dumps(settings, sort_keys=True)
+    return decisions.agg(
+        F.count("*").alias("candidates"), *map(count, ("accepted", "below_threshold", "validation_error", "duplicate")),
+        F.array_sort(F.flatten(F.collect_set(F.when(F.col("reason") == "accepted", F.col("flags"))))).alias("flags"),
+    ).select("*", F.array_join(F.array_distinct("flags"), ",").alias("pii_flags"), F.sha2(F.lit(spelled), 256).alias("fingerprint")).drop("flags")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, events, indexes, more, recalls, searches, stores, values, works  # noqa: F401
+from . import chains, events, indexes, more, recalls, searches, stores, values, works, writes  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -168,10 +168,24 @@ def ru_tiered(s, d):
     return _env(s, d).groupBy(_verdict(True).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("ru_best_first", f"SELECT o_custkey, min(o_orderkey) AS outcome FROM orders JOIN env ON id = o_orderkey WHERE {_VERDICT.format(n='narrow')} IN ('match', 'reused_noise') GROUP BY o_custkey", _ENV)
+_TRIED = f"""tried AS (SELECT o_custkey, id, {_VERDICT.format(n='narrow')} AS verdict, row_number() OVER (PARTITION BY o_custkey ORDER BY env.o_totalprice DESC, id) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY env.o_orderdate DESC, id DESC) AS newest FROM orders JOIN env ON id = o_orderkey),
+hits AS (SELECT o_custkey, coalesce(min(n) FILTER (verdict IN ('match', 'reused_noise')), max(n)) AS n FROM tried GROUP BY o_custkey)"""
+
+
+def _outcomes(s, d):
+    return _env(s, d).select("o_custkey", F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate", _verdict(True).alias("verdict"))
+
+
+@query("ru_best_first", "SELECT o_custkey, id AS outcome, verdict IN ('match', 'reused_noise') AS reuse, verdict AS reason FROM tried JOIN hits USING (o_custkey, n)", _ENV, _TRIED)
 def ru_best_first(s, d):
-    """RU3: the first candidate that can be reused."""
-    return _env(s, d).where(_verdict(True).isin("match", "reused_noise")).groupBy("o_custkey").agg(F.min("o_orderkey").alias("outcome"))
+    """RU3: a customer's outcomes by score: the first that can be reused, else the last one's reason."""
+    return C.best_first(_outcomes(s, d), "o_custkey", [F.desc("o_totalprice"), F.col("id")]).select("o_custkey", F.col("id").alias("outcome"), "reuse", "reason")
+
+
+@query("ru_latest", "SELECT o_custkey, id AS outcome, verdict IN ('match', 'reused_noise') AS reuse, verdict AS reason FROM tried WHERE newest = 1", _ENV, _TRIED)
+def ru_latest(s, d):
+    """RU3: without an intent only the newest outcome is tried."""
+    return C.best_first(_outcomes(s, d), "o_custkey", [F.desc("o_orderdate"), F.desc("id")], 1).select("o_custkey", F.col("id").alias("outcome"), "reuse", "reason")
 
 
 @query("ru_learn", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'status,priority' ELSE 'status' END AS declared FROM orders")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import pii as PI
 from ..functions import rules as R
@@ -374,10 +373,3 @@ _KIND = "CASE event_type WHEN 'error' THEN 'pitfall' WHEN 'purchase' THEN 'decis
 def ex_classify(s, d):
     """EX1, TG5: the heaviest rule decides the kind."""
     return memories(s, d).select("memory_id", R.classified(F.col("text"), "key_fact").alias("c")).select("memory_id", "c.kind", "c.confidence")
-
-
-@query("ex_commit_report", "SELECT CASE WHEN confidence < 0.6 THEN 'below_threshold' WHEN n > 1 THEN 'duplicate' ELSE 'accepted' END AS reason, count(*) AS n FROM (SELECT confidence, row_number() OVER (PARTITION BY text, user_id ORDER BY memory_id) AS n FROM memories) GROUP BY 1", MEMORIES)
-def ex_commit_report(s, d):
-    """EX3, FI14."""
-    m = memories(s, d).withColumn("n", F.row_number().over(W.partitionBy("text", "user_id").orderBy("memory_id")))
-    return m.groupBy(F.when(F.col("confidence") < 0.6, "below_threshold").when(F.col("n") > 1, "duplicate").otherwise("accepted").alias("reason")).agg(F.count("*").alias("n"))
