@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,33 +22,53 @@ def citations(hits: DataFrame, kind: str, k: int) -> DataFrame:
     return best.select("qid", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.round(RE.min_max(F.col("score"), W.partitionBy("qid")), 6).alias("score"), "snippet")
 
 
-def adaptive(requests: DataFrame, tiers: list[tuple[str, DataFrame]], floor: float = FLOOR) -> DataFrame:
+def adaptive(requests: DataFrame, tiers: list[tuple], floor: float = FLOOR, sufficient: Callable[[Column], Column] | None = None) -> DataFrame:
     """(qid, strategy, escalations, hits, context): tiers in order, up to the first whose best score reaches the floor, else abstain.
 
-    Citations of all tiers that were tried are merged, the best score of each kept; the context joins them by score.
-    escalations says of each tier why it stopped or went on. At most a tier's k citations a request are gathered.
+    A tier is its name, its citations, and, if only some requests may use it, a condition on their columns; others pass it
+    over unmentioned. Where the caller's own condition, on the number of citations so far, does not hold, a tier that
+    reached the floor goes on. Citations of all tiers that were tried are merged, the best score of each kept; the context
+    joins them by score. escalations says of each tier why it stopped or went on. At most a tier's k citations a request are gathered.
     """
-    state = requests.select("qid")
-    stop, said = F.lit(len(tiers)), []
-    for i, (name, found) in enumerate(tiers):
-        state = state.join(found.groupBy("qid").agg(F.max("score").alias(f"top{i}")), "qid", "left")
+    may = [tier[2] if len(tier) > 2 else F.lit(True) for tier in tiers]
+    state = requests.select("qid", F.array(*[F.coalesce(c, F.lit(False)) for c in may]).alias("asked"))
+    asked, so_far = lambda i: F.get("asked", F.lit(i)), F.lit(0)
+    for i, tier in enumerate(tiers):
+        state = state.join(tier[1].groupBy("qid").agg(F.max("score").alias(f"top{i}"), F.count("*").alias(f"n{i}")), "qid", "left")
+    stop, said, over, done = F.lit(len(tiers)), [], [], []
+    for i in range(len(tiers)):
+        so_far = so_far + F.when(asked(i), F.coalesce(f"n{i}", F.lit(0))).otherwise(0)
+        over.append(F.col(f"top{i}") >= floor)
+        done.append(asked(i) & over[i] & (sufficient(so_far) if sufficient else F.lit(True)))
     for i in reversed(range(len(tiers))):
-        stop = F.when(F.col(f"top{i}") >= floor, i).otherwise(stop)
+        stop = F.when(done[i], i).otherwise(stop)
     state = state.withColumn("stop", stop)
-    for i, (name, _) in enumerate(tiers):
-        why = F.when(F.col(f"top{i}").isNull(), "zero_hits").when(F.col(f"top{i}") >= floor, "tier_complete").otherwise("below_floor")
-        said.append(F.when(F.col("stop") >= i, F.concat(F.lit(name + ":"), why)))
+    for i, tier in enumerate(tiers):
+        why = F.when(F.col(f"top{i}").isNull(), "zero_hits").when(F.col("stop") == i, "tier_complete").when(over[i], "not_sufficient").otherwise("below_floor")
+        said.append(F.when((F.col("stop") >= i) & asked(i), F.concat(F.lit(tier[0] + ":"), why)))
     said.append(F.when(F.col("stop") == len(tiers), "abstain:exhausted"))
     strategy = reduce(lambda a, i: F.when(F.col("stop") == i, tiers[i][0]).otherwise(a), range(len(tiers)), F.lit("abstain"))
-    state = state.select("qid", "stop", strategy.alias("strategy"), F.concat_ws(",", *said).alias("escalations"))
-    every = reduce(lambda a, b: a.unionByName(b), (found.withColumn("tier", F.lit(i)) for i, (_, found) in enumerate(tiers)))
-    tried = every.join(state.select("qid", "stop"), "qid").where("tier <= stop")
+    state = state.select("qid", "asked", "stop", strategy.alias("strategy"), F.concat_ws(",", *said).alias("escalations"))
+    every = reduce(lambda a, b: a.unionByName(b), (tier[1].withColumn("tier", F.lit(i)) for i, tier in enumerate(tiers)))
+    tried = every.join(state.select("qid", "asked", "stop"), "qid").where("tier <= stop and asked[tier]")
     merged = tried.groupBy("qid", "kind", "id").agg(F.max(F.struct("score", "snippet")).alias("x")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("x.score")).alias("s"), "kind", "id", "x.snippet"))).alias("c"))
     out = state.join(merged, "qid", "left")
     context = F.coalesce(F.array_join(F.transform("c", lambda x: x["snippet"]), "\n\n"), F.lit(""))
     return out.select("qid", "strategy", "escalations", F.coalesce(F.size("c"), F.lit(0)).alias("hits"), context.alias("context"))
 
 
+def with_memories(found: DataFrame, cited: DataFrame) -> DataFrame:
+    """Episodes (qid, id, …) with the memories (id, memory_id, …) that cite them, a row each; episodes that none cites stay with nulls."""
+    return found.join(cited.join(found.select("id").distinct(), "id", "left_semi"), "id", "left")
+
+
+def precedents(hits: DataFrame, pool: int = 20) -> DataFrame:
+    """Of the pool best hits (qid, id, score, kind, text) the decisions, the first of those that say the same; fewer than asked for if others fill the pool."""
+    best = hits.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where((F.col("place") <= pool) & (F.col("kind") == "decision"))
+    same = F.lower(F.btrim("text"))
+    return best.withColumn("again", F.row_number().over(W.partitionBy("qid", same).orderBy("place"))).where("again = 1").drop("again")
+
+
 def episodes(requests: DataFrame, sessions: DataFrame, scores: DataFrame, k: int, hard: bool = False, least: int = 1) -> DataFrame:
     """(qid, id, score, at, rank): the k best sessions of each request by score, then newest.
 

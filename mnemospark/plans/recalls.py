@@ -327,3 +327,60 @@ def ru_by_intent(s, d):
     gated = hits.withColumn("verdict", C.reuse_verdict(F.col("id") % 4 == 0, entries(then) == entries(now), narrow, F.col("id") % 7 != 0))
     found = C.best_first(gated, "qid", [F.desc("score"), F.col("id")], 5)
     return requests(s, d).select("qid").join(found, "qid", "left").select("qid", F.col("id").alias("outcome"), F.coalesce("reuse", F.lit(False)).alias("reuse"), F.coalesce("reason", F.lit("miss")).alias("reason"))
+
+
+_AS_OF = "2024-01-12 00:00:00"
+_ROUTED = f"""routed AS (SELECT qid, ns, text, qid % 5 = 2 AS past, CASE WHEN qid % 4 = 0 THEN qid END AS artifact FROM requests),
+past_scored AS (SELECT * FROM (SELECT qid, memory_id, m.text, list_sum(list_transform(list_filter(regexp_split_to_array(lower(r.text), '\\s+'), lambda w: w <> ''), lambda w: (length(m.text) - length(replace(lower(m.text), w, ''))) // length(w)))::BIGINT AS score FROM routed r JOIN memories m ON m.namespace = r.ns
+  WHERE past AND effective_from <= TIMESTAMP '{_AS_OF}' AND (effective_until IS NULL OR effective_until > TIMESTAMP '{_AS_OF}')) WHERE score > 0),
+past_cited AS (SELECT qid, memory_id::VARCHAR AS id, {_NORMAL} AS score, text AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS n FROM past_scored QUALIFY n <= 5) WINDOW q AS (PARTITION BY qid)),
+tops AS (SELECT qid, past, artifact, (SELECT count(*) FROM past_cited p WHERE p.qid = r.qid) AS g, (SELECT count(*) FROM memory_cited p WHERE p.qid = r.qid) AS m, (SELECT count(*) FROM chunk_cited p WHERE p.qid = r.qid) AS c, (SELECT count(*) FROM artifacts a WHERE a.doc_id = r.artifact) AS w FROM routed r),
+stops AS (SELECT *, CASE WHEN past THEN CASE WHEN g >= 2 THEN 0 ELSE 4 END WHEN m >= 2 THEN 1 WHEN c > 0 AND m + c >= 2 THEN 2 WHEN w > 0 AND m + c + w >= 2 THEN 3 ELSE 4 END AS stop FROM tops),
+merged AS (SELECT s.qid, count(*) AS hits, string_agg(snippet, chr(10) || chr(10) ORDER BY score DESC, kind, id) AS context FROM stops s JOIN (SELECT qid, 0 AS tier, 'memory' AS kind, id, score, snippet FROM past_cited WHERE qid IN (SELECT qid FROM routed WHERE past)
+  UNION ALL SELECT qid, 1, 'memory', id, score, snippet FROM memory_cited WHERE qid NOT IN (SELECT qid FROM routed WHERE past) UNION ALL SELECT qid, 2, 'chunk', id, score, snippet FROM chunk_cited WHERE qid NOT IN (SELECT qid FROM routed WHERE past)
+  UNION ALL SELECT qid, 3, 'raw', artifact_id, 1.0, content FROM routed JOIN artifacts ON doc_id = artifact WHERE NOT past) x ON x.qid = s.qid AND tier <= stop GROUP BY s.qid)"""
+_SAID = "CASE WHEN {n} = 0 THEN '{t}:zero_hits' WHEN stop = {i} THEN '{t}:tier_complete' ELSE '{t}:not_sufficient' END"
+
+
+@query(
+    "rc_adaptive_routed",
+    f"""SELECT qid, CASE stop WHEN 0 THEN 'graph_search' WHEN 1 THEN 'memory_search' WHEN 2 THEN 'artifact_search' WHEN 3 THEN 'raw_fetch' ELSE 'abstain' END AS strategy,
+    concat_ws(',', CASE WHEN past THEN {_SAID.format(n="g", t="graph_search", i=0)} END, CASE WHEN NOT past THEN {_SAID.format(n="m", t="memory_search", i=1)} END, CASE WHEN NOT past AND stop >= 2 THEN {_SAID.format(n="c", t="artifact_search", i=2)} END,
+    CASE WHEN NOT past AND artifact IS NOT NULL AND stop >= 3 THEN {_SAID.format(n="w", t="raw_fetch", i=3)} END, CASE WHEN stop = 4 THEN 'abstain:exhausted' END) AS escalations, coalesce(hits, 0)::INT AS hits, sha256(coalesce(context, '')) AS context FROM stops LEFT JOIN merged USING (qid)""",
+    *_RECALL, _ROUTED,
+)
+def rc_adaptive_routed(s, d):
+    """RC6: a request of a past time goes to the memories in force then, else abstains; others go from memories to chunks to the artifact they name, until two citations are found."""
+    q = F.col("qid")
+    r = requests(s, d).select("*", (q % 5 == 2).alias("past"), F.when(q % 4 == 0, q).alias("artifact"))
+    then = memories(s, d).where(FI.visible_at(_AS_OF, superseded=True)).withColumn("ns", F.col("namespace"))
+    graph = RE.substring_scores(memory_grams(s, d), then, r.where("past")).join(then.select("memory_id", F.col("text").alias("snippet")), "memory_id").withColumnRenamed("memory_id", "id")
+    raw = r.where("artifact is not null").select("qid", F.col("artifact").alias("doc_id")).join(artifacts(s, d), "doc_id").select("qid", F.lit("raw").alias("kind"), F.col("artifact_id").alias("id"), F.lit(1.0).alias("score"), F.col("content").alias("snippet"))
+    now = ~F.col("past")
+    tiers = [
+        ("graph_search", RC.citations(graph, "memory", 5), F.col("past")), ("memory_search", RC.citations(_memory_hits(s, d), "memory", 5), now), ("artifact_search", RC.citations(_chunk_hits(s, d), "chunk", 5), now),
+        ("raw_fetch", raw, now & F.col("artifact").isNotNull()),
+    ]
+    return RC.adaptive(r, tiers, sufficient=lambda n: n >= 2).withColumn("context", F.sha2("context", 256))
+
+
+@query(
+    "rc_episodic_memories",
+    f"SELECT qid, rank, e.id, memory_id, kind, text FROM ({_EPISODES.format('placed')}) e LEFT JOIN (SELECT memory_id, kind, text, user_id::VARCHAR AS id FROM memories WHERE status = 'active') m ON m.id = e.id",
+    ARTIFACTS, CHUNKS, MEMORIES, REQUESTS, _WINDOWS, _SESSIONS,
+)
+def rc_episodic_memories(s, d):
+    """RC8, FI9: the memories in force that cite each of a request's episodes."""
+    cited = memories(s, d).where("status = 'active'").select(F.col("user_id").cast("string").alias("id"), "memory_id", "kind", "text")
+    return RC.with_memories(_episodes(s, d, False), cited).select("qid", "rank", "id", "memory_id", "kind", "text")
+
+
+@query(
+    "di_precedents",
+    "SELECT qid, memory_id AS id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, lower(trim(text)) ORDER BY place) AS again FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS place FROM scored QUALIFY place <= 20) WHERE kind = 'decision') WHERE again = 1",
+    *_RECALL,
+)
+def di_precedents(s, d):
+    """DI1, FI10: decisions among a request's twenty best memories, each text once."""
+    hits = _memory_hits(s, d).join(memories(s, d).select(F.col("memory_id").alias("id"), "kind"), "id").withColumnRenamed("snippet", "text")
+    return RC.precedents(hits).select("qid", "id", "place")

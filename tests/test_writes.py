@@ -72,3 +72,25 @@ def test_graphs_as_their_patches_make_them(spark):
     assert sorted(map(tuple, graphs.graphs(frame, ["status", "title"], day(3)).collect())) == [(1, day(1), day(3), "active", "b"), (3, day(2), day(2), None, None)]
     assert sorted(r.graph_id for r in graphs.existing(graphs.graphs(frame, ["status"]), day(3)).collect()) == [1, 3]
     assert [(r.graph_id, r.place) for r in graphs.listed(graphs.graphs(frame, ["status"]).withColumn("ns", F.lit(0)), "ns", 2).orderBy("place").collect()] == [(1, 1), (3, 2)]
+
+
+def test_tiers_pass_over_requests_that_may_not_use_them(spark):
+    from mnemospark.operators import recall
+
+    requests = spark.createDataFrame([(1, True), (2, False), (3, False), (4, None)], "qid long, past boolean")
+    tier = lambda rows: spark.createDataFrame([(q, "m", i, x, i) for q, i, x in rows], "qid long, kind string, id string, score double, snippet string")
+    graph, memory_, raw = tier([(1, "g", 1.0), (2, "h", 1.0)]), tier([(1, "a", 1.0), (2, "b", 1.0), (3, "c", 0.1)]), tier([(2, "r", 0.9), (3, "s", 1.0)])
+    tiers = [("graph", graph, F.col("past")), ("memory", memory_, ~F.col("past")), ("raw", raw, ~F.col("past"))]
+    got = {r.qid: (r.strategy, r.escalations, r.hits, r.context) for r in recall.adaptive(requests, tiers).collect()}
+    assert got == {1: ("graph", "graph:tier_complete", 1, "g"), 2: ("memory", "memory:tier_complete", 1, "b"), 3: ("raw", "memory:below_floor,raw:tier_complete", 2, "s\n\nc"), 4: ("abstain", "abstain:exhausted", 0, "")}
+    got = {r.qid: (r.strategy, r.escalations, r.hits) for r in recall.adaptive(requests, tiers, sufficient=lambda n: n >= 2).collect()}
+    assert got == {1: ("abstain", "graph:not_sufficient,abstain:exhausted", 1), 2: ("raw", "memory:not_sufficient,raw:tier_complete", 2), 3: ("raw", "memory:below_floor,raw:tier_complete", 2), 4: ("abstain", "abstain:exhausted", 0)}
+
+
+def test_precedents_may_return_fewer_than_there_are(spark):
+    from mnemospark.operators import recall
+
+    rows = [(1, 1, 9.0, "fact", "a"), (1, 2, 8.0, "decision", " B "), (1, 3, 7.0, "decision", "b"), (1, 4, 6.0, "decision", "c"), (2, 5, 1.0, "fact", "d")]
+    hits = spark.createDataFrame(rows, "qid long, id long, score double, kind string, text string")
+    assert [(r.qid, r.id, r.place) for r in recall.precedents(hits, 3).collect()] == [(1, 2, 2)]
+    assert sorted(r.id for r in recall.precedents(hits).collect()) == [2, 4]
