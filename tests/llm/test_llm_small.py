@@ -375,6 +375,22 @@ def test_images_equal_the_comparison_of_all_pairs(spark):
         assert share >= least, (hot, share)
 
 
+def test_parts_of_entries_are_the_same_wherever_they_lie(spark):
+    from mnemospark.llm.common import Kept
+
+    vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5).cast("float")).alias("embedding"))
+    raws = [(r.image_id, bytes(r.media)) for r in op6_images.rendered_media(vectors).collect()]
+    classes = op6_images.descriptors(spark.createDataFrame(raws, "image_id long, media binary"), "image_id", "media").select("id", "places", "bits", "near")
+    found = [[sorted(map(tuple, df.collect())) for df in op6_images.image_votes(Kept(spark), classes, 2, large)] for large in (1 << 16, 6, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 20
+
+
+def test_sized_parts_by_hand(spark):
+    rows = [(1, 5, 10, 0, 0), (1, 5, 10, 0, 0), (1, 5, 11, 0, 0), (1, 5, 11, 2, 0), (1, 6, 10, 0, 0), (1, 6, 10, 1, 0), (2, 5, 9, 0, 0), (2, 5, 8, 0, 0)]
+    got = op6_images.sized(spark.createDataFrame(rows, "entry long, p int, id long, n2 int, n34 int"))
+    assert sorted((r.id, r.n2, r.n, r.centre) for r in got.collect()) == [(8, 0, 2, 8), (9, 0, 2, 8), (10, 0, 3, 10), (11, 0, 3, 10), (11, 2, 3, 10)]
+
+
 def test_full_entries_make_few_rows(spark):
     rows = spark.range(400).select(F.lit(7).cast("long").alias("entry"), "id", (F.col("id") % 40 + 1).cast("int").alias("n1"), (F.col("id") % 50 + 1).cast("int").alias("n2"))
     assert op6_images.meetings(op6_images.shared(rows), 6).count() == 0
