@@ -311,7 +311,9 @@ def bm_runtime_loop(s, d):
     return costs.join(raw, "qid").groupBy("strategy").agg(F.count("*").alias("asked"), F.round(1 - F.sum("tokens") / F.sum("raw"), 6).alias("reduction"))
 
 
-_INTENT = """gated AS (SELECT qid, memory_id, score, CASE WHEN memory_id % 4 = 0 THEN 'expired' WHEN memory_id % 3 = qid % 3 AND memory_id % 2 = qid % 2 THEN CASE WHEN memory_id % 7 <> 0 THEN 'match' ELSE 'not_worth' END WHEN memory_id % 3 = qid % 3 THEN CASE WHEN memory_id % 7 <> 0 THEN 'reused_noise' ELSE 'not_worth' END ELSE 'drift' END AS verdict FROM scored WHERE kind = 'decision'),
+_INTENT = """intents AS (SELECT qid, 'ns' || (qid % 4) AS ns, 'plan ' || qid AS text FROM requests),
+meant AS (SELECT qid, memory_id, list_sum(list_transform(string_split(r.text, ' '), lambda w: (length(v.text) - length(replace(lower(v.text), w, ''))) // length(w)))::BIGINT AS score FROM intents r JOIN visible v USING (ns) WHERE kind = 'decision'),
+gated AS (SELECT qid, memory_id, score, CASE WHEN memory_id % 11 = 0 THEN 'expired' WHEN memory_id % 3 = qid % 3 AND memory_id % 2 = qid % 2 THEN CASE WHEN memory_id % 7 <> 0 THEN 'match' ELSE 'not_worth' END WHEN memory_id % 3 = qid % 3 THEN CASE WHEN memory_id % 7 <> 0 THEN 'reused_noise' ELSE 'not_worth' END ELSE 'drift' END AS verdict FROM meant WHERE score > 0),
 tried AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS n FROM gated QUALIFY n <= 5),
 chosen AS (SELECT qid, coalesce(min(n) FILTER (verdict IN ('match', 'reused_noise')), max(n)) AS n FROM tried GROUP BY qid)"""
 
@@ -319,12 +321,13 @@ chosen AS (SELECT qid, coalesce(min(n) FILTER (verdict IN ('match', 'reused_nois
 @query("ru_by_intent", "SELECT qid, memory_id AS outcome, coalesce(verdict IN ('match', 'reused_noise'), false) AS reuse, coalesce(verdict, 'miss') AS reason FROM requests LEFT JOIN (tried JOIN chosen USING (qid, n)) USING (qid)", *_RECALL, _INTENT)
 def ru_by_intent(s, d):
     """RU3, RE16: outcomes that match a request's text, best first, at most five; the first whose environment still holds, else the last one's reason; a miss if none matches."""
-    hits = _memory_hits(s, d).join(memories(s, d).where("kind = 'decision'").select(F.col("memory_id").alias("id")), "id")
+    intents = requests(s, d).select("qid", "ns", F.concat(F.lit("plan "), "qid").alias("text"))
+    hits = RE.substring_scores(memory_grams(s, d), visible(s, d).where("kind = 'decision'"), intents).withColumnRenamed("memory_id", "id")
     env = lambda c: F.create_map(F.lit("version"), c % 3, F.lit("load"), c % 2)
     entries = lambda c: F.array_sort(F.map_entries(c))
     then, now, declared = env(F.col("id")), env(F.col("qid")), F.array(F.lit("version"))
     narrow = ~F.exists(declared, lambda k: F.element_at(then, k) != F.element_at(now, k))
-    gated = hits.withColumn("verdict", C.reuse_verdict(F.col("id") % 4 == 0, entries(then) == entries(now), narrow, F.col("id") % 7 != 0))
+    gated = hits.withColumn("verdict", C.reuse_verdict(F.col("id") % 11 == 0, entries(then) == entries(now), narrow, F.col("id") % 7 != 0))
     found = C.best_first(gated, "qid", [F.desc("score"), F.col("id")], 5)
     return requests(s, d).select("qid").join(found, "qid", "left").select("qid", F.col("id").alias("outcome"), F.coalesce("reuse", F.lit(False)).alias("reuse"), F.coalesce("reason", F.lit("miss")).alias("reason"))
 
