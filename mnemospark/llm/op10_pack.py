@@ -57,10 +57,14 @@ def token_frequencies(encoded: DataFrame, dtype: str, vocab_size: int) -> tuple[
 
     def count(batches):
         df, docs, tokens = np.zeros(vocab_size + 1, np.int64), 0, 0
+        last = np.zeros(vocab_size + 1, np.int64)
         for batch in batches:
             for value in batch.column(0):
                 ids = np.frombuffer(value.as_py(), dtype)
-                df[np.unique(ids)] += 1
+                # Of an id's places in a document only its last one counts.
+                at = np.arange(len(ids))
+                last[ids] = at
+                df[ids[last[ids] == at]] += 1
                 docs, tokens = docs + 1, tokens + len(ids)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"token": pa.array([*seen.tolist(), -1, -2], pa.int64()), "n": pa.array([*df[seen].tolist(), docs, tokens], pa.int64())})
@@ -81,22 +85,16 @@ class Shard:
     """BM25 inverted index over some documents; used ones leave it as it is compacted."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, end_id: int | None = None):
-        self.n, self.used = len(docs), np.zeros(len(docs), bool)
-        terms, owner, tf = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            if end_id is not None:
-                t, c = t[t != end_id], c[t != end_id]
-            terms.append(t.astype(np.int64))
-            owner.append(np.full(len(t), i, np.int32))
-            tf.append(c)
-        self.terms = terms
+        self.n, self.used, self.docs, self.end_id = len(docs), np.zeros(len(docs), bool), docs, end_id
         length = np.array([len(x) for x in docs], np.float64)
-        every, owner, tf = np.concatenate(terms), np.concatenate(owner), np.concatenate(tf).astype(np.float64)
-        order = np.argsort(every, kind="stable")
-        every, self.owner, tf = every[order], owner[order], tf[order]
-        self.weight = idf[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.owner] / max(mean, 1e-9)))
-        self.term = every
+        # One sort of (term, document) as a number gives all postings in order.
+        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), length.astype(np.int64)), return_counts=True)
+        self.term, self.owner = np.divmod(pair, self.n)
+        if end_id is not None:
+            keep = self.term != end_id
+            self.term, self.owner, tf = self.term[keep], self.owner[keep], tf[keep]
+        tf = tf.astype(np.float64)
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.owner] / max(mean, 1e-9)))
         self._index(len(idf))
 
     def _index(self, size: int) -> None:
@@ -116,10 +114,14 @@ class Shard:
     def nearest(self, seed: int) -> np.ndarray:
         """Unused documents that share a token with the seed, best first, ties by place."""
         self.compact()
-        t = self.terms[seed]
-        low, n = self.ptr[t], self.ptr[t + 1] - self.ptr[t]
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        score = np.bincount(self.owner[at], self.weight[at], self.n)
+        t = np.unique(self.docs[seed]).astype(np.int64)
+        if self.end_id is not None:
+            t = t[t != self.end_id]
+        if not len(t):
+            return np.zeros(0, np.int64)
+        # A term's postings lie side by side, so they are copied as one.
+        runs = list(map(slice, self.ptr[t].tolist(), self.ptr[t + 1].tolist()))
+        score = np.bincount(np.concatenate([self.owner[x] for x in runs]), np.concatenate([self.weight[x] for x in runs]), self.n)
         score[self.used] = 0
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]

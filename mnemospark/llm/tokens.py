@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -42,10 +44,13 @@ def _byte_letters() -> dict[str, int]:
 class _Words(dict):
     def __init__(self, merge, dtype):
         super().__init__()
-        self.merge, self.dtype = merge, dtype
+        self.merge, self.code = merge, {2: "H", 4: "I"}[dtype.itemsize]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merge(word.encode() + _END), self.dtype).tobytes()
+        ids = array(self.code, self.merge(word.encode() + _END))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = ids
@@ -81,8 +86,9 @@ class Encoder:
             self.words = _Words(tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, self.dtype)
 
     def encode(self, text: str) -> bytes:
-        plain = unicodedata.normalize("NFC", text).lower()
-        if self.words is None or _OTHER.search(plain) or self.special is not None and self.special.search(text):
+        short = text.isascii()  # then it is normal, and all of it takes the fast way
+        plain = text.lower() if short else unicodedata.normalize("NFC", text).lower()
+        if self.words is None or not short and _OTHER.search(plain) or self.special is not None and self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join(map(self.words.__getitem__, _WORDS.findall(plain)))
 

@@ -608,6 +608,25 @@ def pieces_hold(docs, rows, window):
         assert at <= window and (at == window or at & (at - 1) == 0)
 
 
+def test_shards_equal_postings_by_document(spark):
+    rng = np.random.default_rng(11)
+    docs = [rng.integers(0, 60, int(n)).astype("<u2") for n in [*rng.integers(1, 40, 50), 0, 1]]
+    idf = rng.random(61)
+    shard = op10_pack.Shard(docs, idf, 20.0, 1)
+    want = [(t, i, int((ids == t).sum())) for t in range(60) for i, ids in enumerate(docs) if t != 1 and t in ids]
+    assert [(int(t), int(i)) for t, i in zip(shard.term, shard.owner, strict=True)] == [w[:2] for w in want]
+    weight = [idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[i]) / 20.0)) for t, i, n in want]
+    assert np.allclose(shard.weight, weight)
+    for seed in (0, 7, 50, 51):
+        shard.use(seed)
+        score = {i: sum(w for (t, k, _), w in zip(want, weight, strict=True) if k == i and t in docs[seed]) for i in range(len(docs)) if not shard.used[i]}
+        assert sorted(shard.nearest(seed).tolist()) == sorted(i for i, x in score.items() if x > 0)
+        ranked = [score[i] for i in shard.nearest(seed).tolist()]
+        assert all(x >= y - 1e-9 for x, y in zip(ranked, ranked[1:], strict=False))
+    df, n, tokens = op10_pack.token_frequencies(spark.createDataFrame([(d.tobytes(),) for d in docs], "ids binary"), "<u2", 60)
+    assert (n, tokens) == (len(docs), sum(map(len, docs))) and df.tolist() == [sum(t in d for d in docs) for t in range(61)]
+
+
 def test_packing(spark):
     docs = documents(spark)
     rows = op10_pack.pack(docs, window=64, shard_tokens=3000).collect()
