@@ -375,6 +375,28 @@ def test_images_equal_the_comparison_of_all_pairs(spark):
         assert share >= least, (hot, share)
 
 
+def test_full_entries_lose_no_link(spark):
+    vectors = spark.range(96).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7 / 7).cast("float")).alias("embedding"))
+    raws = [(r.image_id, bytes(r.media)) for r in op6_images.rendered_media(vectors).collect()]
+    want = brute_images(raws)
+    media = spark.createDataFrame(raws, "image_id long, media binary")
+    for hot, block in ((1, 40), (2, 1024)):
+        assert {r.image_id: r.component_id for r in op6_images.image_copies(media, hot=hot, block=block).collect()} == want
+
+
+def test_agreeing_leaves_out_nothing_that_is_confirmed():
+    rng = np.random.default_rng(2)
+    whole = lambda x: op6_images.describe(np.rint(x).clip(0, 255)[None].astype(np.float32))[0][:2]
+    scenes = [op6_images.draw_scene(k, 72) for k in range(24)]
+    left, right = [whole(x) for x in scenes], [whole(op6_images.resize(x, (0.8, 0.9, 1.1)[k % 3]) + rng.normal(0, 3 * (k % 2))) for k, x in enumerate(scenes)]
+    left[5] = right[6] = (np.zeros((0, 4)), np.zeros((0, op6_images.BITS // 8), np.uint8))
+    pairs = np.array([(i, j) for i in range(24) for j in range(24)])
+    kept = set(map(tuple, op6_images.agreeing(left, right, pairs).tolist()))
+    true = {(i, j) for i, j in pairs.tolist() if i != 5 and j != 6 and op6_images.consensus(*left[i], *right[j])}
+    assert len(true) >= 15 and true <= kept and len(kept) < 100
+    assert len(op6_images.agreeing(left, right, pairs[:0])) == 0
+
+
 def test_parts_of_entries_are_the_same_wherever_they_lie(spark):
     from mnemospark.llm.common import Kept
 
