@@ -397,6 +397,28 @@ def test_agreeing_leaves_out_nothing_that_is_confirmed():
     assert len(op6_images.agreeing(left, right, pairs[:0])) == 0
 
 
+def test_agreeing_counts_corners_by_their_turn():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 256, (12, op6_images.BITS // 8), dtype=np.uint8)
+    places = np.column_stack([rng.uniform(10, 60, (12, 2)), rng.uniform(-3, 3, 12), np.ones(12)])
+    turn = lambda angles: np.column_stack([places[:, :2], places[:, 2] + angles, places[:, 3]])
+    # Twelve matches, of which five at most have like turns; then all of them, across the end of the circle too.
+    spread, like = turn(np.arange(12) % 3 * 2.0), turn(np.full(12, 1.0))
+    like[:, 2] = (like[:, 2] + np.pi) % (2 * np.pi) - np.pi
+    shifted = (like[:, 0] + 1j * like[:, 1]) * np.exp(1j)
+    like[:, :2] = np.column_stack([shifted.real, shifted.imag])
+    # Eight corners near one place match one corner of the other; its five others match at other turns.
+    crowd = np.concatenate([np.column_stack([30 + rng.uniform(0, 0.5, (8, 2)), np.zeros(8), np.ones(8)]), np.column_stack([places[1:6, :2], np.arange(1, 6) * 1.2, np.ones(5)])]), bits[[0] * 8 + [1, 2, 3, 4, 5]]
+    single = np.column_stack([places[:6, :2], np.zeros(6), np.ones(6)]), bits[:6]
+    unlike, few = (places, ~bits), (places[:5], bits[:5])
+    left, right = [(places, bits), crowd], [(spread, bits), (like, bits), single, unlike, few]
+    pairs = np.array([(i, j) for i in range(2) for j in range(5)])
+    assert op6_images.agreeing(left, right, pairs).tolist() == [[0, 1]]
+    assert [(i, j) for i, j in pairs.tolist() if op6_images.consensus(*left[i], *right[j])] == [(0, 1)]
+    many = np.zeros((1100, 4)), rng.integers(0, 256, (1100, op6_images.BITS // 8), dtype=np.uint8)  # left to consensus
+    assert op6_images.agreeing([many], [many], np.array([(0, 0)])).tolist() == [[0, 0]]
+
+
 def test_parts_of_entries_are_the_same_wherever_they_lie(spark):
     from mnemospark.llm.common import Kept
 
