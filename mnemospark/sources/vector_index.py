@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieval import top_k, vector_top_k
 
-#: Vectors that are sampled for each list, and lists at most: bounds of what the driver fits.
-SAMPLED, MOST_LISTS = 64, 4096
+#: Vectors that are sampled for each list, lists at most, and numbers of the sample at most (64 MB): bounds of what the driver fits.
+SAMPLED, MOST_LISTS, NUMBERS = 64, 4096, 1 << 24
+#: Products that are held at a time.
+HELD = 1 << 22
 #: Rows of a file of a list: longer lists are cut into several.
 FILE_ROWS = 1 << 18
 #: Queries of the calibration, and queries that are sent to tasks at a time.
@@ -35,12 +37,18 @@ def rows_of(column) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centroid, some rows at a time."""
+    step = max(1, HELD // max(1, len(centroids)))
+    return np.concatenate([np.zeros(0, np.int64), *((x[at : at + step] @ centroids.T).argmax(1) for at in range(0, len(x), step))])
+
+
 def spherical_means(x: np.ndarray, lists: int, steps: int = 10, seed: int = 0) -> np.ndarray:
     """Centroids of unit vectors by cosine; a centroid that loses all of its vectors stays where it was."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(steps):
-        near = (x @ c.T).argmax(1)
+        near = nearest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         moved = np.linalg.norm(sums, axis=1) > 0
@@ -48,6 +56,12 @@ def spherical_means(x: np.ndarray, lists: int, steps: int = 10, seed: int = 0) -
     return c
 
 
+def by_parts(table: pa.Table, column: str) -> np.ndarray:
+    """A column of lists as unit vectors in single precision, a batch at a time."""
+    parts = [unit(rows_of(batch.column(column))).astype(np.float32) for batch in table.to_batches(max_chunksize=4096) if len(batch)]
+    return np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+
+
 class VectorIndex:
     """lists/list=n (key, v), centroids (list, c, size), totals (n, probes, recall: one row)."""
 
@@ -70,18 +84,20 @@ class VectorIndex:
         def by_chance(seed: int, most: int) -> pa.Table:
             """About most rows, and never more, chosen by the hash of their key."""
             chosen = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(n, 1))) < most
-            return every.where(chosen).limit(2 * most).toArrow()
+            return every.where(chosen).limit(2 * most).select(key, F.col("v").cast("array<float>").alias("v")).toArrow()
 
-        sample = unit(rows_of(by_chance(0, lists * SAMPLED).column("v"))) if n else np.zeros((0, 1))
+        width = max(1, len(every.first().v or [])) if n else 1
+        # About as many as fit, whatever the dimension; a list has one at least.
+        sample = by_parts(by_chance(0, max(lists, min(lists * SAMPLED, NUMBERS // width))), "v") if n else np.zeros((0, 1), np.float32)
         lists = min(lists, len(sample))
         centroids = spherical_means(sample, lists) if lists else np.zeros((0, 1))
         # A list that holds a large share of the sample, hence of all rows, is cut into files of about FILE_ROWS, so no task writes it alone.
-        share = np.bincount((sample @ centroids.T).argmax(1), minlength=lists) / max(1, len(sample)) if lists else np.zeros(0)
+        share = np.bincount(nearest(sample, centroids), minlength=lists) / max(1, len(sample)) if lists else np.zeros(0)
         files = np.maximum(1, np.ceil(share * n / FILE_ROWS)).astype(np.int32)
 
         def assign(batches):
             for batch in batches:
-                near = (unit(rows_of(batch.column(1))) @ centroids.T).argmax(1).astype(np.int32)
+                near = nearest(unit(rows_of(batch.column(1))).astype(np.float32), centroids).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(files[near])], names=[key, "v", "list", "files"])
 
         if lists:

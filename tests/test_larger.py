@@ -88,3 +88,18 @@ def test_contexts_are_packed_from_the_asked_customers_orders(spark):
 def test_costs_search_each_leg_once(spark):
     plan = catalogue.queries()["bm_runtime_loop"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_the_fit_of_an_index_is_bounded_whatever_its_vectors_are(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from mnemospark.sources import vector_index as V
+
+    fitted = []
+    means = V.spherical_means
+    monkeypatch.setattr(V, "NUMBERS", 4000)
+    monkeypatch.setattr(V, "spherical_means", lambda x, lists: fitted.append(x.shape) or means(x, lists))
+    x = np.random.default_rng(3).normal(size=(2500, 20))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    index = V.VectorIndex.build(df, str(tmp_path / "index"))
+    assert fitted[0][0] <= 2 * 4000 // 20 and index.sizes.sum() == 2500 and index.recall >= 0.95
