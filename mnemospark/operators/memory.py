@@ -91,7 +91,8 @@ def additions(incoming: DataFrame, scope: list[str], known: DataFrame | None = N
     if known is not None:
         every = every.unionByName(known.select(key.alias("__key"), F.lit(0).alias("late"), "memory_id"))
     first = every.groupBy("__key").agg(F.min(F.struct("late", "memory_id")).alias("__first"))
-    joined = rows.join(first, "__key").drop("__key")
+    # As many keys as texts, though their number isn't known before: they are joined where they are, never through the driver.
+    joined = rows.join(first.hint("merge"), "__key").drop("__key")
     own = (F.col("__first.late") == 1) & (F.col("__first.memory_id") == F.col("memory_id"))
     add = own | (F.coalesce(F.size("supersedes"), F.lit(0)) > 0)
     return joined.select(

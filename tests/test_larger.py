@@ -115,3 +115,10 @@ def test_covers_read_the_chunks_of_the_rarest_stems(spark, tmp_path):
 
     plan = catalogue.queries()["re_ranked_covers"](spark, f"{DATA}/{sf}")._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct stem" not in plan and "kept-" not in searches.store(spark, f"{DATA}/{sf}").path and "Generate explode" not in plan
+
+
+def test_facts_are_joined_without_the_driver(spark):
+    # Far fewer rows than a broadcast allows: the plan must not depend on an estimate of how many keys there are.
+    out = catalogue.queries()["ex_commit_report"](spark, f"{DATA}/sf0.001")
+    assert {r.reason: r.n for r in out.collect()}["accepted"] > 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
